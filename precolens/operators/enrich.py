@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_element
 from ..schemas import VISIBLE_COLUMNS
-from ..session import measured
+from ..session import durable, measured
 
 KEY = ["cod_informante", "id_produto"]
 
@@ -20,9 +20,15 @@ def registry_by_text_key(registry: DataFrame) -> DataFrame:
 
 
 def with_code(fact: DataFrame) -> DataFrame:
+    """Fact rows with the first supplier code in place of the array."""
     return fact.withColumn("cod_informante", first_element("cod_informante"))
 
 
+def _joined(coded: DataFrame, codes: DataFrame) -> DataFrame:
+    codes = codes.select(*KEY, "cod_insumo", "insumo_informado")
+    return coded.join(codes, KEY, "left").select(*VISIBLE_COLUMNS)
+
+
 def enrich(fact: DataFrame, registry: DataFrame) -> DataFrame:
     """Fact rows left-joined to the registry on (supplier code as text, product id).
 
@@ -30,8 +36,18 @@ def enrich(fact: DataFrame, registry: DataFrame) -> DataFrame:
     below Spark's broadcast threshold is broadcast, beyond it a hot key on the fact side is
     split by the adaptive skew join.
     """
-    codes = registry_by_text_key(registry).select(*KEY, "cod_insumo", "insumo_informado")
-    return with_code(fact).join(codes, KEY, "left").select(*VISIBLE_COLUMNS)
+    return _joined(with_code(fact), registry_by_text_key(registry))
+
+
+def enrich_few(fact: DataFrame, registry: DataFrame) -> DataFrame:
+    """:func:`enrich` for a fact side that is a top-k result, at most a thousand rows.
+
+    Those rows are found once and written out. Their keys, broadcast, then pick the registry
+    rows during its scan, so that neither table is shuffled.
+    """
+    coded = durable(with_code(fact))
+    keys = F.broadcast(coded.select(*KEY).distinct())
+    return _joined(coded, registry_by_text_key(registry).join(keys, KEY, "left_semi"))
 
 
 def repeated_keys(registry: DataFrame) -> DataFrame:
@@ -52,14 +68,13 @@ class FanOut:
     """
 
     def __init__(self, registry: DataFrame):
-        self.registry = registry
-        self.keys, self.count = measured(repeated_keys(registry))
+        self.keys = measured(repeated_keys(registry))
 
     def extra(self, fact: DataFrame, *columns: str) -> DataFrame | None:
         """Per fact row on a repeated key: ``columns`` and the rows the join adds; None when there are none."""
-        if not self.count:
+        if not self.keys.count:
             return None
-        rows = with_code(fact).join(self.keys, KEY)
+        rows = with_code(fact).join(self.keys.side, KEY)
         return rows.select(*columns, (F.col("linhas") - 1).alias("linhas"))
 
 
@@ -81,7 +96,7 @@ def page_count(total: DataFrame, size: int = 30) -> DataFrame:
 
 def filtered_ids(fact: DataFrame, registry: DataFrame, fan_out: FanOut) -> DataFrame:
     """Product id of every enriched row, repeats kept. Left-only rows need no join while no key repeats."""
-    if not fan_out.count:
+    if not fan_out.keys.count:
         return fact.select("id_produto")
     return enrich(fact, registry).select("id_produto")
 

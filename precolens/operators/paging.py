@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_element, lenient_date
 from ..session import durable
-from .enrich import FanOut, enrich
+from .enrich import FanOut, enrich, enrich_few
 
 PAGE_SIZE = 30
 
@@ -48,7 +48,7 @@ def _first_rows(fact: DataFrame, registry: DataFrame, n: int) -> DataFrame:
     The left join drops no fact row, so they come from the first ``n`` fact rows; the join then
     has ``n`` rows on its left instead of the table.
     """
-    return enrich(fact.orderBy(*_order(fact=True)).limit(n), registry)
+    return enrich_few(fact.orderBy(*_order(fact=True)).limit(n), registry)
 
 
 def page_topk(fact: DataFrame, registry: DataFrame, page: int, size: int = PAGE_SIZE) -> DataFrame:
@@ -171,10 +171,11 @@ def page_deep(
     if not days:
         return enrich(fact, registry).where(F.lit(False))
     (newest, before), (oldest, _) = days[0], days[-1]
-    rows = enrich(_up_to(_down_to(fact, oldest), newest), registry)
-    if upto - before <= top_k_rows:
-        return newest_first(rows).offset(after - before).limit(size)
-    return _rank_slice(rows, after - before, upto - before).drop("_rn")
+    rows = _up_to(_down_to(fact, oldest), newest)
+    after, upto = after - before, upto - before
+    if upto <= top_k_rows:
+        return newest_first(_first_rows(rows, registry, upto)).offset(after).limit(size)
+    return _rank_slice(enrich(rows, registry), after, upto).drop("_rn")
 
 
 def get_page(fact: DataFrame, registry: DataFrame, page: int, size: int = PAGE_SIZE) -> DataFrame:

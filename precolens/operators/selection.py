@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import measured
+from ..session import Measured, measured
 from .enrich import enrich
 from .paging import newest_first
 
@@ -60,7 +60,7 @@ def all_selected(selected: DataFrame, fact: DataFrame, total: DataFrame) -> Data
     ids = _memberships(selecionado=selected, filtrado=fact).agg(
         F.lit(0).cast("long").alias("total"),
         F.count_if("selecionado").alias("selecionados"),
-        F.count_if("filtrado and not selecionado").alias("faltam"),
+        F.count_if(F.col("filtrado") & ~F.col("selecionado")).alias("faltam"),
     )
     rows = total.select(F.col("cnt").alias("total"), F.lit(0).cast("long").alias("selecionados"),
                         F.lit(0).cast("long").alias("faltam"))
@@ -74,19 +74,26 @@ def all_selected(selected: DataFrame, fact: DataFrame, total: DataFrame) -> Data
     )
 
 
-def _distinct_ids(selected: DataFrame) -> DataFrame:
+def _distinct_ids(selected: DataFrame) -> Measured:
     """The selection written out and measured, so a small one is broadcast and a large one shuffled."""
-    return measured(selected.select(ID).where(F.col(ID).isNotNull()).distinct())[0]
+    return measured(selected.select(ID).where(F.col(ID).isNotNull()).distinct())
 
 
 def mark_selected(rows: DataFrame, selected: DataFrame) -> DataFrame:
     """Rows with the flag ``selecionado``."""
-    marks = _distinct_ids(selected).withColumn("selecionado", F.lit(True))
-    return rows.join(marks, ID, "left").withColumn(
+    marks = _distinct_ids(selected)
+    flagged = marks.rows.withColumn("selecionado", F.lit(True))
+    return rows.join(F.broadcast(flagged) if marks.small else flagged, ID, "left").withColumn(
         "selecionado", F.coalesce("selecionado", F.lit(False))
     )
 
 
 def rows_by_ids(fact: DataFrame, registry: DataFrame, selected: DataFrame) -> DataFrame:
     """All enriched rows of the selected products, newest first, whatever the current filters."""
-    return newest_first(enrich(fact.join(_distinct_ids(selected), ID, "left_semi"), registry))
+    ids = _distinct_ids(selected)
+    if ids.small:
+        # The same broadcast thins the registry before the two tables meet.
+        registry = registry.join(
+            F.broadcast(ids.rows.withColumnRenamed(ID, "id_produto_site")), "id_produto_site", "left_semi"
+        )
+    return newest_first(enrich(fact.join(ids.side, ID, "left_semi"), registry))

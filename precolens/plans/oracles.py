@@ -172,7 +172,8 @@ def _exported(column: str) -> str:
         value = "strftime(cast(data_coleta as date), '%d/%m/%Y')"
     else:
         value = column
-    return f'{value} as "{COLUMN_LABELS[column]}"'
+    label = COLUMN_LABELS[column].replace(".", "")
+    return f'{value} as "{label}"'
 
 
 _WIDTHS = " union all ".join(

@@ -281,7 +281,9 @@ def rows_by_ids(spark, folder):
 
 @query
 def export_formatted(spark, folder):
-    return export.formatted(_picked(spark, folder))
+    """The export's rows. Labels lose their dots here, which a plain column reference cannot hold."""
+    rows = export.formatted(_picked(spark, folder))
+    return rows.toDF(*[c.replace(".", "") for c in rows.columns])
 
 
 @query

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,12 +58,25 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def measured(df: DataFrame) -> tuple[DataFrame, int]:
-    """Written form of ``df``, marked for broadcast when its measured size allows, and its row count."""
+class Measured(NamedTuple):
+    """A written DataFrame with its row count, and whether its measured size allows a broadcast."""
+
+    rows: DataFrame
+    count: int
+    small: bool
+
+    @property
+    def side(self) -> DataFrame:
+        """For a join: broadcast when small, else left to shuffle."""
+        return F.broadcast(self.rows) if self.small else self.rows
+
+
+def measured(df: DataFrame) -> Measured:
+    """Write ``df`` once and measure it."""
     kept = durable(df)
     width = sum(
         (F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in kept.columns),
         F.lit(0),
     )
-    rows, size = kept.agg(F.count("*"), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
-    return (F.broadcast(kept) if size <= BROADCAST_BYTES else kept), rows
+    count, size = kept.agg(F.count("*"), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    return Measured(kept, count, size <= BROADCAST_BYTES)

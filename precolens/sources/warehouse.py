@@ -2,26 +2,61 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import derive
 from ..functions.text import zero_padded
 
 
+@lru_cache(maxsize=256)
+def _schema(spark: SparkSession, path: str) -> T.StructType:
+    return spark.read.parquet(path).schema
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table; its schema is read from the file footer once per session."""
+    path = f"{folder}/{name}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
+
+
+def _products(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields that follow from the product, made once per product and not once per price."""
+    key = F.col("p_partkey")
+    digits = key.cast("string")
+    return table(spark, folder, "part").select(
+        "p_partkey",
+        zero_padded(key, 13).alias("ean"),
+        F.concat(F.lit("SKU-"), digits, F.lit("-")).alias("_sku"),
+        F.concat(F.lit("https://www.example.com/produto/sku/"), digits, F.lit("/")).alias("_url"),
+        derive.description(F.col("p_name"), F.col("p_brand"), F.col("p_size")).alias("descricao"),
+        F.col("p_brand").alias("marca"),
+        F.when(key % 3 == 0, "BRL").when(key % 3 == 1, "USD").otherwise("EUR").alias("moeda"),
+        derive.product_id(key).alias("id_produto"),
+    )
 
 
-def _item_sku():
-    return F.concat(F.lit("SKU-"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+def _suppliers(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    return table(spark, folder, "supplier").select(
+        "s_suppkey",
+        "s_nationkey",
+        F.when(key % 17 == 0, F.array().cast("array<string>"))
+        .otherwise(F.array(key.cast("string"), F.lit("ALT")))
+        .alias("cod_informante"),
+        F.col("s_name").alias("nome_informante"),
+    )
 
 
 def collection(spark: SparkSession, folder: str, *, price_type: bool = True) -> DataFrame:
     """Fact table, one row per line item.
 
     ``price_type`` comes from ``orders`` by its primary key, so that join neither drops nor
-    repeats a row; callers that do not use the column leave the join out.
+    repeats a row; callers that do not use the column leave the join out. Each table is joined
+    by itself, so that Spark sees its file size when it picks the join.
     """
     items = table(spark, folder, "lineitem")
     if price_type:
@@ -29,44 +64,33 @@ def collection(spark: SparkSession, folder: str, *, price_type: bool = True) ->
         items = items.join(orders, items.l_orderkey == orders.o_orderkey, "left")
     else:
         items = items.withColumn("o_orderpriority", F.lit(None).cast("string"))
-    part = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    sellers = (
-        table(spark, folder, "supplier")
-        .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("s_suppkey", "s_name", "n_name")
-    )
-    partkey, suppkey = F.col("l_partkey"), F.col("l_suppkey")
+    nation = table(spark, folder, "nation").select("n_nationkey", "n_name")
+    line, order = F.col("l_linenumber").cast("string"), F.col("l_orderkey").cast("string")
     return (
-        items.join(part, partkey == F.col("p_partkey"))
-        .join(sellers, suppkey == F.col("s_suppkey"))
+        items.join(_products(spark, folder), F.col("l_partkey") == F.col("p_partkey"))
+        .join(_suppliers(spark, folder), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .select(
             F.col("l_shipdate").cast("date").cast("string").alias("data_coleta"),
             F.col("l_returnflag").alias("plataforma"),
-            F.when(suppkey % 17 == 0, F.array().cast("array<string>"))
-            .otherwise(F.array(suppkey.cast("string"), F.lit("ALT")))
-            .alias("cod_informante"),
-            F.col("s_name").alias("nome_informante"),
+            "cod_informante",
+            "nome_informante",
             F.col("l_linestatus").alias("periodicidade"),
             F.col("o_orderpriority").alias("tipo_preco"),
-            zero_padded(partkey, 13).alias("ean"),
-            _item_sku().alias("sku"),
-            F.concat(
-                F.lit("https://www.example.com/produto/"),
-                F.replace(F.lower(_item_sku()), F.lit("-"), F.lit("/")),
-            ).alias("url"),
-            F.concat("p_name", F.lit(" "), "p_brand", F.lit(" "), F.col("p_size").cast("string")).alias("descricao"),
-            F.col("p_brand").alias("marca"),
+            "ean",
+            F.concat("_sku", line).alias("sku"),
+            F.concat("_url", line).alias("url"),
+            "descricao",
+            "marca",
             F.col("n_name").alias("uf"),
-            F.when(partkey % 3 == 0, "BRL").when(partkey % 3 == 1, "USD").otherwise("EUR").alias("moeda"),
+            "moeda",
             F.col("l_extendedprice").alias("preco"),
             F.when(
                 F.col("l_discount") > 0.07, F.col("l_extendedprice") * (1 - F.col("l_discount"))
             ).alias("preco_promocional"),
-            derive.product_id(partkey).alias("id_produto"),
-            derive.collection_id(F.col("l_orderkey")).alias("id_coleta"),
-            derive.image_id(
-                F.concat(F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"))
-            ).alias("id_imagem"),
+            "id_produto",
+            derive.collection_id(order).alias("id_coleta"),
+            derive.image_id(F.concat(order, F.lit("_"), line)).alias("id_imagem"),
         )
     )
 
