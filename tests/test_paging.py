@@ -1,0 +1,109 @@
+"""Pages against a brute-force sort, at every depth and with ties, copies, fan-out and odd dates."""
+
+import random
+from collections import Counter
+
+import pytest
+
+from precolens.operators import paging
+from precolens.operators.enrich import enrich
+
+ORDER = ["id_coleta", "id_imagem", "id_produto", "nome_informante", "preco", "cod_informante", "cod_insumo", "insumo_informado"]
+
+
+def sort_key(row):
+    # Dates descending with NULL last: stable sorts from the last key to the first.
+    return tuple((row[c] is None, row[c]) for c in ORDER)
+
+
+def in_order(rows):
+    rows = sorted(rows, key=sort_key)
+    dated = sorted((r for r in rows if r.data_coleta is not None), key=lambda r: r.data_coleta.encode(), reverse=True)
+    return dated + [r for r in rows if r.data_coleta is None]
+
+
+@pytest.fixture(scope="module")
+def odd_rows():
+    rnd = random.Random(7)
+    days = ["2024-05-03"] * 6 + ["2024-05-02", "2024-05-02 10:20:30", "2024-05-01", "xx", "xx1", "", None]
+    rows = []
+    for i in range(240):
+        rows.append(
+            {
+                "data_coleta": rnd.choice(days),
+                "cod_informante": rnd.choice([["1"], ["2", "3"], [], None]),
+                "nome_informante": rnd.choice(["n", None]),
+                "id_produto": rnd.choice("PQR"),
+                "id_coleta": f"C{rnd.randrange(30):02d}",
+                "id_imagem": rnd.choice(["I1", "I2", None]),
+                "preco": rnd.choice([1.0, 2.5, None]),
+            }
+        )
+    # A third more are copies of one row.
+    return rows + [dict(rows[0], data_coleta="2024-05-03")] * 80
+
+
+@pytest.fixture
+def tables(odd_rows, fact, registry):
+    codes = registry((1, "P", "b", 1), (1, "P", "a", None), (1, "P", "a", 4), (2, "Q", None, None), (2, "R", "z", 9))
+    return fact(*odd_rows).repartition(5), codes
+
+
+@pytest.fixture
+def expected(tables):
+    return in_order(enrich(*tables).collect())
+
+
+def same(page, rows):
+    assert Counter(tuple(r) for r in page.collect()) == Counter(tuple(r) for r in rows)
+
+
+@pytest.mark.parametrize("page", [1, 2, 5])
+@pytest.mark.parametrize("method", [paging.page_topk, paging.page_row_number, paging.page_deep])
+def test_page_methods_agree(tables, expected, method, page):
+    same(method(*tables, page, 30), expected[(page - 1) * 30 : page * 30])
+
+
+@pytest.mark.parametrize("size", [7, 30, 90])
+def test_rank_pages_tile_the_whole_view(tables, expected, size):
+    seen = []
+    for page in range(1, -(-len(expected) // size) + 1):
+        rows = paging.page_deep(*tables, page, size, top_k_rows=0).collect() if size > 20 or page % 9 == 1 else None
+        wanted = expected[(page - 1) * size : page * size]
+        if rows is None:
+            continue
+        assert Counter(map(tuple, rows)) == Counter(map(tuple, wanted))
+        seen += rows
+    if size > 20:
+        assert Counter(map(tuple, seen)) == Counter(map(tuple, expected))
+
+
+def test_topk_pages_come_in_order(tables, expected):
+    rows = [tuple(r[c] for c in ORDER) for r in paging.page_topk(*tables, 2, 30).collect()]
+    assert rows == [tuple(r[c] for c in ORDER) for r in expected[30:60]]
+
+
+def test_first_page_from_date_text(tables, expected):
+    page = paging.get_page(*tables, 1, 30)
+    assert page.schema["data_coleta"].dataType.typeName() == "date"
+    got = Counter(tuple(r)[1:] for r in page.collect())
+    assert got == Counter(tuple(r)[1:] for r in expected[:30])
+
+
+@pytest.mark.parametrize("method", [paging.page_topk, paging.page_row_number, paging.page_deep, paging.get_page])
+def test_page_past_the_end_and_bad_page(tables, method):
+    past = method(*tables, 1000, 30)
+    assert past.columns == enrich(*tables).columns and past.isEmpty()
+    with pytest.raises(ValueError):
+        method(*tables, 0, 30)
+
+
+def test_pages_of_an_empty_table(fact, registry):
+    for method in (paging.page_topk, paging.page_row_number, paging.page_deep, paging.get_page):
+        assert method(fact(), registry(), 1).isEmpty()
+
+
+def test_shallow_methods_hand_deep_pages_on(tables, expected, monkeypatch):
+    monkeypatch.setattr(paging, "TOP_K_ROWS", 50)
+    for method in (paging.page_topk, paging.page_row_number):
+        same(method(*tables, 4, 30), expected[90:120])

@@ -1,0 +1,156 @@
+"""Physical plans: pushed filters, pruned columns and months, split skew, no single-partition pass over the fact."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from precolens.operators import maintenance, paging, textindex
+from precolens.operators.enrich import FanOut, count_rows, enrich
+from precolens.operators.filters import FilterSpec
+from precolens.session import scratch_root
+from precolens.sinks import publish
+from precolens.sources import warehouse
+from precolens.sources.tables import read_collection
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return plan(df)
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    """A stored fact table: text dates and a month to prune by."""
+    path = str(tmp_path_factory.mktemp("stored") / "coleta")
+    months = ["2024-04", "2024-05", "2024-06"]
+    rows = spark.range(3000).selectExpr(
+        f"concat(element_at(array({', '.join(repr(m) for m in months)}), cast(id % 3 + 1 as int)), '-1', id % 7) as data_coleta",
+        "array(cast(id % 10 as string)) as cod_informante",
+        "cast(id as string) as id_coleta", "concat('P', id % 50) as id_produto", "concat('marca', id % 5) as marca",
+        "concat('texto ', id % 13) as descricao", "cast(id as double) as preco",
+    )
+    publish.publish(rows, path)
+    return path
+
+
+def test_equality_and_date_reach_the_scan(spark, stored):
+    rows = FilterSpec(marca="marca1", data_apos="2024-05-11").apply(spark.read.parquet(stored)).select("id_produto")
+    text = plan(rows)
+    assert "EqualTo(marca,marca1)" in text and "GreaterThanOrEqual(data_coleta,2024-05-11)" in text
+    assert "PartitionFilters: [isnotnull(mes_coleta" in text and "preco" not in text.split("ReadSchema")[1]
+
+
+def test_plain_term_is_a_contains(spark, stored):
+    assert "Contains(lower(descricao" in plan(FilterSpec(busca_texto="TEXTO").apply(spark.read.parquet(stored)))
+
+
+def test_filter_lands_below_the_join(spark, stored, registry):
+    fact = read_collection(spark, stored)
+    text = plan(enrich(FilterSpec(marca="marca1").apply(fact), registry((1, "P1", "x", 1))))
+    assert text.index("LeftOuter") < text.index("EqualTo(marca,marca1)")
+
+
+def test_count_reads_no_registry_when_no_key_repeats(spark, stored, registry):
+    fact = read_collection(spark, stored)
+    once = count_rows(fact, FanOut(registry((1, "P1", "x", 1))))
+    assert "Join" not in plan(once)
+    assert once.first().cnt == 3000
+    twice = count_rows(fact, FanOut(registry((1, "P1", "x", 1), (1, "P1", "y", 1))))
+    assert "BroadcastHashJoin" in plan(twice)
+    assert twice.first().cnt == 3000 + 60
+
+
+def test_top_k_runs_below_the_join(spark, stored, registry):
+    fact = read_collection(spark, stored)
+    text = plan(paging.page_topk(fact, registry((1, "P1", "x", 1)), 2))
+    assert "TakeOrderedAndProject(limit=60" in text and "FileScan" not in text
+
+
+def test_row_number_page_is_top_k(spark, stored, registry):
+    text = plan(paging.page_row_number(read_collection(spark, stored), registry((1, "P1", "x", 1)), 2))
+    assert "TakeOrderedAndProject(limit=60" in text
+
+
+def test_deep_page_needs_no_single_partition_of_rows(spark, stored, registry):
+    fact = read_collection(spark, stored)
+    page = paging.page_deep(fact, registry((1, "P1", "x", 1)), 40, top_k_rows=0)
+    text = final_plan(page)
+    # Only the sizes of the sort's partitions meet in one place.
+    windows = [line for line in text.splitlines() if "SinglePartition" in line]
+    assert len(windows) <= 2
+    assert "BroadcastHashJoin" in text and "FileScan" not in text
+    assert page.count() == 30
+
+
+def test_deep_page_reads_only_its_days(spark, stored):
+    rows = paging._up_to(paging._down_to(spark.read.parquet(stored), "2024-05-13"), "2024-05-14")
+    text = plan(rows)
+    assert "GreaterThanOrEqual(data_coleta,2024-05-13)" in text and "LessThanOrEqual(data_coleta,2024-05-14)" in text
+    assert {r.d for r in rows.select(F.col("data_coleta").alias("d")).collect()} == {"2024-05-13", "2024-05-14"}
+
+
+def test_index_lookup_filters_words_before_the_shuffle(spark, stored):
+    index = textindex.build_index(read_collection(spark, stored))
+    text = plan(textindex.search(index, "texto 7"))
+    generate = text.index("Generate explode")
+    assert "token" in text[:generate] and "Filter" in text[text.rindex("Exchange", 0, generate):generate]
+
+
+def test_coverage_counts_before_it_joins(spark, stored, registry):
+    text = plan(maintenance.coverage_enriched(read_collection(spark, stored), registry((1, "P1", "x", 1))))
+    scan, join = text.index("FileScan"), text.index("Join")
+    assert "partial_count" in text[join:scan]
+
+
+def test_warehouse_scan_is_pruned(spark, folder):
+    text = plan(count_rows(warehouse.collection(spark, folder, price_type=False), FanOut(warehouse.registry(spark, folder))))
+    assert "l_extendedprice" not in text and "orders.parquet" not in text
+
+
+def test_publish_gathers_each_month(spark, stored):
+    from pathlib import Path
+
+    files = [len(list(p.glob("*.parquet"))) for p in Path(stored).glob("mes_coleta=*")]
+    assert len(files) == 3 and max(files) <= 2
+
+
+def test_hot_key_is_split_by_the_adaptive_join(spark, registry):
+    """A third and more of the rows on one key: the shuffled join splits it over several tasks."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        names = paging.enrich.__globals__["VISIBLE_COLUMNS"]
+        base = spark.range(0, 120000, 1, 12).selectExpr(
+            "case when id % 3 = 0 then 'HOT' else concat('P', id) end as id_produto",
+            "array('1') as cod_informante", "uuid() as url",
+            *[f"cast(null as string) as {c}" for c in names
+              if c not in ("id_produto", "cod_informante", "url", "cod_insumo", "insumo_informado", "preco", "preco_promocional")],
+            "cast(id as double) as preco", "cast(null as double) as preco_promocional",
+        )
+        joined = enrich(base, registry((1, "HOT", "INS", 1), (1, "P1", "INS", 2)))
+        assert joined.where("cod_insumo = 'INS'").count() == 40001
+        counted = joined.groupBy("marca").agg(F.count("*").alias("n"), F.max("url").alias("u"), F.count("cod_insumo").alias("c"))
+        counted.collect()
+        assert "SortMergeJoin(skew=true)" in plan(counted)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_scratch_folder_follows_the_session(spark):
+    folder = scratch_root(spark)
+    assert scratch_root(spark).endswith(folder.rstrip("/").rsplit("/", 1)[-1])
+    assert folder.rstrip("/").rsplit("/", 1)[-1] in spark.sparkContext.getCheckpointDir()

@@ -1,0 +1,125 @@
+"""Written results: export files, the table by month, appends, the stored text index."""
+
+import csv
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from precolens.operators import textindex
+from precolens.operators.enrich import enrich
+from precolens.operators.filters import FilterSpec
+from precolens.operators.paging import newest_first
+from precolens.schemas import COLUMN_LABELS
+from precolens.sinks import export, publish
+from precolens.sources.tables import read_collection, read_registry
+
+
+@pytest.fixture
+def rows(fact, registry):
+    prices = fact(
+        {"data_coleta": "2024-05-01", "descricao": 'Pano "fino", azul', "preco": 1234.5, "id_produto": "P", "cod_informante": ["1"]},
+        {"data_coleta": "2024-06-30", "descricao": "é", "preco": None, "preco_promocional": 12345678.0, "id_produto": "Q"},
+        {"data_coleta": "xx", "descricao": "z" * 80, "preco": 0.0, "id_produto": "R"},
+        {"data_coleta": None, "id_produto": "S"},
+    )
+    return newest_first(enrich(prices, registry((1, "P", "INS1", 100))))
+
+
+def test_export_files(rows, tmp_path):
+    path = tmp_path / "export"
+    export.write_export(rows, str(path))
+    lines = []
+    for part in sorted(Path(path).glob("part-*.csv")):
+        with open(part, encoding="utf-8", newline="") as f:
+            head, *body = list(csv.reader(f))
+            assert head == list(COLUMN_LABELS.values())
+            lines += [dict(zip(head, line)) for line in body]
+    assert [l["ID Produto"] for l in lines] == ["R", "Q", "P", "S"]
+    by_id = {l["ID Produto"]: l for l in lines}
+    assert by_id["P"]["Data Coleta"] == "01/05/2024"
+    assert by_id["P"]["Preço (R$)"] == "R$ 1,234.50"
+    assert by_id["P"]["Descrição"] == 'Pano "fino", azul'
+    assert by_id["P"]["Insumo Informado"] == "100"
+    assert by_id["Q"]["Preço (R$)"] == "" and by_id["Q"]["Preço Promo (R$)"] == "R$ 12,345,678.00"
+    assert by_id["R"]["Data Coleta"] == "" and by_id["S"]["Data Coleta"] == ""
+
+
+def test_widths(rows):
+    widths = {r.coluna: r.largura for r in export.column_widths(rows).collect()}
+    assert list(widths) == list(COLUMN_LABELS.values())
+    assert widths["Descrição"] == 60
+    assert widths["Data Coleta"] == len("Data Coleta") + 4
+    assert widths["Preço Promo (R$)"] == len("Preço Promo (R$)") + 4
+    assert widths["UF"] == len("UF") + 4
+    assert widths["Cód. Insumo"] == len("Cód. Insumo") + 4
+
+
+def test_number_text_has_no_exponent(spark):
+    numbers = [12345678.0, 123456789.25, 0.5, 100.0, 1e10]
+    rows = spark.createDataFrame([(n,) for n in numbers], "preco double")
+    got = [r[0] for r in rows.select(export._cell_length("preco")).collect()]
+    assert got == [len(str(n)) for n in numbers]
+
+
+def test_column_without_label_keeps_its_name(spark):
+    rows = spark.createDataFrame([("a", 1.0)], "outra string, preco double")
+    assert export.formatted(rows).columns == ["outra", "Preço (R$)"]
+
+
+def test_publish_replaces_only_the_months_present(rows, spark, tmp_path):
+    path = str(tmp_path / "final")
+    publish.publish(rows, path)
+    back = publish.read_published(spark, path)
+    assert {r.id_produto: r.mes_coleta for r in back.collect()} == {"P": "2024-05", "Q": "2024-06", "R": "xx", "S": None}
+    publish.publish(rows.where("id_produto = 'P'").withColumn("preco", F.lit(9.0)), path)
+    prices = {r.id_produto: r.preco for r in publish.read_published(spark, path).collect()}
+    assert prices == {"P": 9.0, "Q": None, "R": 0.0, "S": None}
+    since = FilterSpec(data_apos="2024-05-15", cod_informante=None).apply(publish.read_published(spark, path))
+    assert {r.id_produto for r in since.collect()} == {"Q", "R"}
+    one = FilterSpec(cod_informante="1").apply(publish.read_published(spark, path))
+    assert [r.id_produto for r in one.collect()] == ["P"]
+
+
+def test_append_and_insert(spark, fact, registry, tmp_path):
+    path = str(tmp_path / "coleta")
+    rows = fact({"id_produto": "P", "cod_informante": ["1"]}, {"id_produto": "Q"})
+    assert publish.append_rows(rows, path) == 2
+    assert publish.append_rows(rows, path) == 2
+    assert read_collection(spark, path).count() == 4
+    codes = str(tmp_path / "cadastro")
+    publish.append_rows(registry((1, "P", "INS", 3)), codes)
+    assert enrich(read_collection(spark, path), read_registry(spark, codes)).where("cod_insumo = 'INS'").count() == 2
+    target = str(tmp_path / "refs")
+    spark.sql(f"create table refs (cod_bp string, id_produto string) using parquet location '{target}'")
+    try:
+        publish.insert_from(rows.select("id_produto", F.lit("BP1").alias("cod_bp")), "refs")
+        assert {tuple(r) for r in spark.table("refs").collect()} == {("BP1", "P"), ("BP1", "Q")}
+    finally:
+        spark.sql("drop table refs")
+
+
+def test_text_index(fact, spark, tmp_path):
+    rows = fact(
+        {"id_produto": "1", "descricao": "Sabão em Pó Nestlé 500g", "marca": "Nestlé"},
+        {"id_produto": "1", "descricao": "Sabão em Pó Nestlé 500g", "marca": "Nestlé"},
+        {"id_produto": "2", "descricao": "Sabao liquido", "marca": "Pó de Ouro"},
+        {"id_produto": "3", "descricao": None, "marca": None},
+        {"id_produto": None, "descricao": "Sabão", "marca": None},
+    )
+    index = textindex.build_index(rows)
+    counts = {(r.coluna, r.token, r.id_produto): r.ocorrencias for r in index.collect()}
+    assert counts["descricao", "sabao", "1"] == 2 and counts["marca", "nestle", "1"] == 2
+    assert counts["descricao", "sabao", "2"] == 1 and counts["descricao", "sabao", None] == 1
+    find = lambda i, phrase, **kw: {r.id_produto for r in textindex.search(i, phrase, **kw).collect()}
+    assert find(index, "sabão pó nestlé") == {"1"}
+    assert find(index, "SABAO po") == {"1", "2"}
+    assert find(index, "sabao po", columns=["descricao"]) == {"1"}
+    assert find(index, "sab") == set()
+    with pytest.raises(ValueError):
+        textindex.search(index, " -- ")
+    path = str(tmp_path / "indice")
+    textindex.write_index(index, path)
+    assert find(textindex.read_index(spark, path, "sabao po"), "sabao po") == {"1", "2"}
+    stored = {(r.coluna, r.token, r.id_produto): r.ocorrencias for r in spark.read.parquet(path).collect()}
+    assert stored == counts
