@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLANKS = " \t\n\r\f\v"
 
@@ -15,6 +16,12 @@ def first_element(codes: Column | str) -> Column:
     return F.get(codes, F.lit(0))
 
 
+def supplier_code(rows: DataFrame) -> Column:
+    """Supplier code of fact or enriched rows: the first element of an array, or the scalar itself."""
+    code = F.col("cod_informante")
+    return first_element(code) if isinstance(rows.schema["cod_informante"].dataType, T.ArrayType) else code
+
+
 def blank_to_null(text: Column) -> Column:
     """Trimmed text, NULL when nothing is left."""
     return F.nullif(F.trim(text, F.lit(BLANKS)), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import first_element
+from ..functions.text import supplier_code
 from ..schemas import VISIBLE_COLUMNS
 from ..session import durable, measured
 
@@ -21,7 +21,7 @@ def registry_by_text_key(registry: DataFrame) -> DataFrame:
 
 def with_code(fact: DataFrame) -> DataFrame:
     """Fact rows with the first supplier code in place of the array."""
-    return fact.withColumn("cod_informante", first_element("cod_informante"))
+    return fact.withColumn("cod_informante", supplier_code(fact))
 
 
 def _joined(coded: DataFrame, codes: DataFrame) -> DataFrame:

@@ -10,9 +10,8 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import contains_ignoring_case, first_element
+from ..functions.text import contains_ignoring_case, supplier_code
 
 
 @dataclass(frozen=True)
@@ -44,10 +43,7 @@ class FilterSpec:
         """The conditions present, on the fact table's or the enriched view's columns."""
         found = []
         if (code := self._given("cod_informante")) is not None:
-            column = F.col("cod_informante")
-            if isinstance(rows.schema["cod_informante"].dataType, T.ArrayType):
-                column = first_element(column)
-            found.append(column == F.lit(code))
+            found.append(supplier_code(rows) == F.lit(code))
         for name in ("nome_informante", "marca", "tipo_preco", "uf"):
             if (value := self._given(name)) is not None:
                 found.append(F.col(name) == F.lit(value))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_element, lenient_date
+from ..functions.text import lenient_date, supplier_code
 from ..session import durable
 from .enrich import FanOut, enrich, enrich_few
 
@@ -22,17 +22,18 @@ _FACT_TIES = ("id_coleta", "id_imagem", "id_produto", "nome_informante", "preco"
 _REGISTRY_TIES = ("cod_insumo", "insumo_informado")
 
 
-def _order(*, fact: bool = False) -> list[Column]:
-    code = first_element("cod_informante") if fact else F.col("cod_informante")
-    ties = [F.asc_nulls_last(c) for c in _FACT_TIES] + [code.asc_nulls_last()]
-    if not fact:
-        ties += [F.asc_nulls_last(c) for c in _REGISTRY_TIES]
-    return [F.desc_nulls_last("data_coleta"), *ties]
+def _fact_order(rows: DataFrame) -> list[Column]:
+    ties = [F.asc_nulls_last(c) for c in _FACT_TIES]
+    return [F.desc_nulls_last("data_coleta"), *ties, supplier_code(rows).asc_nulls_last()]
+
+
+def _order(rows: DataFrame) -> list[Column]:
+    return _fact_order(rows) + [F.asc_nulls_last(c) for c in _REGISTRY_TIES]
 
 
 def newest_first(rows: DataFrame) -> DataFrame:
     """Enriched rows in display order: a range-partitioned sort, parallel also within one hot day."""
-    return rows.orderBy(*_order())
+    return rows.orderBy(*_order(rows))
 
 
 def page_ranks(page: int, size: int = PAGE_SIZE) -> tuple[int, int]:
@@ -48,7 +49,17 @@ def _first_rows(fact: DataFrame, registry: DataFrame, n: int) -> DataFrame:
     The left join drops no fact row, so they come from the first ``n`` fact rows; the join then
     has ``n`` rows on its left instead of the table.
     """
-    return enrich_few(fact.orderBy(*_order(fact=True)).limit(n), registry)
+    return enrich_few(fact.orderBy(*_fact_order(fact)).limit(n), registry)
+
+
+def _newest(fact: DataFrame, n: int) -> DataFrame:
+    """Fact rows of the newest days that hold ``n`` rows.
+
+    The oldest of those days is found from the filter columns and the date alone, so that the
+    table is read in full width, and joined, only from that day on.
+    """
+    days = _days_on_page(fact, 0, n)
+    return _down_to(fact, days[-1][0]) if days else fact
 
 
 def page_topk(fact: DataFrame, registry: DataFrame, page: int, size: int = PAGE_SIZE) -> DataFrame:
@@ -56,7 +67,7 @@ def page_topk(fact: DataFrame, registry: DataFrame, page: int, size: int = PAGE_
     after, upto = page_ranks(page, size)
     if upto > TOP_K_ROWS:
         return page_deep(fact, registry, page, size)
-    return newest_first(_first_rows(fact, registry, upto)).offset(after).limit(size)
+    return newest_first(_first_rows(_newest(fact, upto), registry, upto)).offset(after).limit(size)
 
 
 def page_row_number(fact: DataFrame, registry: DataFrame, page: int, size: int = PAGE_SIZE) -> DataFrame:
@@ -64,9 +75,8 @@ def page_row_number(fact: DataFrame, registry: DataFrame, page: int, size: int =
     after, upto = page_ranks(page, size)
     if upto > TOP_K_ROWS:
         return page_deep(fact, registry, page, size)
-    ranked = _first_rows(fact, registry, upto).withColumn(
-        "_rn", F.row_number().over(Window.orderBy(*_order()))
-    )
+    rows = _first_rows(_newest(fact, upto), registry, upto)
+    ranked = rows.withColumn("_rn", F.row_number().over(Window.orderBy(*_order(rows))))
     return ranked.where((F.col("_rn") > after) & (F.col("_rn") <= upto)).drop("_rn")
 
 
@@ -179,15 +189,6 @@ def page_deep(
 
 
 def get_page(fact: DataFrame, registry: DataFrame, page: int, size: int = PAGE_SIZE) -> DataFrame:
-    """The page of the main screen: newest first, the date parsed leniently.
-
-    For a shallow page the first pass finds the oldest day needed from the date column alone,
-    so that a table stored by date is read in full width only from that day on.
-    """
-    _, upto = page_ranks(page, size)
-    if upto > TOP_K_ROWS:
-        rows = page_deep(fact, registry, page, size)
-    else:
-        days = _days_on_page(fact, 0, upto)
-        rows = page_topk(_down_to(fact, days[-1][0]) if days else fact, registry, page, size)
+    """The page of the main screen at any depth, the date parsed leniently."""
+    rows = page_topk(fact, registry, page, size)
     return rows.withColumn("data_coleta", lenient_date(F.col("data_coleta")))

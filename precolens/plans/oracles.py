@@ -267,6 +267,15 @@ ORACLES: dict[str, str] = {
         )
         + " order by faceta, valor"
     ),
+    "facet_options": _fact(
+        " union all ".join(
+            f"select distinct '{c}' as faceta, {c} as valor from coleta where {c} is not null"
+            for c in ("nome_informante", "marca", "tipo_preco", "uf")
+        )
+        + """ union all select distinct 'cod_informante', cod_informante from coleta
+              union all select 'data_min', min(data_coleta) from coleta
+              union all select 'data_max', max(data_coleta) from coleta"""
+    ),
     "facet_supplier_code": _fact(
         "select distinct cod_informante from coleta order by cod_informante nulls last"
     ),

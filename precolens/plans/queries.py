@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import derive
-from ..functions.text import first_element, lenient_date
+from ..functions.text import lenient_date
 from ..operators import facets, maintenance, paging, selection, split, textindex
 from ..operators.enrich import (
     FanOut,
@@ -17,6 +17,7 @@ from ..operators.enrich import (
     enrich,
     filtered_ids,
     page_count,
+    with_code,
 )
 from ..operators.filters import FilterSpec
 from ..schemas import COLETA, ROSTER, add_missing_columns, conform
@@ -51,10 +52,6 @@ def query(run: Query) -> Query:
     return run
 
 
-def _coded(fact: DataFrame) -> DataFrame:
-    return fact.withColumn("cod_informante", first_element("cod_informante"))
-
-
 def _view(spark: SparkSession, folder: str, spec: FilterSpec = FilterSpec()) -> DataFrame:
     fact = spec.apply(warehouse.collection(spark, folder))
     return enrich(fact, warehouse.registry(spark, folder))
@@ -80,12 +77,12 @@ BRAND_SINCE_TERM = FilterSpec(marca=BRAND, data_apos=SINCE, busca_texto=TERM)
 
 @query
 def scan_collection(spark, folder):
-    return _coded(warehouse.collection(spark, folder))
+    return with_code(warehouse.collection(spark, folder))
 
 
 @query
 def scan_flat(spark, folder):
-    return _coded(conform(warehouse.flat_collection(spark, folder), COLETA)).drop("tipo_preco")
+    return with_code(conform(warehouse.flat_collection(spark, folder), COLETA)).drop("tipo_preco")
 
 
 @query
@@ -200,6 +197,11 @@ def facet_supplier_code(spark, folder):
     return facets.supplier_codes(_fact(spark, folder))
 
 
+@query
+def facet_options(spark, folder):
+    return facets.filter_options(warehouse.collection(spark, folder))
+
+
 @query
 def facet_date_bounds(spark, folder):
     return facets.date_bounds(_fact(spark, folder))
@@ -432,7 +434,7 @@ def derive_collection_date(spark, folder):
 
 @query
 def split_proportional(spark, folder):
-    pairs = _coded(_fact(spark, folder)).where("cod_informante is not null")
+    pairs = with_code(_fact(spark, folder)).where("cod_informante is not null")
     return split.split_keys(pairs, ["cod_informante", "id_produto"])
 
 

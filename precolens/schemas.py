@@ -116,9 +116,9 @@ def _conformed(df: DataFrame, field: T.StructField) -> Column:
     if found == field.dataType:
         return F.col(field.name)
     if isinstance(field.dataType, T.ArrayType) and not isinstance(found, T.ArrayType):
-        # The flat variant of the fact table carries one scalar code; NULL stays NULL.
-        code = F.col(field.name).cast(field.dataType.elementType)
-        return F.when(code.isNotNull(), F.array(code)).alias(field.name)
+        # The flat variant of the fact table carries one scalar code. It stays a plain column,
+        # so that filters and joins on it reach the scan.
+        return F.col(field.name).cast(field.dataType.elementType).alias(field.name)
     return F.col(field.name).cast(field.dataType).alias(field.name)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from precolens.operators import maintenance, paging, textindex
 from precolens.operators.enrich import FanOut, count_rows, enrich
 from precolens.operators.filters import FilterSpec
+from precolens.schemas import VISIBLE_COLUMNS
 from precolens.session import scratch_root
 from precolens.sinks import publish
 from precolens.sources import warehouse
@@ -132,11 +133,10 @@ def test_hot_key_is_split_by_the_adaptive_join(spark, registry):
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        names = paging.enrich.__globals__["VISIBLE_COLUMNS"]
         base = spark.range(0, 120000, 1, 12).selectExpr(
             "case when id % 3 = 0 then 'HOT' else concat('P', id) end as id_produto",
             "array('1') as cod_informante", "uuid() as url",
-            *[f"cast(null as string) as {c}" for c in names
+            *[f"cast(null as string) as {c}" for c in VISIBLE_COLUMNS
               if c not in ("id_produto", "cod_informante", "url", "cod_insumo", "insumo_informado", "preco", "preco_promocional")],
             "cast(id as double) as preco", "cast(null as double) as preco_promocional",
         )

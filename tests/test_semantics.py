@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from precolens.functions.text import capitalised, folded, lenient_date, price_text, search_terms, tokens, zero_padded
-from precolens.operators import facets
+from precolens.operators import facets, paging
 from precolens.operators.enrich import FanOut, count_rows, enrich, filtered_ids, page_count, repeated_keys
 from precolens.operators.filters import FilterSpec
 from precolens.schemas import (
@@ -71,6 +71,19 @@ def test_empty_table(fact, registry):
     assert page_count(total).first().asDict() == {"cnt": 0, "paginas": 1}
 
 
+def test_filter_options_as_a_stored_table(fact, spark, tmp_path):
+    rows = fact(
+        {"marca": "B", "data_coleta": "2024-01-02", "cod_informante": ["7"]},
+        {"marca": "B", "data_coleta": "2024-01-01", "cod_informante": []},
+        {"cod_informante": None},
+    )
+    path = str(tmp_path / "opcoes")
+    facets.write_options(rows, path)
+    assert [tuple(r) for r in facets.read_options(spark, path).collect()] == [
+        ("cod_informante", "7"), ("cod_informante", None), ("data_max", "2024-01-02"), ("data_min", "2024-01-01"), ("marca", "B"),
+    ]
+
+
 def test_facets_skip_null_and_keep_other_filters_out(fact):
     rows = fact({"marca": "B", "uf": "SP"}, {"marca": "A"}, {"marca": "B"})
     assert [tuple(r) for r in facets.facet_values(rows).collect()] == [("marca", "A"), ("marca", "B"), ("uf", "SP")]
@@ -166,15 +179,19 @@ def test_capitalised_lowers_the_rest(spark):
     assert got == ["Fiscal de campo", "X", "", None]
 
 
-def test_conform_accepts_flat_and_decimal_shapes(spark):
+def test_conform_accepts_flat_and_decimal_shapes(spark, registry):
     flat = spark.sql(
         "select '2024-05-01' as data_coleta, 'P' as id_produto, c as cod_informante, cast(1.5 as decimal(18,2)) as preco, 1 as a_mais "
         "from values ('12'), (null) as t(c)"
     )
     rows = conform(flat, COLETA, required=["id_produto"])
     assert rows.schema.fieldNames() == COLETA.fieldNames()
-    assert [f.dataType for f in rows.schema] == [f.dataType for f in COLETA]
-    assert values(rows.select(F.col("cod_informante").cast("string").alias("c")), "c") == ["[12]", None]
+    assert {f.name for f in rows.schema if f.dataType != COLETA[f.name].dataType} == {"cod_informante"}
+    assert values(rows, "cod_informante") == ["12", None]
+    assert values(facets.supplier_codes(rows), "cod_informante") == ["12"]
+    assert FilterSpec(cod_informante="12").apply(rows).count() == 1
+    assert enrich(rows, registry((12, "P", "INS", 1))).where("cod_insumo = 'INS'").count() == 1
+    assert paging.page_topk(rows, registry((12, "P", "INS", 1)), 1).count() == 2
     with pytest.raises(ValueError, match="id_produto_site"):
         conform(flat, CADASTRO, required=["id_produto_site"])
 
