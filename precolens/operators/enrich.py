@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import supplier_code
@@ -11,6 +11,9 @@ from ..session import durable, measured
 
 KEY = ["cod_informante", "id_produto"]
 
+# The registry's columns in the view; among rows alike in the fact's they decide the order.
+REGISTRY_TIES = ["cod_insumo", "insumo_informado"]
+
 
 def registry_by_text_key(registry: DataFrame) -> DataFrame:
     """Registry under the fact's key names; the supplier code compares as exact text."""
@@ -25,7 +28,7 @@ def with_code(fact: DataFrame) -> DataFrame:
 
 
 def _joined(coded: DataFrame, codes: DataFrame) -> DataFrame:
-    codes = codes.select(*KEY, "cod_insumo", "insumo_informado")
+    codes = codes.select(*KEY, *REGISTRY_TIES)
     return coded.join(codes, KEY, "left").select(*VISIBLE_COLUMNS)
 
 
@@ -39,15 +42,40 @@ def enrich(fact: DataFrame, registry: DataFrame) -> DataFrame:
     return _joined(with_code(fact), registry_by_text_key(registry))
 
 
-def enrich_few(fact: DataFrame, registry: DataFrame) -> DataFrame:
-    """:func:`enrich` for a fact side that is a top-k result, at most a thousand rows.
+def enrich_first(first: DataFrame, registry: DataFrame, n: int) -> DataFrame:
+    """Enriched rows that hold the first ``n`` of the view, from its first ``n`` fact rows.
 
-    Those rows are found once and written out. Their keys, broadcast, then pick the registry
-    rows during its scan, so that neither table is shuffled.
+    The left join drops no fact row, so no others are needed; nor are more than the first ``n``
+    registry rows of a key. The fact rows, found once, are written out. Their keys, broadcast,
+    pick the registry rows during its scan, so that neither table is shuffled.
     """
-    coded = durable(with_code(fact))
+    coded = durable(with_code(first))
     keys = F.broadcast(coded.select(*KEY).distinct())
-    return _joined(coded, registry_by_text_key(registry).join(keys, KEY, "left_semi"))
+    order = Window.partitionBy(*KEY).orderBy(*[F.asc_nulls_last(c) for c in REGISTRY_TIES])
+    codes = (
+        registry_by_text_key(registry)
+        .join(keys, KEY, "left_semi")
+        .withColumn("_rn", F.row_number().over(order))
+        .where(F.col("_rn") <= n)
+    )
+    return _joined(coded, codes)
+
+
+def enrich_counted(fact: DataFrame, registry: DataFrame) -> DataFrame:
+    """The distinct enriched rows, each with the number of its copies as ``_copies``.
+
+    Copies are counted on either side before the join. Counting joined rows instead would run
+    on the join's own partitions and so keep the adaptive plan from splitting a hot key.
+    """
+    prices = with_code(fact).select(*[c for c in VISIBLE_COLUMNS if c not in REGISTRY_TIES])
+    prices = prices.groupBy(*prices.columns).agg(F.count("*").alias("_a"))
+    codes = (
+        registry_by_text_key(registry)
+        .groupBy(*KEY, *REGISTRY_TIES)
+        .agg(F.count("*").alias("_b"))
+    )
+    copies = F.col("_a") * F.coalesce("_b", F.lit(1))
+    return prices.join(codes, KEY, "left").select(*VISIBLE_COLUMNS, copies.alias("_copies"))
 
 
 def repeated_keys(registry: DataFrame) -> DataFrame:

@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lenient_date, supplier_code
 from ..session import durable
-from .enrich import FanOut, enrich, enrich_few
+from .enrich import REGISTRY_TIES, FanOut, enrich, enrich_counted, enrich_first
 
 PAGE_SIZE = 30
 
 # Ranks up to here are found by top-k, where each task keeps this many rows at most.
 TOP_K_ROWS = 900
 
+# Copies of one row that travel through a sort as one.
+COPIES_PER_RUN = 10_000
+
 _DAY_LENGTH = len("yyyy-MM-dd")
 
 # Ties on the date are broken by the fact's columns first and the registry's last. The fact part
 # holds the join key, so rows equal on it meet the same registry rows.
 _FACT_TIES = ("id_coleta", "id_imagem", "id_produto", "nome_informante", "preco")
-_REGISTRY_TIES = ("cod_insumo", "insumo_informado")
 
 
 def _fact_order(rows: DataFrame) -> list[Column]:
@@ -28,7 +30,7 @@ def _fact_order(rows: DataFrame) -> list[Column]:
 
 
 def _order(rows: DataFrame) -> list[Column]:
-    return _fact_order(rows) + [F.asc_nulls_last(c) for c in _REGISTRY_TIES]
+    return _fact_order(rows) + [F.asc_nulls_last(c) for c in REGISTRY_TIES]
 
 
 def newest_first(rows: DataFrame) -> DataFrame:
@@ -36,6 +38,22 @@ def newest_first(rows: DataFrame) -> DataFrame:
     return rows.orderBy(*_order(rows))
 
 
+def all_newest_first(fact: DataFrame, registry: DataFrame) -> DataFrame:
+    """The whole enriched view in display order.
+
+    A range-partitioned sort keeps equal rows together, so copies go through it as counts, a
+    bounded number per row, and come apart after it.
+    """
+    rows = enrich_counted(fact, registry)
+    last_run = F.floor((F.col("_copies") - 1) / COPIES_PER_RUN)
+    runs = rows.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), last_run)))
+    left = F.least(F.col("_copies") - F.col("_run") * COPIES_PER_RUN, F.lit(COPIES_PER_RUN))
+    ordered = runs.orderBy(*_order(runs), "_run")
+    return ordered.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), left.cast("int")))).drop(
+        "_copies", "_run", "_copy"
+    )
+
+
 def page_ranks(page: int, size: int = PAGE_SIZE) -> tuple[int, int]:
     """Ranks (after, up to) of a page; pages count from 1."""
     if page < 1 or size < 1:
@@ -44,12 +62,8 @@ def page_ranks(page: int, size: int = PAGE_SIZE) -> tuple[int, int]:
 
 
 def _first_rows(fact: DataFrame, registry: DataFrame, n: int) -> DataFrame:
-    """Enriched rows among which the first ``n`` of the whole view are.
-
-    The left join drops no fact row, so they come from the first ``n`` fact rows; the join then
-    has ``n`` rows on its left instead of the table.
-    """
-    return enrich_few(fact.orderBy(*_fact_order(fact)).limit(n), registry)
+    """Enriched rows among which the first ``n`` of the whole view are."""
+    return enrich_first(fact.orderBy(*_fact_order(fact)).limit(n), registry, n)
 
 
 def _newest(fact: DataFrame, n: int) -> DataFrame:
@@ -129,14 +143,13 @@ def _up_to(fact: DataFrame, newest: str | None) -> DataFrame:
 
 
 def _rank_slice(rows: DataFrame, after: int, upto: int) -> DataFrame:
-    """Rows at ranks after+1..upto with their rank ``_rn``, without one partition for all.
+    """Rows at ranks after+1..upto, from distinct rows with ``_copies``, without one partition for all.
 
-    Copies are counted together first. A range-partitioned sort is written out once, so the
-    places are fixed; partition sizes give the rank at which each partition starts, and only
-    partitions that hold a rank of the page are ranked row by row.
+    A range-partitioned sort is written out once, so the places are fixed; partition sizes give
+    the rank at which each partition starts, and only partitions that hold a rank of the page
+    are ranked row by row.
     """
-    grouped = rows.groupBy(*rows.columns).agg(F.count("*").alias("_copies"))
-    placed = durable(newest_first(grouped).withColumn("_place", F.monotonically_increasing_id()))
+    placed = durable(newest_first(rows).withColumn("_place", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_place", 33))
     by_part = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parts = (
@@ -157,7 +170,8 @@ def _rank_slice(rows: DataFrame, after: int, upto: int) -> DataFrame:
         .withColumn("_first", F.greatest(F.col("_last") - F.col("_copies") + 1, F.lit(after + 1)))
         .withColumn("_last", F.least("_last", F.lit(upto)))
         .where(F.col("_first") <= F.col("_last"))
-        .select(*rows.columns, F.explode(F.sequence("_first", "_last")).alias("_rn"))
+        .withColumn("_rn", F.explode(F.sequence("_first", "_last")))
+        .select(*[c for c in rows.columns if c != "_copies"])
     )
 
 
@@ -185,7 +199,7 @@ def page_deep(
     after, upto = after - before, upto - before
     if upto <= top_k_rows:
         return newest_first(_first_rows(rows, registry, upto)).offset(after).limit(size)
-    return _rank_slice(enrich(rows, registry), after, upto).drop("_rn")
+    return _rank_slice(enrich_counted(rows, registry), after, upto)
 
 
 def get_page(fact: DataFrame, registry: DataFrame, page: int, size: int = PAGE_SIZE) -> DataFrame:

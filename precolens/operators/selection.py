@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Measured, measured
-from .enrich import enrich
-from .paging import newest_first
+from .paging import all_newest_first
 
 ID = "id_produto"
 
@@ -96,4 +95,4 @@ def rows_by_ids(fact: DataFrame, registry: DataFrame, selected: DataFrame) -> Da
         registry = registry.join(
             F.broadcast(ids.rows.withColumnRenamed(ID, "id_produto_site")), "id_produto_site", "left_semi"
         )
-    return newest_first(enrich(fact.join(ids.side, ID, "left_semi"), registry))
+    return all_newest_first(fact.join(ids.side, ID, "left_semi"), registry)

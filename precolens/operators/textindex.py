@@ -11,9 +11,8 @@ from ..functions.text import search_terms, tokens
 
 INDEXED = ("descricao", "marca")
 
-# Files of the stored index: a word lies in one token bucket, spread over several files by id.
+# Folders of the stored index: a word lies in one of them.
 TOKEN_BUCKETS = 64
-FILES_PER_BUCKET = 4
 
 
 def build_index(fact: DataFrame) -> DataFrame:
@@ -39,11 +38,10 @@ def _bucket():
 
 
 def write_index(index: DataFrame, path: str) -> None:
-    """Index partitioned by token bucket; a frequent word is spread over several files by id."""
-    spread = F.pmod(F.xxhash64("id_produto"), F.lit(FILES_PER_BUCKET))
+    """Index partitioned by token bucket; the adaptive plan splits a bucket that a frequent word makes large."""
     (
         index.withColumn("balde", _bucket())
-        .repartition("balde", spread)
+        .hint("rebalance", F.col("balde"))
         .sortWithinPartitions("balde", "token", "coluna", "id_produto")
         .write.mode("overwrite")
         .partitionBy("balde")

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from precolens import session
-from precolens.operators import selection
+from precolens.operators import paging, selection
 from precolens.operators.enrich import FanOut, count_rows
 
 
@@ -65,6 +65,21 @@ def test_rows_of_a_selection_ignore_filters(ids, fact, registry, monkeypatch, li
     assert sorted(r.selecionado for r in marked.collect()) == [False, False, True, True, True, True]
 
 
+def test_copies_come_apart_after_the_sort(ids, fact, registry, monkeypatch):
+    monkeypatch.setattr(paging, "COPIES_PER_RUN", 3)
+    rows = fact(
+        *[{"id_produto": "a", "cod_informante": ["1"], "data_coleta": "2024-01-02"}] * 8,
+        *[{"id_produto": "a", "cod_informante": ["1"], "data_coleta": "2024-01-03"}] * 3,
+        {"id_produto": "a", "data_coleta": "2024-01-01"},
+    )
+    picked = selection.rows_by_ids(rows, registry((1, "a", "x", 1), (1, "a", "x", 1), (1, "a", "y", 1)), ids("a"))
+    got = [(r.data_coleta, r.cod_insumo) for r in picked.collect()]
+    assert got == (
+        [("2024-01-03", "x")] * 6 + [("2024-01-03", "y")] * 3 + [("2024-01-02", "x")] * 16
+        + [("2024-01-02", "y")] * 8 + [("2024-01-01", None)]
+    )
+
+
 def test_empty_selection(ids, fact, registry):
     rows = fact({"id_produto": "a"})
     assert selection.rows_by_ids(rows, registry(), ids([])).isEmpty()
