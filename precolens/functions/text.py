@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,11 +80,10 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def search_terms(text: str) -> list[str]:
-    """Distinct folded words of a search phrase, by the same rule as :func:`tokens`."""
-    plain = unicodedata.normalize("NFD", text.lower())
-    kept = (ch if unicodedata.category(ch)[0] in "LN" else " " for ch in plain if unicodedata.category(ch)[0] != "M")
-    return sorted(set("".join(kept).split()))
+def search_terms(spark: SparkSession, phrase: str) -> list[str]:
+    """Distinct words of a search phrase, by the same rule as the texts."""
+    row = spark.createDataFrame([(phrase,)], "frase string")
+    return row.select(F.array_sort(F.array_distinct(tokens(F.col("frase"))))).first()[0]
 
 
 def lenient_date(text: Column) -> Column:

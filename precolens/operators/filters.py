@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_ignoring_case, supplier_code
+from ..schemas import MONTH
 
 
 @dataclass(frozen=True)
@@ -50,9 +51,9 @@ class FilterSpec:
         if (since := self._given("data_apos")) is not None:
             # Inclusive and on the text itself, as the column is stored.
             found.append(F.col("data_coleta") >= F.lit(since))
-            if "mes_coleta" in rows.columns:
+            if MONTH in rows.columns:
                 # A text not below the date has a prefix not below the date's: prunes whole months.
-                found.append(F.col("mes_coleta") >= F.lit(since[:7]))
+                found.append(F.col(MONTH) >= F.lit(since[:7]))
         if (code := self._given("ean_sku")) is not None:
             code = code.strip()
             found.append((F.col("ean") == F.lit(code)) | (F.col("sku") == F.lit(code)))

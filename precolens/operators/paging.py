@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lenient_date, supplier_code
+from ..schemas import MONTH
 from ..session import durable
 from .enrich import REGISTRY_TIES, FanOut, enrich, enrich_counted, enrich_first
 
@@ -125,8 +126,8 @@ def _down_to(fact: DataFrame, oldest: str | None) -> DataFrame:
     if oldest is None:
         return fact
     rows = fact.where(F.col("data_coleta") >= F.lit(oldest))
-    if "mes_coleta" in fact.columns and oldest:
-        rows = rows.where(F.col("mes_coleta") >= F.lit(oldest[:7]))
+    if MONTH in fact.columns and oldest:
+        rows = rows.where(F.col(MONTH) >= F.lit(oldest[:7]))
     return rows
 
 

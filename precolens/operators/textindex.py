@@ -51,14 +51,14 @@ def write_index(index: DataFrame, path: str) -> None:
 
 def read_index(spark: SparkSession, path: str, phrase: str) -> DataFrame:
     """Postings of a phrase's words from a stored index: only their buckets are read."""
-    words = spark.createDataFrame([(t,) for t in search_terms(phrase)], "token string")
+    words = spark.createDataFrame([(t,) for t in search_terms(spark, phrase)], "token string")
     buckets = [r.balde for r in words.select(_bucket().alias("balde")).distinct().collect()]
     return spark.read.parquet(path).where(F.col("balde").isin(buckets)).drop("balde")
 
 
 def search(index: DataFrame, phrase: str, columns: Sequence[str] = INDEXED) -> DataFrame:
     """Ids of the products in which every word of the phrase occurs."""
-    words = search_terms(phrase)
+    words = search_terms(index.sparkSession, phrase)
     if not words:
         raise ValueError("the search phrase has no words")
     return (

@@ -79,6 +79,9 @@ COLUMN_LABELS = {
 
 VISIBLE_COLUMNS = list(COLUMN_LABELS)
 
+# Partition column of tables stored by month.
+MONTH = "mes_coleta"
+
 PRICE_COLUMNS = ("preco", "preco_promocional")
 
 _REGISTRY_COLUMNS = {"cod_insumo": _S, "insumo_informado": _L}

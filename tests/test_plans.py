@@ -88,8 +88,9 @@ def test_deep_page_needs_no_single_partition_of_rows(spark, stored, registry):
 
 
 def test_deep_page_reads_only_its_days(spark, stored):
-    rows = paging._up_to(paging._down_to(spark.read.parquet(stored), "2024-05-13"), "2024-05-14")
+    rows = paging._up_to(paging._down_to(read_collection(spark, stored), "2024-05-13"), "2024-05-14")
     text = plan(rows)
+    assert "PartitionFilters: [isnotnull(mes_coleta" in text and ">= 2024-05)" in text
     assert "GreaterThanOrEqual(data_coleta,2024-05-13)" in text and "LessThanOrEqual(data_coleta,2024-05-14)" in text
     assert {r.d for r in rows.select(F.col("data_coleta").alias("d")).collect()} == {"2024-05-13", "2024-05-14"}
 

@@ -169,7 +169,8 @@ def test_words(spark):
     rows = one_column(spark, "t", "Sabão em Pó Nestlé 500g", "L'Oréal—ÇA/ça", "Café", None, " ")
     got = [r.t for r in rows.select(tokens(F.col("t")).alias("t")).collect()]
     assert got == [["sabao", "em", "po", "nestle", "500g"], ["l", "oreal", "ca", "ca"], ["cafe"], None, []]
-    assert search_terms("Sabão  PÓ, nestlé café po") == ["cafe", "nestle", "po", "sabao"]
+    assert search_terms(spark, "Sabão  PÓ, nestlé cafe\u0301 po") == ["cafe", "nestle", "po", "sabao"]
+    assert search_terms(spark, "  -- ") == []
     assert [r.t for r in rows.select(folded(F.col("t")).alias("t")).collect()][1] == "l'oreal—ca/ca"
 
 
