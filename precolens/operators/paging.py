@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lenient_date, supplier_code
 from ..schemas import MONTH
-from ..session import durable
+from ..session import written
 from .enrich import REGISTRY_TIES, FanOut, enrich, enrich_counted, enrich_first
 
 PAGE_SIZE = 30
@@ -15,6 +15,9 @@ PAGE_SIZE = 30
 # Ranks up to here are found by top-k, where each task keeps this many rows at most.
 TOP_K_ROWS = 900
 
+# Rows per block by which the places of a sort are counted: two to this power.
+_BLOCK_BITS = 18
+
 # Copies of one row that travel through a sort as one.
 COPIES_PER_RUN = 10_000
 
@@ -146,28 +149,30 @@ def _up_to(fact: DataFrame, newest: str | None) -> DataFrame:
 def _rank_slice(rows: DataFrame, after: int, upto: int) -> DataFrame:
     """Rows at ranks after+1..upto, from distinct rows with ``_copies``, without one partition for all.
 
-    A range-partitioned sort is written out once, so the places are fixed; partition sizes give
-    the rank at which each partition starts, and only partitions that hold a rank of the page
-    are ranked row by row.
+    A range-partitioned sort is written out once, so the places are fixed. The sizes of its
+    partitions give the rank at which each starts; a partition counts its rows in blocks, and
+    only the blocks that hold a rank of the page are read in full and ranked row by row.
     """
-    placed = durable(newest_first(rows).withColumn("_place", F.monotonically_increasing_id()))
-    placed = placed.withColumn("_part", F.shiftright("_place", 33))
-    by_part = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = (
-        placed.groupBy("_part")
+    placed = written(newest_first(rows).withColumn("_place", F.monotonically_increasing_id()), "ordem")
+    block = F.shiftright("_place", _BLOCK_BITS)
+    upto_block = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = (
+        placed.groupBy(block.alias("_block"))
         .agg(F.sum("_copies").alias("_n"))
-        .withColumn("_before", F.sum("_n").over(by_part) - F.col("_n"))
+        .withColumn("_before", F.sum("_n").over(upto_block) - F.col("_n"))
         .where((F.col("_before") < upto) & (F.col("_before") + F.col("_n") > after))
-        .drop("_n")
-    )
-    # One row per partition of the sort, and of those only the ones on the page.
-    near = placed.join(F.broadcast(parts), "_part")
-    within = Window.partitionBy("_part").orderBy("_place").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+        .orderBy("_block")
+        .select("_block", "_before")
+        .collect()
     )
-    last = F.col("_before") + F.sum("_copies").over(within)
+    if not blocks:
+        return placed.where(F.lit(False)).select(*[c for c in rows.columns if c != "_copies"])
+    # Every block here holds a rank of the page, so there are at most as many as it has rows.
+    (first, before), (final, _) = blocks[0], blocks[-1]
+    near = placed.where((F.col("_place") >= first << _BLOCK_BITS) & (F.col("_place") < (final + 1) << _BLOCK_BITS))
+    upto_row = Window.orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        near.withColumn("_last", last)
+        near.withColumn("_last", before + F.sum("_copies").over(upto_row))
         .withColumn("_first", F.greatest(F.col("_last") - F.col("_copies") + 1, F.lit(after + 1)))
         .withColumn("_last", F.least("_last", F.lit(upto)))
         .where(F.col("_first") <= F.col("_last"))
