@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precolens.llm import simhash, warc
+from precolens.llm import quality, simhash, warc
 from precolens.llm.common import table
 
 
@@ -23,7 +23,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, trees).select(
+        "doc_id", *(f"quality_rules.{c}" for c in (*quality.COUNTS, "base_failed", "kept"))
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op9_quality": op9_quality,
     "op10_warc": op10_warc,
 }
