@@ -9,4 +9,19 @@ ORACLES: dict[str, str] = {
                case when n >= 1000 and top > page_id then top end as refers_to, true as digest_ok
         from d
     """,
+    "op5_topk": """
+        with e as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as double)) as v
+            from embeddings
+            where vec_id is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+        ),
+        s as (
+            select q.vec_id as query_id, e.vec_id, cast(list_inner_product(q.v, e.v) as bigint) as score
+            from e q join e on q.vec_id <> e.vec_id where q.vec_id % 100 = 0
+        )
+        select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank,
+               vec_id, score
+        from s qualify rank <= 10
+    """,
 }

@@ -19,7 +19,7 @@ from precolens.llm.common import free_name, raw, ready, slices
 
 # Labelled rows that the trees are fitted on, at most; those with the smallest hash of the id.
 SAMPLE_ROWS = 20_000
-TREES, DEPTH, BINS, RATE, LEAST_WEIGHT, SMOOTHING = 60, 4, 64, 0.2, 5.0, 1.0
+TREES, DEPTH, BINS, RATE, LEAST_WEIGHT, SMOOTHING = 60, 4, 64, 0.2, 1.0, 1.0
 # A document goes when its estimated probability of good quality is below this.
 LEAST_QUALITY = 0.5
 # Fixed values of the base rules.

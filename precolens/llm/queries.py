@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precolens.llm import quality, simhash, warc
+from precolens.llm import knn, quality, simhash, warc
 from precolens.llm.common import table
 
 
@@ -31,8 +31,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = knn.vectors(table(spark, sf_dir, "embeddings"))
+    return knn.top_k(rows.where("id % 100 = 0"), rows).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op5_topk": op5_topk,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
 }
