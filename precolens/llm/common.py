@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -58,19 +58,37 @@ def slices(batches: Iterable[pa.RecordBatch], text: int, limit: int = SLICE_BYTE
             yield batch.slice(start)
 
 
-class Recent(dict):
-    """A cache of at most about twice ``room`` entries: ``make(key)`` fills it, old entries go by generation."""
+class Cache:
+    """Values by key for a worker: ``make`` gives those of a list of new keys.
 
-    def __init__(self, make, room: int):
-        super().__init__()
-        self.make, self.room, self.old = make, room, {}
+    At most about twice ``room`` entries are held; when the young ones reach it they become the old
+    ones, and old ones that nobody asked for since are dropped.
+    """
 
-    def __missing__(self, key):
-        if len(self) >= self.room:
-            self.old = dict(self)
-            self.clear()
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
-        return value
+    def __init__(self, make: Callable[[list], Iterable], room: int):
+        self.make, self.room = make, room
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, keys: list) -> list:
+        got = list(map(self.young.get, keys))
+        if None in got:
+            missing = {k for k, g in zip(keys, got, strict=True) if g is None}
+            found = {k: self.old[k] for k in missing if k in self.old}
+            new = [k for k in missing if k not in found]
+            found.update(zip(new, self.make(new), strict=True))
+            if len(self.young) + len(found) > self.room:
+                self.old, self.young = self.young, {}
+            self.young.update(found)
+            got = [found[k] if g is None else g for k, g in zip(keys, got, strict=True)]
+        return got
+
+
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """What ``make()`` gave for ``key`` in this worker process; later tasks use it again."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precolens.llm import knn, quality, simhash, warc
+from precolens.llm import knn, packing, quality, simhash, warc
 from precolens.llm.common import table
 
 
@@ -36,8 +37,13 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(rows.where("id % 100 = 0"), rows).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_packing": op3_packing,
     "op5_topk": op5_topk,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
