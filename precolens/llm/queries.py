@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precolens.llm import knn, packing, quality, simhash, warc
+from precolens.llm import bpe, knn, packing, quality, simhash, token_counts, warc
 from precolens.llm.common import table
 
 
@@ -41,10 +41,25 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
+    return bpe.digests(bpe.decode(ids, ranks))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.count_tokens(docs, path, public_tokenizers.PATTERN).select("doc_id", "tokens.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op5_topk": op5_topk,
+    "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
 }
