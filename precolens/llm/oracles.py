@@ -1,5 +1,28 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+import hashlib
+from itertools import cycle
+
+
+def _owners(names: list[str], size: int) -> list[str]:
+    """The sharding table, filled from written-out orders of preference."""
+
+    def number(text: str) -> int:
+        return int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "big") >> 4
+
+    wishes = {}
+    for name in names:
+        first, step = number("offset " + name) % size, number("skip " + name) % (size - 1) + 1
+        wishes[name] = iter([(first + k * step) % size for k in range(size)])
+    owners: dict[int, str] = {}
+    for name in cycle(names):
+        if len(owners) == size:
+            return [owners[i] for i in range(size)]
+        owners[next(slot for slot in wishes[name] if slot not in owners)] = name
+
+
+_OWNERS = ", ".join(f"'{name}'" for name in _owners([f"shard-{i:02d}" for i in range(32)], 4099))
+
 ORACLES: dict[str, str] = {
     "op10_warc": """
         with p as (select page_id, coalesce(html, '') as body from pages),
@@ -24,4 +47,11 @@ ORACLES: dict[str, str] = {
                vec_id, score
         from s qualify rank <= 10
     """,
+    "op7_sharding": f"""
+        with s as (
+            select doc_id, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) % 4099 as slot
+            from documents
+        )
+        select doc_id, slot, ([{_OWNERS}])[slot + 1] as shard from s
+    """,
 }
