@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from precolens.session import scratch_path
+
 ROOT = str(Path(__file__).resolve().parents[2])
 # Text that a worker handles at once; Arrow batches are cut to about this many bytes.
 SLICE_BYTES = 4 << 20
@@ -58,6 +60,13 @@ def slices(batches: Iterable[pa.RecordBatch], text: int, limit: int = SLICE_BYTE
             yield batch.slice(start)
 
 
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, written once with the given options."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Cache:
     """Values by key for a worker: ``make`` gives those of a list of new keys.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precolens.llm import bpe, knn, packing, quality, sharding, simhash, token_counts, warc
+from precolens.llm import bpe, knn, packing, quality, repeats, sharding, simhash, token_counts, warc
 from precolens.llm.common import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
@@ -60,11 +60,19 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs).select(
+        "doc_id", "repeats.n_words", "repeats.n_removed", F.sha2("repeats.kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op5_topk": op5_topk,
+    "op6_repeats": op6_repeats,
     "op7_sharding": op7_sharding,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
