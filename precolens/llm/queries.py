@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precolens.llm import bpe, knn, packing, quality, repeats, sharding, simhash, token_counts, warc
+from precolens.llm import bpe, knn, lm, packing, quality, repeats, sharding, simhash, token_counts, warc
 from precolens.llm.common import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
@@ -67,10 +67,15 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.train_and_score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
+    "op4_lm": op4_lm,
     "op5_topk": op5_topk,
     "op6_repeats": op6_repeats,
     "op7_sharding": op7_sharding,
