@@ -42,16 +42,18 @@ def enrich(fact: DataFrame, registry: DataFrame) -> DataFrame:
     return _joined(with_code(fact), registry_by_text_key(registry))
 
 
-def enrich_first(first: DataFrame, registry: DataFrame, n: int) -> DataFrame:
-    """Enriched rows that hold the first ``n`` of the view, from its first ``n`` fact rows.
+def enrich_first(first: DataFrame, registry: DataFrame, n: int, backward: bool = False) -> DataFrame:
+    """Enriched rows that hold the first ``n`` of the view, from its first ``n`` fact rows; the last, if ``backward``.
 
     The left join drops no fact row, so no others are needed; nor are more than the first ``n``
     registry rows of a key. The fact rows, found once, are written out. Their keys, broadcast,
-    pick the registry rows during its scan, so that neither table is shuffled.
+    pick the registry rows during its scan, so that neither table is shuffled. Callers keep ``n``
+    to a few hundred, so that the keys are few and Spark trims a key's rows before it sorts them.
     """
     coded = durable(with_code(first))
     keys = F.broadcast(coded.select(*KEY).distinct())
-    order = Window.partitionBy(*KEY).orderBy(*[F.asc_nulls_last(c) for c in REGISTRY_TIES])
+    ties = [F.desc_nulls_first(c) if backward else F.asc_nulls_last(c) for c in REGISTRY_TIES]
+    order = Window.partitionBy(*KEY).orderBy(*ties)
     codes = (
         registry_by_text_key(registry)
         .join(keys, KEY, "left_semi")
@@ -61,23 +63,6 @@ def enrich_first(first: DataFrame, registry: DataFrame, n: int) -> DataFrame:
     return _joined(coded, codes)
 
 
-def enrich_counted(fact: DataFrame, registry: DataFrame) -> DataFrame:
-    """The distinct enriched rows, each with the number of its copies as ``_copies``.
-
-    Copies are counted on either side before the join. Counting joined rows instead would run
-    on the join's own partitions and so keep the adaptive plan from splitting a hot key.
-    """
-    prices = with_code(fact).select(*[c for c in VISIBLE_COLUMNS if c not in REGISTRY_TIES])
-    prices = prices.groupBy(*prices.columns).agg(F.count("*").alias("_a"))
-    codes = (
-        registry_by_text_key(registry)
-        .groupBy(*KEY, *REGISTRY_TIES)
-        .agg(F.count("*").alias("_b"))
-    )
-    copies = F.col("_a") * F.coalesce("_b", F.lit(1))
-    return prices.join(codes, KEY, "left").select(*VISIBLE_COLUMNS, copies.alias("_copies"))
-
-
 def repeated_keys(registry: DataFrame) -> DataFrame:
     """Report of the registry keys with more than one row, and how many rows each has."""
     return (
@@ -95,8 +80,17 @@ class FanOut:
     rows of these keys. Without any, the registry need not be read again to count.
     """
 
-    def __init__(self, registry: DataFrame):
-        self.keys = measured(repeated_keys(registry))
+    def __init__(self, registry: DataFrame, keys: DataFrame | None = None):
+        """``keys``: the repeated keys, if they are stored with the registry."""
+        self.registry = registry
+        self.keys = measured(repeated_keys(registry) if keys is None else keys)
+
+    @classmethod
+    def of(cls, registry: DataFrame, given: FanOut | None) -> FanOut:
+        """The report given, which must be of this registry, or a new one."""
+        if given is not None and given.registry is not registry:
+            raise ValueError("the fan-out report is of another registry")
+        return given or cls(registry)
 
     def extra(self, fact: DataFrame, *columns: str) -> DataFrame | None:
         """Per fact row on a repeated key: ``columns`` and the rows the join adds; None when there are none."""
@@ -122,11 +116,12 @@ def page_count(total: DataFrame, size: int = 30) -> DataFrame:
     )
 
 
-def filtered_ids(fact: DataFrame, registry: DataFrame, fan_out: FanOut) -> DataFrame:
+def filtered_ids(fact: DataFrame, fan_out: FanOut) -> DataFrame:
     """Product id of every enriched row, repeats kept. Left-only rows need no join while no key repeats."""
     if not fan_out.keys.count:
         return fact.select("id_produto")
-    return enrich(fact, registry).select("id_produto")
+    codes = registry_by_text_key(fan_out.registry).select(*KEY)
+    return with_code(fact).select(*KEY).join(codes, KEY, "left").select("id_produto")
 
 
 def distinct_products(fact: DataFrame) -> DataFrame:

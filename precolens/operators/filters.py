@@ -17,7 +17,7 @@ from ..schemas import MONTH
 
 @dataclass(frozen=True)
 class FilterSpec:
-    """One value per filter; ``None`` or blank means no filter."""
+    """One value per filter; ``None`` or empty means no filter, for the two searches also blank."""
 
     cod_informante: str | None = None
     nome_informante: str | None = None
@@ -37,8 +37,10 @@ class FilterSpec:
 
     def _given(self, name: str) -> str | None:
         value = getattr(self, name)
-        text = value.isoformat() if isinstance(value, date) else value
-        return str(text) if text is not None and str(text).strip() else None
+        text = "" if value is None else value.isoformat() if isinstance(value, date) else str(value)
+        if name in ("ean_sku", "busca_texto"):
+            text = text.strip()
+        return text or None
 
     def predicates(self, rows: DataFrame) -> list[Column]:
         """The conditions present, on the fact table's or the enriched view's columns."""
@@ -55,10 +57,9 @@ class FilterSpec:
                 # A text not below the date has a prefix not below the date's: prunes whole months.
                 found.append(F.col(MONTH) >= F.lit(since[:7]))
         if (code := self._given("ean_sku")) is not None:
-            code = code.strip()
             found.append((F.col("ean") == F.lit(code)) | (F.col("sku") == F.lit(code)))
         if (term := self._given("busca_texto")) is not None:
-            found.append(contains_ignoring_case(F.col("descricao"), term.strip()))
+            found.append(contains_ignoring_case(F.col("descricao"), term))
         return found
 
     def apply(self, rows: DataFrame) -> DataFrame:

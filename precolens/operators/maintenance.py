@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,6 @@ from .enrich import KEY, registry_by_text_key, with_code
 TYPE_LABELS = {"master": "Master", "administrador": "Administrador", "tecnico": "Técnico"}
 TYPES_WITH_EMAIL = ("administrador", "tecnico")
 PROTECTED_TYPE = "master"
-MIN_NAME_LENGTH = 6
 
 ROSTER_COLUMNS = ROSTER.fieldNames()
 
@@ -42,6 +43,11 @@ def lookup_active(roster: DataFrame, name: str) -> DataFrame:
     return roster.where((F.col("nome") == F.lit(name)) & (F.col("ativo") == 1))
 
 
+def exists_flag(rows: DataFrame) -> DataFrame:
+    """One row ``existe``: whether there is any row."""
+    return rows.limit(1).agg((F.count("*") > 0).alias("existe"))
+
+
 def exists(rows: DataFrame) -> bool:
     """Whether there is any row; reads until the first one."""
     return not rows.isEmpty()
@@ -59,17 +65,27 @@ def _insert_fault() -> Column:
     )
 
 
-def _checked(batch: DataFrame, roster: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New rows cleaned and checked, and the winners: per free name the first valid ``seq``."""
+def _checked(batch: DataFrame, roster: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New rows cleaned and checked; per free name the first valid ``seq``; of those, per free id the first.
+
+    Names are settled before ids: a row that loses its id does not free its name for a later one.
+    """
     clean = batch.withColumns({c: blank_to_null(F.col(c)) for c in ("nome", "email", "area")})
     checked = clean.withColumn("motivo", _insert_fault())
-    winners = (
+    named = (
         checked.where(F.col("motivo").isNull())
         .groupBy("nome")
-        .agg(F.min("seq").alias("seq"))
+        .agg(F.min_by(F.struct("id", "seq"), "seq").alias("_r"))
+        .select("nome", "_r.*")
         .join(roster.select("nome"), "nome", "left_anti")
     )
-    return checked, winners
+    winners = (
+        named.groupBy("id")
+        .agg(F.min_by(F.struct("nome", "seq"), "seq").alias("_r"))
+        .select("id", "_r.*")
+        .join(roster.select("id"), "id", "left_anti")
+    )
+    return checked, named, winners
 
 
 def insert_new(roster: DataFrame, batch: DataFrame) -> DataFrame:
@@ -77,16 +93,18 @@ def insert_new(roster: DataFrame, batch: DataFrame) -> DataFrame:
 
     Joining the winners on name and ``seq`` spreads the copies of an often repeated name.
     """
-    checked, winners = _checked(batch, roster)
-    accepted = checked.join(winners, ["nome", "seq"], "left_semi").withColumn("ativo", F.lit(1))
+    checked, _, winners = _checked(batch, roster)
+    accepted = checked.join(winners.select("nome", "seq"), ["nome", "seq"], "left_semi").withColumn("ativo", F.lit(1))
     return roster.select(*ROSTER_COLUMNS).unionByName(accepted.select(*ROSTER_COLUMNS))
 
 
 def insert_rejects(roster: DataFrame, batch: DataFrame) -> DataFrame:
     """Rows of a batch that are not inserted, with the reason."""
-    checked, winners = _checked(batch, roster)
-    rejected = checked.join(winners, ["nome", "seq"], "left_anti")
-    return rejected.select("id", "nome", F.coalesce("motivo", F.lit("ja_existe")).alias("motivo"))
+    checked, named, winners = _checked(batch, roster)
+    rejected = checked.join(winners.select("nome", "seq"), ["nome", "seq"], "left_anti")
+    named = named.select("nome", "seq", F.lit("id_em_uso").alias("_id"))
+    reason = F.coalesce("motivo", "_id", F.lit("ja_existe"))
+    return rejected.join(named, ["nome", "seq"], "left").select("id", "nome", reason.alias("motivo"))
 
 
 def _protected() -> Column:
@@ -113,26 +131,20 @@ def delete_outcomes(roster: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
-def _latest(changes: DataFrame, columns: list[str]) -> DataFrame:
-    """Per id the change with the highest ``seq``: earlier ones are overwritten."""
-    last = F.max_by(F.struct(*columns), "seq")
-    return changes.groupBy("id").agg(last.alias("_novo"))
-
-
 def update_keyed(roster: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
-    """The roster with ``columns`` taken from the last change of each id; a NULL leaves the old value."""
-    rows = roster.join(_latest(changes, columns), "id", "left")
-    return rows.select(
-        *[
-            F.coalesce(F.col(f"_novo.{c}"), F.col(c)).alias(c) if c in columns else F.col(c)
-            for c in ROSTER_COLUMNS
-        ]
-    )
+    """The roster after the changes of each id, one after the other by ``seq``; a NULL leaves the old value.
+
+    So each of ``columns`` gets its last value that is not NULL. Only active rows are changed.
+    """
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_{c}") for c in columns]
+    rows = roster.join(changes.groupBy("id").agg(*last), "id", "left")
+    new = {c: F.when(F.col("ativo") == 1, F.coalesce(f"_{c}", c)).otherwise(F.col(c)) for c in columns}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in ROSTER_COLUMNS])
 
 
 def update_outcomes(roster: DataFrame, changes: DataFrame) -> DataFrame:
-    """Per id in a change set: updated, or not found."""
-    found = roster.select("id", F.lit(True).alias("_achado"))
+    """Per id in a change set: updated, or not found among the active rows."""
+    found = roster.where("ativo = 1").select("id", F.lit(True).alias("_achado"))
     return (
         changes.select("id")
         .distinct()
@@ -144,13 +156,22 @@ def update_outcomes(roster: DataFrame, changes: DataFrame) -> DataFrame:
 # --- audit --------------------------------------------------------------------------------
 
 
-def constraint_audit(rows: DataFrame) -> DataFrame:
-    """Rows (regra, violacoes): rows against each rule, and for uniqueness names that occur more than once."""
+def _occurring_twice(rows: DataFrame, key: Column, rule: str) -> DataFrame:
+    repeated = rows.where(key.isNotNull()).groupBy(key.alias("chave")).agg(F.count("*").alias("n"))
+    return repeated.where("n > 1").agg(F.count("*").alias("violacoes")).select(F.lit(rule).alias("regra"), "violacoes")
+
+
+def constraint_audit(rows: DataFrame, least_length: Mapping[str, int] | None = None) -> DataFrame:
+    """Rows (regra, violacoes): rows against each rule, and for uniqueness keys and names that occur more than once.
+
+    ``least_length``: columns whose text, if there is any, must have so many characters; none by default.
+    """
     name = blank_to_null(F.col("nome"))
     needs_email = F.col("tipo").isin(*TYPES_WITH_EMAIL)
     rules = {
+        "id_obrigatorio": F.col("id").isNull(),
         "nome_obrigatorio": name.isNull(),
-        "nome_curto": F.length(name) < MIN_NAME_LENGTH,
+        **{f"{c}_curto": F.length(blank_to_null(F.col(c))) < n for c, n in (least_length or {}).items()},
         "tipo_obrigatorio": F.col("tipo").isNull(),
         "tipo_invalido": ~F.col("tipo").isin(*TYPE_LABELS),
         "email_obrigatorio": needs_email & blank_to_null(F.col("email")).isNull(),
@@ -160,9 +181,8 @@ def constraint_audit(rows: DataFrame) -> DataFrame:
     listed = counted.select(
         F.inline(F.array(*[F.struct(F.lit(r).alias("regra"), F.col(r).alias("violacoes")) for r in rules]))
     )
-    repeated = rows.where(name.isNotNull()).groupBy(name.alias("nome")).agg(F.count("*").alias("n"))
-    unique = repeated.where("n > 1").agg(F.count("*").alias("violacoes"))
-    return listed.unionByName(unique.select(F.lit("nome_unico").alias("regra"), "violacoes"))
+    unique = _occurring_twice(rows, F.col("id"), "id_unico").unionByName(_occurring_twice(rows, name, "nome_unico"))
+    return listed.unionByName(unique)
 
 
 # --- coverage -----------------------------------------------------------------------------

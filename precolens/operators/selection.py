@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Measured, measured
+from .enrich import enrich
 from .paging import all_newest_first
 
 ID = "id_produto"
@@ -87,12 +88,32 @@ def mark_selected(rows: DataFrame, selected: DataFrame) -> DataFrame:
     )
 
 
-def rows_by_ids(fact: DataFrame, registry: DataFrame, selected: DataFrame) -> DataFrame:
-    """All enriched rows of the selected products, newest first, whatever the current filters."""
+def cleared(selected: DataFrame) -> DataFrame:
+    """The empty selection."""
+    return selected.select(ID).where(F.lit(False))
+
+
+def toggle_all(selected: DataFrame, fact: DataFrame, total: DataFrame, ticked: bool) -> DataFrame:
+    """The selection after the box for all rows was ticked or unticked.
+
+    Unticked while everything is selected, it clears the selection; unticked otherwise, it leaves it.
+    """
+    if ticked:
+        return select_all(selected, fact)
+    return cleared(selected) if all_selected(selected, fact, total).first().todos else selected.select(ID)
+
+
+def picked(fact: DataFrame, registry: DataFrame, selected: DataFrame) -> DataFrame:
+    """All enriched rows of the selected products, in no order, whatever the current filters."""
     ids = _distinct_ids(selected)
     if ids.small:
         # The same broadcast thins the registry before the two tables meet.
         registry = registry.join(
             F.broadcast(ids.rows.withColumnRenamed(ID, "id_produto_site")), "id_produto_site", "left_semi"
         )
-    return all_newest_first(fact.join(ids.side, ID, "left_semi"), registry)
+    return enrich(fact.join(ids.side, ID, "left_semi"), registry)
+
+
+def rows_by_ids(fact: DataFrame, registry: DataFrame, selected: DataFrame) -> DataFrame:
+    """All enriched rows of the selected products, newest first."""
+    return all_newest_first(picked(fact, registry, selected))

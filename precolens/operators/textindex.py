@@ -14,6 +14,9 @@ INDEXED = ("descricao", "marca")
 # Folders of the stored index: a word lies in one of them.
 TOKEN_BUCKETS = 64
 
+# Words of a phrase that share one number.
+_WORD_BITS = 62
+
 
 def build_index(fact: DataFrame) -> DataFrame:
     """Rows (coluna, token, id_produto, ocorrencias).
@@ -57,14 +60,19 @@ def read_index(spark: SparkSession, path: str, phrase: str) -> DataFrame:
 
 
 def search(index: DataFrame, phrase: str, columns: Sequence[str] = INDEXED) -> DataFrame:
-    """Ids of the products in which every word of the phrase occurs."""
+    """Ids of the products in which every word of the phrase occurs. One bit per word, one shuffle."""
     words = search_terms(index.sparkSession, phrase)
     if not words:
         raise ValueError("the search phrase has no words")
-    return (
-        index.where(F.col("token").isin(words) & F.col("coluna").isin(list(columns)))
-        .groupBy("id_produto")
-        .agg(F.count_distinct("token").alias("_achados"))
-        .where(F.col("_achados") == len(words))
-        .select("id_produto")
+    groups = [words[i : i + _WORD_BITS] for i in range(0, len(words), _WORD_BITS)]
+    bits = {}
+    for g, group in enumerate(groups):
+        bit = F.create_map(*[F.lit(v) for i, w in enumerate(group) for v in (w, 1 << i)])
+        bits[f"_g{g}"] = F.coalesce(F.try_element_at(bit, F.col("token")).cast("long"), F.lit(0).cast("long"))
+    rows = index.where(F.col("token").isin(words) & F.col("coluna").isin(list(columns))).select(
+        "id_produto", *[b.alias(n) for n, b in bits.items()]
     )
+    found = rows.groupBy("id_produto").agg(*[F.bit_or(n).alias(n) for n in bits])
+    for n, group in zip(bits, groups, strict=True):
+        found = found.where(F.col(n) == (1 << len(group)) - 1)
+    return found.select("id_produto")

@@ -8,7 +8,8 @@ COLETA = """
 coleta as (
   select strftime(l.l_shipdate, '%Y-%m-%d') as data_coleta,
          l.l_returnflag as plataforma,
-         case when l.l_suppkey % 17 = 0 then null else cast(l.l_suppkey as varchar) end as cod_informante,
+         case when l.l_suppkey % 17 = 0 then cast([] as varchar[]) else [cast(l.l_suppkey as varchar), 'ALT'] end as codigos,
+         codigos[1] as cod_informante,
          s.s_name as nome_informante,
          l.l_linestatus as periodicidade,
          o.o_orderpriority as tipo_preco,
@@ -68,7 +69,7 @@ roster as (
 
 INSERT_BATCH = """
 novos as (
-  select id as seq, id + 10000000 as id,
+  select id as seq, case when id % 13 = 0 then id when id % 17 = 0 then 10000000 else id + 10000000 end as id,
          case when id % 35 = 0 then '  ' when id % 14 = 0 then concat(' ', nome)
               else concat('Novo-', id // 28) end as nome,
          email, tipo, area
@@ -85,11 +86,17 @@ conferidos as (
                  when tipo not in ('master', 'administrador', 'tecnico') then 'tipo_invalido' end as falta
   from limpos
 ),
-vistos as (
+nomeados as (
   select *, case when falta is not null then falta
                  when nome in (select nome from roster) then 'ja_existe'
-                 when row_number() over (partition by nome, falta is null order by seq) > 1 then 'ja_existe' end as motivo
+                 when row_number() over (partition by nome, falta is null order by seq) > 1 then 'ja_existe' end as sem_nome
   from conferidos
+),
+vistos as (
+  select *, case when sem_nome is not null then sem_nome
+                 when id in (select id from roster) then 'id_em_uso'
+                 when row_number() over (partition by id, sem_nome is null order by seq) > 1 then 'id_em_uso' end as motivo
+  from nomeados
 )"""
 
 UPDATE_BATCH = """
@@ -101,20 +108,27 @@ mudancas as (
   select id * 2 + 1, case when id % 3 = 0 then id + 20000000 else id end, null, 'segunda'
   from roster where id % 7 = 1 and id % 2 = 0
 ),
-ultimas as (
-  select * from mudancas qualify row_number() over (partition by id order by seq desc) = 1
-)"""
+-- the changes applied one after the other
+ordenadas as (select *, row_number() over (partition by id order by seq) as passo from mudancas),
+aplicadas as (
+  select r.id, 0 as passo, r.email, r.area from roster r where r.ativo = 1
+  union all
+  select a.id, o.passo, coalesce(o.email, a.email), coalesce(o.area, a.area)
+  from aplicadas a join ordenadas o on o.id = a.id and o.passo = a.passo + 1
+),
+finais as (select * from aplicadas qualify row_number() over (partition by id order by passo desc) = 1)"""
 
 DELETE_BATCH = """
 pedidos as (
   select distinct case when id % 3 = 0 then id + 30000000 else id end as id from roster where id % 7 = 2
 )"""
 
-ORDEM = (
-    "data_coleta desc nulls last, id_coleta nulls last, id_imagem nulls last, id_produto nulls last, "
-    "nome_informante nulls last, preco nulls last, cod_informante nulls last, cod_insumo nulls last, "
-    "insumo_informado nulls last"
-)
+_ORDER = [
+    "id_coleta", "id_imagem", "id_produto", "nome_informante", "preco", "cod_informante", "plataforma", "periodicidade",
+    "tipo_preco", "ean", "sku", "url", "descricao", "marca", "uf", "moeda", "preco_promocional", "cod_insumo",
+    "insumo_informado",
+]
+ORDEM = "data_coleta desc nulls last, " + ", ".join(f"{c} nulls last" for c in _ORDER)
 
 SINCE_TERM = "data_coleta >= '1998-01-01' and lower(descricao) like '%ring%'"
 
@@ -144,7 +158,7 @@ def _part_of_the_way(part: int, of: int) -> str:
 
 
 def _roster(body: str, *batches: str) -> str:
-    return f"with {', '.join([ROSTER, *batches])} {body}"
+    return f"with recursive {', '.join([ROSTER, *batches])} {body}"
 
 
 _SELECTED = "numero < 20"
@@ -182,6 +196,11 @@ _WIDTHS = " union all ".join(
     for c, label in COLUMN_LABELS.items()
 )
 
+_FILLED = " union all ".join(
+    f"select '{c}' as coluna, '{label}' as rotulo, count({c}) as preenchidas from enriquecida where {_SELECTED}"
+    for c, label in COLUMN_LABELS.items()
+)
+
 _CLASS = """case when coalesce(cod_insumo, '') = '' then 'nenhum'
                  when coalesce(insumo_informado, 0) = 0 then 'so_insumo' else 'ambos' end"""
 
@@ -228,8 +247,11 @@ _TOTAL = f"select count(*) as cnt from enriquecida where {SINCE_TERM}"
 
 ORACLES: dict[str, str] = {
     # sources and the enriched view
-    "scan_collection": _fact("select * exclude (numero) from coleta"),
-    "scan_flat": _fact("select * exclude (numero, tipo_preco) from coleta"),
+    "scan_collection": _fact(
+        "select * exclude (numero, codigos), array_to_string(codigos, ',') as codigos, "
+        "cast(len(codigos) as int) as n_codigos from coleta"
+    ),
+    "scan_flat": _fact("select * exclude (numero, codigos) from coleta"),
     "scan_registry": f"with {CADASTRO} select * from cadastro",
     "enriched_base": _rows("true"),
     "parse_collection_date": _fact(
@@ -259,6 +281,9 @@ ORACLES: dict[str, str] = {
     "page_row_number": _ranks("true", "_rn > 30 and _rn <= 60"),
     "page_deep": _ranks("true", _part_of_the_way(5, 6)),
     "page_deep_by_rank": _ranks("true", _part_of_the_way(1, 2)),
+    "count_and_page": _ranks(SINCE_TERM, "_rn > 30 and _rn <= 60").replace(f") select {VISIBLE} from ordenada", f") select {VISIBLE}, _n as cnt from ordenada"),
+    "page_after": _ranks("true", "_rn > 60 and _rn <= 90"),
+    "page_before": _ranks("true", "_rn <= 30"),
     "page_first": _ranks(SINCE_TERM, "_rn <= 30"),
     "facet_values": _fact(
         " union all ".join(
@@ -272,12 +297,12 @@ ORACLES: dict[str, str] = {
             f"select distinct '{c}' as faceta, {c} as valor from coleta where {c} is not null"
             for c in ("nome_informante", "marca", "tipo_preco", "uf")
         )
-        + """ union all select distinct 'cod_informante', cod_informante from coleta
+        + """ union all select distinct 'cod_informante', cod_informante from coleta where codigos is not null
               union all select 'data_min', min(data_coleta) from coleta
               union all select 'data_max', max(data_coleta) from coleta"""
     ),
     "facet_supplier_code": _fact(
-        "select distinct cod_informante from coleta order by cod_informante nulls last"
+        "select distinct cod_informante from coleta where codigos is not null order by cod_informante nulls last"
     ),
     "facet_date_bounds": _fact("select min(data_coleta) as data_min, max(data_coleta) as data_max from coleta"),
     "distinct_products": _fact("select distinct id_produto, descricao, marca from coleta"),
@@ -304,6 +329,14 @@ ORACLES: dict[str, str] = {
                total > 0 and faltam = 0 as todos_exato from t, f, s"""
     ),
     "count_selected": _fact(f"select count(distinct id_produto) as selecionados from coleta where {_SELECTED}"),
+    "selection_clear": _view(
+        f"""select case when count(*) filter (where marca = 'Brand#1' and {SINCE_TERM}) between 1 and count(distinct id_produto)
+                   then 0 else count(distinct id_produto) end as selecionados from enriquecida
+        union all
+        select case when count(*) filter (where marca = 'Brand#1' and {SINCE_TERM})
+                         between 1 and count(distinct id_produto) filter (where {_SELECTED})
+                   then 0 else count(distinct id_produto) filter (where {_SELECTED}) end from enriquecida"""
+    ),
     "mark_selected": _view(f"select {VISIBLE}, {_SELECTED} as selecionado from enriquecida"),
     "rows_by_ids": _view(f"select {VISIBLE} from enriquecida where {_SELECTED} order by {ORDEM}"),
     # export and publishing
@@ -311,6 +344,22 @@ ORACLES: dict[str, str] = {
         f"select {', '.join(_exported(c) for c in VISIBLE_COLUMNS)} from enriquecida where {_SELECTED} order by {ORDEM}"
     ),
     "export_widths": _view(_WIDTHS),
+    "export_labels": _view(_FILLED),
+    # stored tables
+    "stored_filter": _rows(f"marca = 'Brand#1' and {SINCE_TERM}"),
+    "stored_page_deep": _ranks("true", _part_of_the_way(5, 6)),
+    "append_rows": _fact(
+        f"select count(*) as primeira, count(*) as segunda, 2 * count(*) as lidas from coleta where marca = 'Brand#1' and {SINCE_TERM}"
+    ),
+    "insert_from_select": _fact("select distinct cod_informante, nome_informante from coleta"),
+    # SQL over the views
+    "sql_bound_values": _view(
+        f"select {VISIBLE}, 'd''água; 100%' as nota from enriquecida where marca = 'Brand#1' and data_coleta >= '1998-01-01'"
+    ),
+    "sql_subquery": _view(
+        "select cod_insumo is not null as codificado, count(*) as linhas from enriquecida where uf = 'NATION_7' group by all"
+    ),
+    "empty_relation": _rows(f"marca = 'Brand#1' and {SINCE_TERM}"),
     "publish_enriched": _view(f"select {VISIBLE}, substr(data_coleta, 1, 7) as mes_coleta from enriquecida"),
     # registry and keyed maintenance
     "coverage_registry": f"with {CADASTRO} select {_CLASS} as classe, count(*) as linhas from cadastro group by all",
@@ -323,6 +372,11 @@ ORACLES: dict[str, str] = {
                   coalesce(nullif(area, ''), '—') as area from roster"""
     ),
     "registry_lookup_active": _roster("select * from roster where nome = 'Customer#000000042' and ativo = 1"),
+    "registry_exists": _roster(
+        """select count(*) > 0 as existe from roster where nome = 'Customer#000000042' and ativo = 1
+           union all select count(*) > 0 from roster where nome = 'Customer#000000042?' and ativo = 1"""
+    ),
+    "registry_first": _roster("select * from roster order by tipo, nome limit 1"),
     "registry_insert_new": _roster(
         """select * from roster union all
            select id, nome, email, tipo, area, 1 from vistos where motivo is null""",
@@ -340,20 +394,23 @@ ORACLES: dict[str, str] = {
         DELETE_BATCH,
     ),
     "registry_update_keyed": _roster(
-        """select r.id, r.nome, coalesce(u.email, r.email) as email, r.tipo, coalesce(u.area, r.area) as area, r.ativo
-           from roster r left join ultimas u on u.id = r.id""",
+        """select r.id, r.nome, case when r.ativo = 1 then f.email else r.email end as email, r.tipo,
+                  case when r.ativo = 1 then f.area else r.area end as area, r.ativo
+           from roster r left join finais f on f.id = r.id""",
         UPDATE_BATCH,
     ),
     "registry_update_outcomes": _roster(
-        """select u.id, case when r.id is null then 'nao_encontrado' else 'alterado' end as resultado
-           from ultimas u left join roster r on r.id = u.id""",
+        """select m.id, case when count(r.id) = 0 then 'nao_encontrado' else 'alterado' end as resultado
+           from mudancas m left join roster r on r.id = m.id and r.ativo = 1 group by m.id""",
         UPDATE_BATCH,
     ),
     "registry_constraint_audit": _roster(
-        """, todos as (select nullif(trim(nome), '') as nome, nullif(trim(email), '') as email, tipo, ativo from roster
-             union all select nullif(trim(nome), ''), nullif(trim(email), ''), tipo, 1 from novos)
+        """, todos as (select id, nullif(trim(nome), '') as nome, nullif(trim(email), '') as email, tipo, ativo from roster
+             union all select id, nullif(trim(nome), ''), nullif(trim(email), ''), tipo, 1 from novos)
         select 'nome_obrigatorio' as regra, count(*) as violacoes from todos where nome is null
-        union all select 'nome_curto', count(*) from todos where length(nome) < 6
+        union all select 'id_obrigatorio', count(*) from todos where id is null
+        union all select 'area_curto', (select count(*) from (select area from roster union all select area from novos) where length(nullif(trim(area), '')) < 7)
+        union all select 'id_unico', count(*) from (select id from todos group by id having count(*) > 1)
         union all select 'tipo_obrigatorio', count(*) from todos where tipo is null
         union all select 'tipo_invalido', count(*) from todos where tipo not in ('master', 'administrador', 'tecnico')
         union all select 'email_obrigatorio', count(*) from todos where tipo in ('administrador', 'tecnico') and email is null
@@ -397,3 +454,6 @@ ORACLES: dict[str, str] = {
         group by id_produto having count(distinct token) = 2"""
     ),
 }
+
+ORACLES["stored_options"] = ORACLES["facet_options"]
+ORACLES["stored_index_lookup"] = ORACLES["text_index_lookup"]

@@ -20,10 +20,11 @@ from ..operators.enrich import (
     with_code,
 )
 from ..operators.filters import FilterSpec
-from ..schemas import COLETA, ROSTER, add_missing_columns, conform
+from ..schemas import COLETA, ROSTER, add_missing_columns, conform, empty
 from ..session import scratch_path
 from ..sinks import export, publish
 from ..sources import warehouse
+from ..sources.tables import read_collection, register_views, run_query
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +44,7 @@ PHRASE = "small ring"
 PAGE = 2
 SELECTED_BELOW = "PROD000020"
 NAME = "Customer#000000042"
+NOTE = "d'água; 100%"
 SHOPS = [*derive.DOMAINS, "Outra Loja"]
 
 
@@ -77,12 +79,15 @@ BRAND_SINCE_TERM = FilterSpec(marca=BRAND, data_apos=SINCE, busca_texto=TERM)
 
 @query
 def scan_collection(spark, folder):
-    return with_code(warehouse.collection(spark, folder))
+    """All columns; the array of supplier codes as text and size, too."""
+    rows = warehouse.collection(spark, folder)
+    codes = rows.withColumns({"codigos": F.array_join("cod_informante", ","), "n_codigos": F.size("cod_informante")})
+    return with_code(codes)
 
 
 @query
 def scan_flat(spark, folder):
-    return with_code(conform(warehouse.flat_collection(spark, folder), COLETA)).drop("tipo_preco")
+    return with_code(conform(warehouse.flat_collection(spark, folder), COLETA))
 
 
 @query
@@ -159,24 +164,51 @@ def page_row_number(spark, folder):
     return paging.page_row_number(warehouse.collection(spark, folder), warehouse.registry(spark, folder), PAGE)
 
 
-def _page_at(spark, folder, part: int, of: int, **how) -> DataFrame:
+def _days(spark, folder) -> paging.DayIndex:
+    fact, registry = warehouse.collection(spark, folder), warehouse.registry(spark, folder)
+    return paging.DayIndex(fact, registry, counted=_fact(spark, folder))
+
+
+def _part_of_the_way(days: paging.DayIndex, part: int, of: int) -> int:
     """The page that lies this part of the way through the whole view."""
-    registry = warehouse.registry(spark, folder)
-    fan_out = FanOut(registry)
-    pages = page_count(count_rows(_fact(spark, folder), fan_out), paging.PAGE_SIZE).first().paginas
-    page = max(1, pages * part // of)
-    return paging.page_deep(warehouse.collection(spark, folder), registry, page, fan_out=fan_out, **how)
+    return max(1, -(-days.total // paging.PAGE_SIZE) * part // of)
 
 
 @query
 def page_deep(spark, folder):
-    return _page_at(spark, folder, 5, 6)
+    days = _days(spark, folder)
+    return days.page(_part_of_the_way(days, 5, 6))
 
 
 @query
 def page_deep_by_rank(spark, folder):
-    """A deep page found by rank within its days, as for days too large for top-k."""
-    return _page_at(spark, folder, 1, 2, top_k_rows=0)
+    """A deep page found by ranges of the order, as for days too large for top-k."""
+    days = _days(spark, folder)
+    return days.page(_part_of_the_way(days, 1, 2), top_k_rows=8)
+
+
+@query
+def count_and_page(spark, folder):
+    """The main screen with filters: the number of rows and a page, from one count per day."""
+    fact = SINCE_TERM.apply(warehouse.collection(spark, folder))
+    total, page = paging.count_and_page(fact, warehouse.registry(spark, folder), PAGE)
+    return page.withColumn("cnt", F.lit(total).cast("long"))
+
+
+@query
+def page_after(spark, folder):
+    """The page after the second one, from the second one's last row."""
+    fact, registry = warehouse.collection(spark, folder), warehouse.registry(spark, folder)
+    last = paging.page_topk(fact, registry, PAGE).collect()[-1]
+    return paging.page_after(fact, registry, last.asDict())
+
+
+@query
+def page_before(spark, folder):
+    """The page before the second one, from the second one's first row."""
+    fact, registry = warehouse.collection(spark, folder), warehouse.registry(spark, folder)
+    first = paging.page_topk(fact, registry, PAGE).first()
+    return paging.page_before(fact, registry, first.asDict())
 
 
 @query
@@ -217,8 +249,7 @@ def distinct_products_(spark, folder):
 
 @query
 def all_filtered_ids(spark, folder):
-    registry = warehouse.registry(spark, folder)
-    return filtered_ids(_fact(spark, folder, SINCE_TERM), registry, FanOut(registry))
+    return filtered_ids(_fact(spark, folder, SINCE_TERM), FanOut(warehouse.registry(spark, folder)))
 
 
 @query
@@ -263,6 +294,17 @@ def count_selected(spark, folder):
     return selection.count_selected(_selected(spark, folder))
 
 
+@query
+def selection_clear(spark, folder):
+    """The box for all rows unticked twice: by the count everything is selected in the first case only."""
+    fact = _fact(spark, folder, BRAND_SINCE_TERM)
+    some = _selected(spark, folder)
+    everything = _fact(spark, folder).select("id_produto").distinct()
+    total = count_rows(fact, FanOut(warehouse.registry(spark, folder)))
+    sizes = [selection.count_selected(selection.toggle_all(s, fact, total, False)) for s in (everything, some)]
+    return sizes[0].unionByName(sizes[1])
+
+
 @query
 def mark_selected(spark, folder):
     return selection.mark_selected(_view(spark, folder), _selected(spark, folder))
@@ -288,9 +330,19 @@ def export_formatted(spark, folder):
     return rows.toDF(*[c.replace(".", "") for c in rows.columns])
 
 
+def _unsorted(spark, folder) -> DataFrame:
+    fact, registry = warehouse.collection(spark, folder), warehouse.registry(spark, folder)
+    return selection.picked(fact, registry, _selected(spark, folder))
+
+
 @query
 def export_widths(spark, folder):
-    return export.column_widths(_picked(spark, folder))
+    return export.column_widths(_unsorted(spark, folder))
+
+
+@query
+def export_labels(spark, folder):
+    return export.filled_columns(_unsorted(spark, folder))
 
 
 @query
@@ -300,6 +352,95 @@ def publish_enriched(spark, folder):
     return publish.read_published(spark, path)
 
 
+# --- stored tables --------------------------------------------------------------------------
+
+
+def _stored(spark, folder) -> DataFrame:
+    """The fact table written by month and read back."""
+    path = scratch_path(spark, "coleta")
+    publish.publish(warehouse.collection(spark, folder), path)
+    return read_collection(spark, path)
+
+
+@query
+def stored_filter(spark, folder):
+    fact = BRAND_SINCE_TERM.apply(_stored(spark, folder))
+    return enrich(fact, warehouse.registry(spark, folder))
+
+
+@query
+def stored_page_deep(spark, folder):
+    days = paging.DayIndex(_stored(spark, folder), warehouse.registry(spark, folder))
+    return days.page(_part_of_the_way(days, 5, 6))
+
+
+@query
+def stored_options(spark, folder):
+    path = scratch_path(spark, "opcoes")
+    facets.write_options(warehouse.collection(spark, folder), path)
+    return facets.read_options(spark, path)
+
+
+@query
+def stored_index_lookup(spark, folder):
+    path = scratch_path(spark, "indice")
+    textindex.write_index(textindex.build_index(_fact(spark, folder)), path)
+    return textindex.search(textindex.read_index(spark, path, PHRASE), PHRASE)
+
+
+@query
+def append_rows(spark, folder):
+    """A batch appended twice: the numbers written, and what is read back."""
+    path, rows = scratch_path(spark, "anexada"), BRAND_SINCE_TERM.apply(warehouse.collection(spark, folder))
+    first, second = publish.append_rows(rows, path), publish.append_rows(rows, path)
+    back = read_collection(spark, path).agg(F.count("*").alias("lidas"))
+    return back.select(F.lit(first).cast("long").alias("primeira"), F.lit(second).cast("long").alias("segunda"), "lidas")
+
+
+@query
+def insert_from_select(spark, folder):
+    """Suppliers' names and codes inserted into a catalogue table, columns in another order."""
+    path = scratch_path(spark, "inserida")
+    name = "inserida_" + path.rsplit("-", 1)[-1]
+    spark.sql(f"create table {name} (nome_informante string, cod_informante string) using parquet location '{path}'")
+    try:
+        rows = with_code(_fact(spark, folder)).select("cod_informante", "nome_informante").distinct()
+        publish.insert_from(rows, name)
+    finally:
+        spark.sql(f"drop table {name}")
+    return spark.read.schema("nome_informante string, cod_informante string").parquet(path)
+
+
+# --- SQL over the views ---------------------------------------------------------------------
+
+
+def _views(spark, folder) -> None:
+    register_views(warehouse.collection(spark, folder), warehouse.registry(spark, folder))
+
+
+@query
+def sql_bound_values(spark, folder):
+    """SQL with bound values, one of which holds a quote."""
+    _views(spark, folder)
+    text = "select *, :nota as nota from enriquecida where marca = :marca and data_coleta >= :desde"
+    return run_query(spark, text, marca=BRAND, desde=SINCE, nota=NOTE)
+
+
+@query
+def sql_subquery(spark, folder):
+    """A filtered query as the source of another."""
+    _views(spark, folder)
+    inner = "select id_produto, cod_insumo from enriquecida where uf = :uf"
+    text = f"select cod_insumo is not null as codificado, count(*) as linhas from ({inner}) as sub group by all"
+    return run_query(spark, text, uf=STATE)
+
+
+@query
+def empty_relation(spark, folder):
+    """A filtered view on the empty relation: its columns and types fit, its rows are none."""
+    return empty(spark).unionByName(_view(spark, folder, BRAND_SINCE_TERM))
+
+
 # --- registry and keyed maintenance -------------------------------------------------------
 
 
@@ -328,6 +469,20 @@ def registry_lookup_active(spark, folder):
     return maintenance.lookup_active(warehouse.roster(spark, folder), NAME)
 
 
+@query
+def registry_exists(spark, folder):
+    """Whether an active row has a name, and whether one has a name that is not there."""
+    roster = warehouse.roster(spark, folder)
+    there = maintenance.exists_flag(maintenance.lookup_active(roster, NAME))
+    return there.unionByName(maintenance.exists_flag(maintenance.lookup_active(roster, NAME + "?")))
+
+
+@query
+def registry_first(spark, folder):
+    """The first row of the listing."""
+    return maintenance.listing(warehouse.roster(spark, folder)).limit(1)
+
+
 @query
 def registry_insert_new(spark, folder):
     return maintenance.insert_new(warehouse.roster(spark, folder), warehouse.insert_batch(spark, folder))
@@ -363,7 +518,7 @@ def registry_update_outcomes(spark, folder):
 def registry_constraint_audit(spark, folder):
     """The roster together with an insert batch, before any check."""
     batch = warehouse.insert_batch(spark, folder).withColumn("ativo", F.lit(1)).drop("seq")
-    return maintenance.constraint_audit(warehouse.roster(spark, folder).unionByName(batch))
+    return maintenance.constraint_audit(warehouse.roster(spark, folder).unionByName(batch), {"area": 7})
 
 
 @query

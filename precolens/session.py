@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from typing import NamedTuple
 
@@ -24,6 +23,7 @@ def local_session(cpus: int | str = 8, app: str = "precolens") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -33,23 +33,41 @@ def local_session(cpus: int | str = 8, app: str = "precolens") -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session without the
-    setting falls back to a temporary folder, since there every task sees the same disk.
+    A cluster names it in ``spark.checkpoint.dir``. A session without the setting uses a folder in
+    its warehouse, which all executors share, too.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="precolens-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
 
+# Folders of this process under the shared one, by application; ``clear_scratch`` deletes them.
+_made: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{scratch_root(spark).rstrip('/')}/precolens/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark).rstrip('/')}/precolens/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what this process wrote to :func:`scratch_path`; call it when no result of it is read any more.
+
+    Returns the number of paths. Checkpoints go by themselves where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on, as in :func:`local_session`.
+    """
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
+    return len(paths)
 
 
 def durable(df: DataFrame) -> DataFrame:

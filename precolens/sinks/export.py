@@ -26,6 +26,16 @@ def formatted(rows: DataFrame) -> DataFrame:
     return rows.select(*[_shown(c).alias(COLUMN_LABELS.get(c, c)) for c in rows.columns])
 
 
+def filled_columns(rows: DataFrame) -> DataFrame:
+    """Rows (coluna, rotulo, preenchidas): each column, its export label and how many cells are not blank."""
+    counted = formatted(rows).agg(*[F.count(f"`{COLUMN_LABELS.get(c, c)}`").alias(c) for c in rows.columns])
+    cells = [
+        F.struct(F.lit(c).alias("coluna"), F.lit(COLUMN_LABELS.get(c, c)).alias("rotulo"), F.col(c).alias("preenchidas"))
+        for c in rows.columns
+    ]
+    return counted.select(F.inline(F.array(*cells)))
+
+
 def write_export(rows: DataFrame, path: str) -> None:
     """Formatted rows as CSV files with a header; the files' order is the rows' order, NULL is blank."""
     (

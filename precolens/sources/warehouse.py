@@ -54,16 +54,14 @@ def _suppliers(spark: SparkSession, folder: str) -> DataFrame:
 def collection(spark: SparkSession, folder: str, *, price_type: bool = True) -> DataFrame:
     """Fact table, one row per line item.
 
-    ``price_type`` comes from ``orders`` by its primary key, so that join neither drops nor
-    repeats a row; callers that do not use the column leave the join out. Each table is joined
-    by itself, so that Spark sees its file size when it picks the join.
+    ``price_type`` comes from ``orders`` by its primary key (tested for each folder of test data), so
+    that join neither drops nor repeats a row; without it the column is left out, too. Each table is
+    joined by itself, so that Spark sees its file size when it picks the join.
     """
     items = table(spark, folder, "lineitem")
     if price_type:
         orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
         items = items.join(orders, items.l_orderkey == orders.o_orderkey, "left")
-    else:
-        items = items.withColumn("o_orderpriority", F.lit(None).cast("string"))
     nation = table(spark, folder, "nation").select("n_nationkey", "n_name")
     line, order = F.col("l_linenumber").cast("string"), F.col("l_orderkey").cast("string")
     return (
@@ -76,7 +74,7 @@ def collection(spark: SparkSession, folder: str, *, price_type: bool = True) ->
             "cod_informante",
             "nome_informante",
             F.col("l_linestatus").alias("periodicidade"),
-            F.col("o_orderpriority").alias("tipo_preco"),
+            *[F.col("o_orderpriority").alias("tipo_preco")] * price_type,
             "ean",
             F.concat("_sku", line).alias("sku"),
             F.concat("_url", line).alias("url"),
@@ -97,9 +95,7 @@ def collection(spark: SparkSession, folder: str, *, price_type: bool = True) ->
 
 def flat_collection(spark: SparkSession, folder: str) -> DataFrame:
     """Flat variant of the fact table: the supplier code is one scalar."""
-    return collection(spark, folder, price_type=False).withColumn(
-        "cod_informante", F.get("cod_informante", F.lit(0))
-    )
+    return collection(spark, folder).withColumn("cod_informante", F.get("cod_informante", F.lit(0)))
 
 
 def registry(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,14 +136,14 @@ def roster(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def insert_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """Insert change set from keys 0 modulo 7: names already present, repeated new names, blank names."""
+    """Insert change set from keys 0 modulo 7: names and ids already present or repeated, blank names."""
     key = F.col("id")
     return (
         roster(spark, folder)
         .where(key % 7 == 0)
         .select(
             key.alias("seq"),
-            (key + 10_000_000).alias("id"),
+            F.when(key % 13 == 0, key).when(key % 17 == 0, 10_000_000).otherwise(key + 10_000_000).alias("id"),
             F.when(key % 35 == 0, "  ")
             .when(key % 14 == 0, F.concat(F.lit(" "), "nome"))
             .otherwise(F.concat(F.lit("Novo-"), F.floor(key / 28).cast("string")))

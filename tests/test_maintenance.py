@@ -27,10 +27,10 @@ def clean(text):
     return (text or "").strip() or None
 
 
-def replay(existing, batch):
-    """The batch one row after the other."""
-    names, accepted, rejected = set(existing), [], []
-    for seq, key, name, email, kind, area in sorted(batch):
+def replay(existing, batch, ids=()):
+    """The batch one row after the other: names first, then ids."""
+    names, taken, valid, accepted, rejected = set(existing), set(ids), [], [], []
+    for seq, key, name, email, kind, area in sorted(batch, key=lambda r: r[0]):
         name, email, area = clean(name), clean(email), clean(area)
         if not name:
             rejected.append((key, name, "nome_obrigatorio"))
@@ -42,7 +42,13 @@ def replay(existing, batch):
             rejected.append((key, name, "ja_existe"))
         else:
             names.add(name)
-            accepted.append((key, name, email, kind, area, 1))
+            valid.append((key, name, email, kind, area, 1))
+    for row in valid:
+        if row[0] in taken:
+            rejected.append((row[0], row[1], "id_em_uso"))
+        else:
+            taken.add(row[0])
+            accepted.append(row)
     return accepted, rejected
 
 
@@ -52,15 +58,15 @@ def test_insert_equals_replay(spark, roster, seed):
     batch = [
         (
             i,
-            100 + i,
-            rnd.choice(["Ana", " Ana\t", "Caio", "Caio ", "Duda", "Eva", "", "  ", None]),
+            rnd.choice([100 + i, 2, 200 + i % 3]),
+            rnd.choice(["Ana", " Ana\t", "Caio", "Caio ", "Duda", "Eva", "", "  ", None, f"N{i}", f"M{i}"]),
             rnd.choice(["x@y", "", None, " z "]),
             rnd.choice(["tecnico", "administrador", "master", "outro", None]),
             rnd.choice(["norte", " ", None]),
         )
         for i in range(40)
     ]
-    accepted, rejected = replay(["Master", "Ana", "Bia"], batch)
+    accepted, rejected = replay(["Master", "Ana", "Bia"], batch, [1, 2, 3])
     changes = spark.createDataFrame(batch, BATCH)
     after = [tuple(r) for r in maintenance.insert_new(roster, changes).collect()]
     assert sorted(after) == sorted([tuple(r) for r in roster.collect()] + accepted)
@@ -75,15 +81,24 @@ def test_delete_keeps_protected_rows(spark, roster):
     assert outcomes == {1: "protegido", 2: "removido", 9: "nao_encontrado"}
 
 
-def test_last_update_wins(spark, roster):
-    changes = spark.createDataFrame(
-        [(1, 2, "velho@x", "leste"), (2, 2, "novo@x", None), (3, 9, "q@x", None)],
-        "seq long, id long, email string, area string",
-    )
-    after = {r.id: (r.email, r.area) for r in maintenance.update_keyed(roster, changes, ["email", "area"]).collect()}
-    assert after == {1: (None, None), 2: ("novo@x", "sul"), 3: ("bia@x", None)}
-    outcomes = {r.id: r.resultado for r in maintenance.update_outcomes(roster, changes).collect()}
-    assert outcomes == {2: "alterado", 9: "nao_encontrado"}
+@pytest.mark.parametrize("seed", range(4))
+def test_updates_equal_replay(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(i, f"N{i}", rnd.choice(["a@x", None]), "tecnico", rnd.choice(["sul", None]), i % 3 and 1) for i in range(12)]
+    batch = [(s, rnd.randrange(15), rnd.choice([f"e{s}@x", None]), rnd.choice([f"area{s}", None])) for s in range(60)]
+    state = {r[0]: list(r) for r in rows}
+    outcomes = {}
+    for _, key, email, area in batch:
+        found = key in state and state[key][5] == 1
+        outcomes[key] = "alterado" if found else "nao_encontrado"
+        if found:
+            state[key][2] = email or state[key][2]
+            state[key][4] = area or state[key][4]
+    rnd.shuffle(batch)
+    roster, changes = spark.createDataFrame(rows, ROSTER), spark.createDataFrame(batch, "seq long, id long, email string, area string")
+    after = maintenance.update_keyed(roster, changes, ["email", "area"]).collect()
+    assert sorted(map(tuple, after)) == sorted(map(tuple, state.values()))
+    assert {r.id: r.resultado for r in maintenance.update_outcomes(roster, changes).collect()} == outcomes
 
 
 def test_audit(spark):
@@ -94,13 +109,18 @@ def test_audit(spark):
             (3, "Ana", "a@x", "outro", None, None),
             (4, " ", "a@x", None, None, 1),
             (5, None, None, "administrador", None, 1),
+            (5, "Eva", None, "master", None, 1),
+            (None, "Ivo", None, "master", None, 1),
         ],
         "id long, nome string, email string, tipo string, area string, ativo int",
     )
-    found = {r.regra: r.violacoes for r in maintenance.constraint_audit(rows).collect()}
+    assert "nome_curto" not in {r.regra for r in maintenance.constraint_audit(rows).collect()}
+    found = {r.regra: r.violacoes for r in maintenance.constraint_audit(rows, {"nome": 6}).collect()}
     assert found == {
+        "id_obrigatorio": 1,
+        "id_unico": 1,
         "nome_obrigatorio": 2,
-        "nome_curto": 1,
+        "nome_curto": 3,
         "tipo_obrigatorio": 1,
         "tipo_invalido": 1,
         "email_obrigatorio": 2,

@@ -6,9 +6,13 @@ from collections import Counter
 import pytest
 
 from precolens.operators import paging
-from precolens.operators.enrich import enrich
+from precolens.operators.enrich import FanOut, enrich
 
-ORDER = ["id_coleta", "id_imagem", "id_produto", "nome_informante", "preco", "cod_informante", "cod_insumo", "insumo_informado"]
+ORDER = [
+    "id_coleta", "id_imagem", "id_produto", "nome_informante", "preco", "cod_informante", "plataforma", "periodicidade",
+    "tipo_preco", "ean", "sku", "url", "descricao", "marca", "uf", "moeda", "preco_promocional", "cod_insumo",
+    "insumo_informado",
+]
 
 
 def sort_key(row):
@@ -37,6 +41,9 @@ def odd_rows():
                 "id_coleta": f"C{rnd.randrange(30):02d}",
                 "id_imagem": rnd.choice(["I1", "I2", None]),
                 "preco": rnd.choice([1.0, 2.5, None]),
+                # Rows often differ only here, behind the first keys of the order.
+                "url": rnd.choice(["u1", "u2", "u3", None]),
+                "preco_promocional": rnd.choice([0.5, None]),
             }
         )
     # A third more are copies of one row.
@@ -55,7 +62,8 @@ def expected(tables):
 
 
 def same(page, rows):
-    assert Counter(tuple(r) for r in page.collect()) == Counter(tuple(r) for r in rows)
+    """Equal as lists: the order is total."""
+    assert [tuple(r) for r in page.collect()] == [tuple(r) for r in rows]
 
 
 @pytest.mark.parametrize("page", [1, 2, 5])
@@ -64,22 +72,88 @@ def test_page_methods_agree(tables, expected, method, page):
     same(method(*tables, page, 30), expected[(page - 1) * 30 : page * 30])
 
 
-def test_rank_pages_tile_the_whole_view(tables, expected, monkeypatch):
-    monkeypatch.setattr(paging, "_BLOCK_BITS", 3)
-    size, seen = 90, []
+@pytest.mark.parametrize("splitters", [3, 64])
+def test_rank_pages_tile_the_whole_view(tables, expected, monkeypatch, splitters):
+    monkeypatch.setattr(paging, "SPLITTERS", splitters)
+    size = 160
+    days = paging.DayIndex(*tables)
+    assert days.total == len(expected)
     for page in range(1, -(-len(expected) // size) + 1):
-        rows = paging.page_deep(*tables, page, size, top_k_rows=0).collect()
-        assert Counter(map(tuple, rows)) == Counter(map(tuple, expected[(page - 1) * size : page * size]))
-        seen += rows
-    assert len(seen) == len(expected)
+        same(days.page(page, size, top_k_rows=5), expected[(page - 1) * size : page * size])
 
 
 @pytest.mark.parametrize("page", [1, 8, 29])
 def test_small_rank_pages(tables, expected, page, monkeypatch):
-    monkeypatch.setattr(paging, "_BLOCK_BITS", 2)
+    monkeypatch.setattr(paging, "SPLITTERS", 4)
     same(paging.page_deep(*tables, page, 7, top_k_rows=0), expected[(page - 1) * 7 : page * 7])
 
 
+def _tied(fact):
+    """Rows alike on the date and all keys that name them, different in the link only; a few are copies."""
+    return [
+        {"data_coleta": "2024-05-03", "cod_informante": ["1"], "id_produto": "P", "id_coleta": "C", "url": f"u{i % 110:03d}"}
+        for i in range(120)
+    ]
+
+
+@pytest.mark.parametrize(
+    "method",
+    [
+        paging.page_topk,
+        paging.page_row_number,
+        paging.page_deep,
+        lambda f, r, p, n: paging.page_deep(f, r, p, n, top_k_rows=5),
+        # The seam: some pages by top-k, the later ones by rank.
+        lambda f, r, p, n: paging.page_deep(f, r, p, n, top_k_rows=65),
+    ],
+)
+def test_tied_rows_appear_once_whatever_the_layout(fact, registry, method):
+    rows, codes = fact(*_tied(fact)), registry((1, "P", "a", 1))
+    wanted = [tuple(r) for r in in_order(enrich(rows, codes).collect())]
+    seen = []
+    for page in range(1, 6):
+        shuffled = rows.repartition(page + 1, "url" if page % 2 else "id_coleta")
+        seen += [tuple(r) for r in method(shuffled, codes, page, 30).collect()]
+    assert seen == wanted
+
+
+def test_shallow_methods_meet_deep_ones_at_the_seam(tables, expected, monkeypatch):
+    monkeypatch.setattr(paging, "TOP_K_ROWS", 60)
+    for method in (paging.page_topk, paging.page_row_number):
+        for page in (2, 3, 4):
+            same(method(*tables, page, 30), expected[(page - 1) * 30 : page * 30])
+
+
+def _equal_before(rows, at):
+    """How many rows up to and with ``at`` equal the one there."""
+    return sum(rows[i] == rows[at] for i in range(at + 1))
+
+
+def test_next_and_previous_pages(tables, expected):
+    whole = [tuple(r) for r in expected]
+    for start in (60, len(whole) - 10):
+        last = expected[start - 1].asDict()
+        following = paging.page_after(*tables, last, 30, shown=_equal_before(whole, start - 1))
+        same(following, expected[start : start + 30])
+        back = _equal_before(whole[::-1], len(whole) - 1 - start)
+        same(paging.page_before(*tables, expected[start].asDict(), 30, shown=back), expected[max(0, start - 30) : start])
+    assert paging.page_after(*tables, expected[-1].asDict(), 30, shown=_equal_before(whole, len(whole) - 1)).isEmpty()
+    assert paging.page_before(*tables, expected[0].asDict(), 30, shown=_equal_before(whole[::-1], len(whole) - 1)).isEmpty()
+
+
+def test_count_and_page(tables, expected):
+    fan_out = FanOut(tables[1])
+    total, page = paging.count_and_page(*tables, 2, 30, fan_out=fan_out)
+    assert total == len(expected)
+    same(page, expected[30:60])
+    with pytest.raises(ValueError):
+        paging.count_and_page(tables[0], tables[1].limit(1), 1, fan_out=fan_out)
+
+
+def test_one_page_for_everything(tables, expected):
+    same(paging.page_deep(*tables, 1, 100_000, top_k_rows=20), expected)
+
+
 def test_topk_pages_come_in_order(tables, expected):
     rows = [tuple(r[c] for c in ORDER) for r in paging.page_topk(*tables, 2, 30).collect()]
     assert rows == [tuple(r[c] for c in ORDER) for r in expected[30:60]]
@@ -103,9 +177,3 @@ def test_page_past_the_end_and_bad_page(tables, method):
 def test_pages_of_an_empty_table(fact, registry):
     for method in (paging.page_topk, paging.page_row_number, paging.page_deep, paging.get_page):
         assert method(fact(), registry(), 1).isEmpty()
-
-
-def test_shallow_methods_hand_deep_pages_on(tables, expected, monkeypatch):
-    monkeypatch.setattr(paging, "TOP_K_ROWS", 50)
-    for method in (paging.page_topk, paging.page_row_number):
-        same(method(*tables, 4, 30), expected[90:120])

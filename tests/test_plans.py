@@ -3,14 +3,15 @@
 import pytest
 from pyspark.sql import functions as F
 
-from precolens.operators import maintenance, paging, textindex
+from precolens import session
+from precolens.operators import facets, maintenance, paging, selection, textindex
 from precolens.operators.enrich import FanOut, count_rows, enrich
 from precolens.operators.filters import FilterSpec
 from precolens.schemas import VISIBLE_COLUMNS
 from precolens.session import scratch_root
-from precolens.sinks import publish
+from precolens.sinks import export, publish
 from precolens.sources import warehouse
-from precolens.sources.tables import read_collection
+from precolens.sources.tables import read_collection, wrong_months
 
 
 def plan(df):
@@ -70,25 +71,66 @@ def test_row_number_page_is_top_k(spark, stored, registry):
     assert "TakeOrderedAndProject(limit=60" in text
 
 
-def test_deep_page_needs_no_single_partition_of_rows(spark, stored, registry, monkeypatch):
-    fact = read_collection(spark, stored)
-    monkeypatch.setattr(paging, "_BLOCK_BITS", 5)
-    page = paging.page_deep(fact, registry((1, "P1", "x", 1)), 40, top_k_rows=0)
-    text = plan(page)
-    # What meets in one place is a few blocks of the written sort, picked in its scan.
-    assert text.count("SinglePartition") == 1 and "Join" not in text
-    assert "GreaterThanOrEqual(_place," in text and "LessThan(_place," in text
+def test_deep_page_neither_sorts_nor_writes_its_days(spark, stored, registry, monkeypatch):
+    """Ranges of the order are counted on their keys; no wide exchange, sort or written table of the days' rows."""
+    plans, made = [], []
+    monkeypatch.setattr(paging, "SPLITTERS", 16)
+    counted = paging._Ranks._split
+
+    def watched(self, parts, key):
+        made.append((len(parts), key))
+        return counted(self, parts, key)
+
+    monkeypatch.setattr(paging._Ranks, "_split", watched)
+    days = paging.DayIndex(read_collection(spark, stored), registry((1, "P1", "x", 1)))
+    before = set(session._made.get(spark.sparkContext.applicationId, []))
+    page = days.page(40, top_k_rows=20)
+    plans.append(plan(page))
+    assert made and set(session._made.get(spark.sparkContext.applicationId, [])) == before
+    assert all("rangepartitioning" not in p or "TakeOrdered" in p for p in plans)
     assert page.count() == 30
 
 
-def test_deep_page_reads_only_its_days(spark, stored):
-    rows = paging._up_to(paging._down_to(read_collection(spark, stored), "2024-05-13"), "2024-05-14")
+def test_pages_read_only_their_months(spark, stored):
+    rows = paging._between_days(read_collection(spark, stored), "2024-05-14", "2024-05-13")
     text = plan(rows)
-    assert "PartitionFilters: [isnotnull(mes_coleta" in text and ">= 2024-05)" in text
+    assert "PartitionFilters: [isnotnull(mes_coleta" in text and ">= 2024-05)" in text and "<= 2024-05)" in text
     assert "GreaterThanOrEqual(data_coleta,2024-05-13)" in text and "LessThanOrEqual(data_coleta,2024-05-14)" in text
     assert {r.d for r in rows.select(F.col("data_coleta").alias("d")).collect()} == {"2024-05-13", "2024-05-14"}
 
 
+def test_next_page_bounds_the_scan_by_its_date(spark, stored, registry):
+    fact, codes = read_collection(spark, stored), registry((1, "P1", "x", 1))
+    last = paging.page_topk(fact, codes, 3).collect()[-1]
+    text = paging._between_days(fact, last.data_coleta, None)
+    assert "LessThanOrEqual(data_coleta," in plan(text) and "(mes_coleta" in plan(text).split("PartitionFilters")[1][:80]
+    chained = paging.page_after(fact, codes, last.asDict()).collect()
+    assert chained == paging.page_topk(fact, codes, 4).collect()
+
+
+def test_exports_group_nothing_and_widths_sort_nothing(spark, stored, registry):
+    fact, codes = read_collection(spark, stored), registry((1, "P1", "x", 1))
+    chosen = fact.select("id_produto").where("id_produto < 'P2'").distinct()
+    ordered = plan(selection.rows_by_ids(fact, codes, chosen))
+    assert "HashAggregate" not in ordered and "rangepartitioning" in ordered and "_place" in ordered.split("rangepartitioning")[1]
+    assert "rangepartitioning" not in plan(export.column_widths(selection.picked(fact, codes, chosen)))
+
+
+def test_copies_of_a_row_are_spread_over_a_sort(spark, fact, registry):
+    rows = fact(*[{"id_produto": "a", "data_coleta": "2024-01-02"}] * 4000).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = paging.all_newest_first(enrich(rows, registry())).select(F.spark_partition_id().alias("p"))
+        sizes = [r["count"] for r in parts.groupBy("p").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 3 and max(sizes) < 2500
+
+
+def test_options_read_the_table_once(spark, stored):
+    assert plan(facets.filter_options(read_collection(spark, stored))).count("FileScan") == 1
+
+
 def test_index_lookup_filters_words_before_the_shuffle(spark, stored):
     index = textindex.build_index(read_collection(spark, stored))
     text = plan(textindex.search(index, "texto 7"))
@@ -149,3 +191,22 @@ def test_scratch_folder_follows_the_session(spark):
     folder = scratch_root(spark)
     assert scratch_root(spark).endswith(folder.rstrip("/").rsplit("/", 1)[-1])
     assert folder.rstrip("/").rsplit("/", 1)[-1] in spark.sparkContext.getCheckpointDir()
+
+
+def test_order_key_is_unique(spark, folder):
+    """What lets the price type be left out of counts."""
+    orders = warehouse.table(spark, folder, "orders")
+    assert orders.groupBy("o_orderkey").count().where("count > 1").isEmpty()
+    assert "tipo_preco" not in warehouse.collection(spark, folder, price_type=False).columns
+
+
+def test_months_are_those_of_the_dates(spark, stored):
+    assert wrong_months(read_collection(spark, stored)).first().linhas == 0
+
+
+def test_scratch_is_deleted(spark):
+    path = session.scratch_path(spark, "prova")
+    spark.range(3).write.parquet(path)
+    assert session.clear_scratch(spark) >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from precolens import session
-from precolens.operators import paging, selection
+from precolens.operators import selection
 from precolens.operators.enrich import FanOut, count_rows
 
 
@@ -65,8 +65,7 @@ def test_rows_of_a_selection_ignore_filters(ids, fact, registry, monkeypatch, li
     assert sorted(r.selecionado for r in marked.collect()) == [False, False, True, True, True, True]
 
 
-def test_copies_come_apart_after_the_sort(ids, fact, registry, monkeypatch):
-    monkeypatch.setattr(paging, "COPIES_PER_RUN", 3)
+def test_copies_stay_in_an_ordered_selection(ids, fact, registry):
     rows = fact(
         *[{"id_produto": "a", "cod_informante": ["1"], "data_coleta": "2024-01-02"}] * 8,
         *[{"id_produto": "a", "cod_informante": ["1"], "data_coleta": "2024-01-03"}] * 3,
@@ -80,6 +79,15 @@ def test_copies_come_apart_after_the_sort(ids, fact, registry, monkeypatch):
     )
 
 
+def test_box_for_all_rows(ids, fact, registry):
+    rows, codes = fact(*[{"id_produto": p, "cod_informante": ["1"]} for p in "abc"]), registry()
+    total = count_rows(rows, FanOut(codes))
+    after = lambda chosen, ticked: found(selection.toggle_all(ids(chosen), rows, total, ticked))
+    assert after("a", True) == {"a", "b", "c"}
+    assert after("abc", False) == set() == found(selection.cleared(ids("ab")))
+    assert after("ab", False) == {"a", "b"}
+
+
 def test_empty_selection(ids, fact, registry):
     rows = fact({"id_produto": "a"})
     assert selection.rows_by_ids(rows, registry(), ids([])).isEmpty()

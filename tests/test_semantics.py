@@ -59,7 +59,7 @@ def test_fan_out_is_kept_and_counted(fact, registry):
     fan_out = FanOut(codes)
     assert joined.count() == 8
     assert count_rows(rows, fan_out).first().cnt == 8
-    assert values(filtered_ids(rows, codes, fan_out), "id_produto") == list("PPPPPPQR")
+    assert values(filtered_ids(rows, fan_out), "id_produto") == list("PPPPPPQR")
     assert [tuple(r) for r in repeated_keys(codes).collect()] == [("1", "P", 3)]
 
 
