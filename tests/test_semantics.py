@@ -112,6 +112,13 @@ def test_substring_respects_accents(fact):
     assert FilterSpec(busca_texto="sabão pó nestlé").apply(rows).count() == 0
 
 
+def test_a_blank_facet_value_is_a_value(fact):
+    rows = fact({"marca": " "}, {"marca": "x"}, {"marca": None})
+    assert values(FilterSpec(marca=" ").apply(rows), "marca") == [" "]
+    for blank in ({"marca": ""}, {"busca_texto": " "}, {"ean_sku": "\t"}, {"marca": None}):
+        assert FilterSpec(**blank).apply(rows).count() == 3
+
+
 def test_quotes_in_values(fact, spark, registry):
     rows = fact({"marca": "L'Oréal"}, {"marca": "x"})
     assert FilterSpec(marca="L'Oréal").apply(rows).count() == 1
@@ -128,7 +135,7 @@ def test_filters_combine_and_blank_means_absent(fact):
     )
     count = lambda **f: FilterSpec.of(f).apply(rows).count()
     assert count() == 3
-    assert count(marca="", uf="  ", data_apos=None) == 3
+    assert count(marca="", uf="", busca_texto="  ", data_apos=None) == 3
     assert count(marca="A", uf="SP") == 1
     assert count(ean_sku=" 1 ") == 2
     assert count(cod_informante="9") == 1
