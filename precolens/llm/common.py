@@ -96,8 +96,13 @@ class Cache:
 _KEPT: dict = {}
 
 
-def kept(key, make: Callable):
-    """What ``make()`` gave for ``key`` in this worker process; later tasks use it again."""
-    if key not in _KEPT:
-        _KEPT[key] = make()
-    return _KEPT[key]
+def kept(key, make: Callable, slot=None):
+    """What ``make()`` gave for ``key`` in this worker process; later tasks use it again.
+
+    A slot holds one value, so that a worker that outlives a query drops what the next one replaces.
+    """
+    slot = key if slot is None else slot
+    if slot not in _KEPT or _KEPT[slot][0] != key:
+        _KEPT.pop(slot, None)
+        _KEPT[slot] = (key, make())
+    return _KEPT[slot][1]

@@ -269,7 +269,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     key = ("model", uuid.uuid4().hex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, automaton, unigram = kept(key, make)
+        number, automaton, unigram = kept(key, make, slot="model")
         get, end = number.get, number.get(END.encode(), -1)
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches, 2):

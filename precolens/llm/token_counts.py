@@ -99,7 +99,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text
     name, text = free_name(docs, "tokens"), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = kept((path, hash(table.value)), lambda: Counts(path, *table.value))
+        counts = kept((path, hash(table.value)), lambda: Counts(path, *table.value), slot="counts")
         cut = regex.compile(pattern)
         for batch in slices(batches, text):
             found = [counts.total(t, cut) if t else 0 for t in batch.column(text).to_pylist()]
