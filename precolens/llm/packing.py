@@ -9,7 +9,10 @@ pattern, sequence and offset.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -24,35 +27,81 @@ CAPACITY = 2048
 END_ID = 1
 CACHED_WORDS = 250_000
 
+# Punctuation that ends words and is no part of them.
+_MARKS = ",.;:!?"
+# How byte-level models write the bytes of a text: printable ones as themselves, others from 256 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 Pattern = tuple[int, list[tuple[int, int]]]  # how many sequences; (length, times) in each
 
 
-def word_ids(path: str) -> Cache:
+class WordIds:
     """Ids, as little-endian unsigned 32-bit integers, of strings without ASCII white space.
 
-    The tokenizer drops white space before it splits words, so a text's ids are those of its parts.
+    The tokenizer drops white space before it splits words, so a text's ids are those of its parts. Of
+    a part that is letters and then marks, the letters are one word; its ids are the model's own.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-
-    def make(words: list[bytes]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    return Cache(make, CACHED_WORDS)
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = any("<" not in t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.words = Cache(self._of_words, CACHED_WORDS)
+        self.parts = Cache(self._of_parts, CACHED_WORDS)
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        tokenize = self.tokenizer.model.tokenize
+        found = []
+        for word in words:
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+            found.append(array("I", [t.id for t in tokenize(letters)]).tobytes())
+        return found
+
+    def _whole(self, parts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _of_parts(self, parts: list[bytes]) -> list[bytes]:
+        out: list = [None] * len(parts)
+        words, marks, simple, other = [], [], [], []
+        for i, part in enumerate(parts):
+            text = part.decode("utf-8", "replace")
+            core = text.rstrip(_MARKS)
+            word = normalize("NFC", core).lower()
+            # One word of letters, whose lower case is one, too; a capital sigma has two of those.
+            if core.isalpha() and word.isalpha() and "\u03a3" not in core and not self.special:
+                words.append(word)
+                marks.append(text[len(core) :])
+                simple.append(i)
+            else:
+                other.append(i)
+        kinds = sorted(set(marks))
+        ends = dict(zip(kinds, self._whole(kinds), strict=True))
+        for i, ids, mark in zip(simple, self.words.get(words), marks, strict=True):
+            out[i] = ids + ends[mark]
+        for i, ids in zip(other, self._whole([parts[i].decode("utf-8", "replace") for i in other]), strict=True):
+            out[i] = ids
+        return out
+
+    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
+        cut = [(t or b"").split() for t in texts]
+        ids = iter(self.parts.get([p for parts in cut for p in parts]))
+        return [b"".join(islice(ids, len(parts))) for parts in cut]
 
 
 def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int, end_id: int, keep_ids: bool) -> DataFrame:
     """The pieces of all documents, numbered within their task and length (part, length, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = kept((path, "words"), lambda: word_ids(path))
+        words = kept((path, "words"), lambda: WordIds(path))
         part, places, end = TaskContext.get().partitionId(), {}, np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, 1):
             rows: list[list] = [[] for _ in range(7 + keep_ids)]
-            for doc, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)).to_pylist(), strict=True):
-                ids = b"".join([*words.get((text or b"").split()), end])
+            found = words.encode_all(raw(batch.column(1)).to_pylist())
+            for doc, ids in zip(batch.column(0).to_pylist(), found, strict=True):
+                ids += end
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     piece = ids[4 * start : 4 * (start + capacity)]

@@ -5,10 +5,13 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from precolens.llm import packing
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+WORDS, LIBRARY = packing.WordIds(PATH), []
 EDGES = [
     None, "", " \n\t", "Hello  WORLD's", "a\x1cb\x85c\xa0d e f", "x<|endoftext|>y <|startoftext|> <|ENDOFTEXT|>",
     "<|endof text|>", "é ́e Å İI ΑΣ Σ", "漢字 かな 😀👍🏽", "\x00�", "it's we're I'LL", "w" * 50_000, "ab cd " * 9_000,
@@ -97,3 +100,19 @@ def test_little_padding_on_documents(spark, folder):
 
 def test_empty_table(spark, docs):
     assert packing.pack(docs([]), PATH).count() == 0
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \nabC'é1.,!ÅßΣσİß́"), st.characters(exclude_categories=["Cs"]))))
+def test_any_text_as_the_library_does(text):
+    library = Tokenizer.from_file(PATH) if not LIBRARY else LIBRARY[0]
+    LIBRARY[:] = [library]
+    found = WORDS.encode_all([text.encode()])[0]
+    assert np.frombuffer(found, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_every_letter_as_the_library_does(tokenizer):
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    for at in range(0, len(letters), 5000):
+        text = " ".join(f"a{c}, {c}b" for c in letters[at : at + 5000])
+        assert np.frombuffer(WORDS.encode_all([text.encode()])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
