@@ -9,8 +9,8 @@ a smaller id. Texts are packed once into batches of bounded size, and then
    their windows with such anchors, each once, with the smallest id that has it;
 3. where equal windows meet, recurring passages are confirmed: a batch learns which of its windows
    start in an earlier document elsewhere (one bit each);
-4. each batch compiles its confirmed windows into Aho-Corasick automata of bounded size and streams
-   its documents through them, which finds every occurrence.
+4. each batch joins its confirmed windows to passages, compiles those into Aho-Corasick automata of
+   bounded size and streams its documents through them, which finds every occurrence.
 
 Whatever meets in a shuffle meets once per batch, not once per document, so that a passage in a third
 of all documents weighs no more than others. Hashes only decide what is compared; windows are equal
@@ -34,8 +34,9 @@ from pyspark.sql.types import StructField, StructType
 from precolens.llm.common import free_name, raw, ready, slices, stored
 
 WINDOW, PHRASE = 13, 5
-# Text bytes of a batch (a longer document is a batch of its own) and windows of an automaton.
-BATCH_BYTES, AUTOMATON_WINDOWS = 2 << 20, 1 << 16
+# Text bytes of a batch (a longer document is a batch of its own), windows of a passage and words of an
+# automaton's passages; longer passages are cut, and what is left goes to further automata.
+BATCH_BYTES, PASSAGE_WINDOWS, AUTOMATON_WORDS = 2 << 20, 64, 1 << 20
 # Words that one shard compares, about; there are SHARDS at least.
 SHARD_WORDS, SHARDS = 8 << 20, 1024
 
@@ -114,19 +115,20 @@ class Windows:
             width += step
         return low[self.place]
 
-    def listed(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct windows among the chosen ones: key, second key, least id, largest id, a place."""
+    def listed(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct windows among the chosen ones: key, second key and least id; for each chosen window
+        which of them it is."""
         at = np.flatnonzero(chosen)
         place = self.place[at]
         key = _mixed(self._rolled(self.size, _BASES[1])[place])
         second = (self._rolled(self.size, _BASES[2])[place] >> np.uint64(32)).astype(np.uint32)
         order = np.lexsort((second, key))
-        key, second, doc, place = key[order], second[order], self.doc[at][order], place[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (second[1:] != second[:-1])]) if len(key) else np.zeros(0, bool)
-        cut = np.flatnonzero(new)
-        if not len(cut):
-            return key, second, doc, doc, place
-        return key[cut], second[cut], np.minimum.reduceat(doc, cut), np.maximum.reduceat(doc, cut), place[cut]
+        key, second, doc = key[order], second[order], self.doc[at][order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (second[1:] != second[:-1])])[: len(key)]
+        cut, which = np.flatnonzero(new), np.empty(len(at), np.int64)
+        which[order] = np.cumsum(new) - 1
+        least = np.minimum.reduceat(doc, cut) if len(cut) else doc
+        return key[cut], second[cut], least, which
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -208,7 +210,7 @@ def _list_windows(marked: DataFrame, shape: Shape) -> DataFrame:
         for rows in batches:
             for batch, data, shared in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
                 w = shape.windows(data)
-                key, second, least, _, _ = w.listed(_chosen(w, shared))
+                key, second, least, _ = w.listed(_chosen(w, shared))
                 out = [(s, batch, key[p].tobytes(), second[p].tobytes(), _small(least[p])) for s, p in _by_shard(key, shape.shards)]
                 shard, ids, keys, more, docs = zip(*out, strict=True) if out else ((),) * 5
                 yield _batch_of(
@@ -249,31 +251,52 @@ def _confirm(group: pa.Table) -> pa.Table:
     return pa.table({"batch": group["batch"], "shard": group["shard"], "earlier": pa.array(bits, pa.binary())})
 
 
+def _passages(place: np.ndarray, limit: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, limit) of the runs of consecutive windows, cut to PASSAGE_WINDOWS, in words."""
+    first = np.concatenate([[True], np.diff(place) != 1])
+    run_start = np.flatnonzero(first)[np.cumsum(first) - 1]
+    cut = np.flatnonzero((np.arange(len(place)) - run_start) % PASSAGE_WINDOWS == 0)
+    last = np.concatenate([cut[1:], [len(place)]]) - 1
+    return place[cut], place[last] + size, np.maximum.reduceat(limit, cut)
+
+
 def _covered(w: Windows, place: np.ndarray, limit: np.ndarray) -> np.ndarray:
-    """Which words of the batch go, given a place and a limit of each confirmed window: it counts in
-    documents whose id is above its limit."""
-    starts: list[int] = []
-    for at in range(0, len(place), AUTOMATON_WINDOWS):
-        shard = place[at : at + AUTOMATON_WINDOWS]
-        spans = w.ids[shard[:, None] + np.arange(w.size)]
-        # Words of the shard's windows get letters of their own, all others share one; at most
-        # 13 * 2^16 letters, which with the gap of surrogates is less than there are code points.
-        used = np.unique(spans)
+    """Which words of the batch go.
+
+    ``place`` has the confirmed windows in the documents that lose them and ``limit`` the id above which
+    documents do. A passage's limit is the highest of its windows': a document beyond it loses them all.
+    """
+    edges = np.zeros(len(w.ids) + 1, np.int64)
+    if not len(place):
+        return edges[:-1] > 0
+    start, end, limit = _passages(place, limit, w.size)
+    shard = np.cumsum(end - start) // AUTOMATON_WORDS
+    for part in np.split(np.arange(len(start)), np.flatnonzero(np.diff(shard)) + 1):
+        # Words of the passages get letters of their own, all others share one. A shard has no more
+        # than 2^20 words and a passage, fewer than there are code points without surrogates.
+        inside = np.zeros(len(w.ids) + 1, np.int64)
+        np.add.at(inside, start[part], 1)
+        np.add.at(inside, end[part], -1)
+        used = np.unique(w.ids[np.cumsum(inside[:-1]) > 0])
         letters = np.ones(int(w.ids.max()) + 1, np.uint32)
         code = np.arange(2, len(used) + 2, dtype=np.uint32)
         letters[used] = np.where(code < 0xD800, code, code + 0x800)
         text = letters[w.ids].astype("<u4").tobytes()
         automaton = ahocorasick.Automaton()
-        for p, low in zip(shard.tolist(), limit[at : at + AUTOMATON_WINDOWS].tolist(), strict=True):
-            automaton.add_word(text[4 * p : 4 * (p + w.size)].decode("utf-32-le"), low)
+        for a, b, low in zip(start[part].tolist(), end[part].tolist(), limit[part].tolist(), strict=True):
+            automaton.add_word(text[4 * a : 4 * b].decode("utf-32-le"), (b - a, low))
         automaton.make_automaton()
+        starts: list[int] = []
+        ends: list[int] = []
         for d, doc in enumerate(w.doc_ids):
             a, b = int(w.starts[d]), int(w.starts[d + 1])
             if doc is not None and b - a >= w.size:
-                found = automaton.iter(text[4 * a : 4 * b].decode("utf-32-le"))
-                starts.extend(a + end - w.size + 1 for end, low in found if doc > low)
-    edges = np.bincount(starts, minlength=len(w.ids) + 1) if starts else np.zeros(len(w.ids) + 1, np.int64)
-    edges[w.size :] -= edges[: -w.size].copy()
+                for at, (length, low) in automaton.iter(text[4 * a : 4 * b].decode("utf-32-le")):
+                    if doc > low:
+                        ends.append(a + at + 1)
+                        starts.append(a + at + 1 - length)
+        edges += np.bincount(np.array(starts, np.int64), minlength=len(edges))
+        edges -= np.bincount(np.array(ends, np.int64), minlength=len(edges))
     return np.cumsum(edges[:-1]) > 0
 
 
@@ -288,14 +311,15 @@ def _locate(confirmed: DataFrame, schema: StructType, shape: Shape, name: str) -
                 w = Windows(table, shape.id_col, shape.text_col, shape.size)
                 gone = np.zeros(len(w.ids), bool)
                 if shared:
-                    key, _, least, most, place = w.listed(_chosen(w, shared))
+                    chosen = _chosen(w, shared)
+                    key, _, least, which = w.listed(chosen)
                     earlier = np.zeros(len(key), bool)
                     masks = {r["shard"]: r["earlier"] for r in bits or ()}
                     for shard, p in _by_shard(key, shape.shards):
                         earlier[p] = np.unpackbits(np.frombuffer(masks[shard], np.uint8), count=len(p))
-                    goes = earlier | (least < most)
-                    limit = np.where(earlier, np.iinfo(np.int64).min, least)
-                    gone = _covered(w, place[goes], limit[goes])
+                    limit = np.where(earlier, np.iinfo(np.int64).min, least)[which]
+                    goes = w.doc[chosen] > limit
+                    gone = _covered(w, w.place[chosen][goes], limit[goes])
                 kept, removed = [], []
                 for d, words in enumerate(w.words):
                     out = gone[w.starts[d] : w.starts[d + 1]]

@@ -68,7 +68,8 @@ def test_against_brute_force(spark, docs, monkeypatch, batch_bytes):
 
 
 def test_small_windows_and_many_automata(spark, docs, monkeypatch):
-    monkeypatch.setattr(repeats, "AUTOMATON_WINDOWS", 7)
+    monkeypatch.setattr(repeats, "PASSAGE_WINDOWS", 3)
+    monkeypatch.setattr(repeats, "AUTOMATON_WORDS", 20)
     monkeypatch.setattr(repeats, "SHARDS", 3)
     rows = [(i, " ".join(random.Random(i % 3).choice("ab cd ef".split()) for _ in range(12 + i))) for i in range(12)]
     assert found(docs(rows), window=5) == sorted(brute(rows, 5), key=str)
