@@ -43,13 +43,13 @@ class WordIds:
     a part that is letters and then marks, the letters are one word; its ids are the model's own.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = any("<" not in t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.words = Cache(self._of_words, CACHED_WORDS)
-        self.parts = Cache(self._of_parts, CACHED_WORDS)
+        self.words = Cache(self._of_words, cached)
+        self.parts = Cache(self._of_parts, cached)
 
     def _of_words(self, words: list[str]) -> list[bytes]:
         tokenize = self.tokenizer.model.tokenize
@@ -91,11 +91,13 @@ class WordIds:
         return [b"".join(islice(ids, len(parts))) for parts in cut]
 
 
-def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int, end_id: int, keep_ids: bool) -> DataFrame:
+def pieces(
+    docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int, end_id: int, keep_ids: bool, cached: int
+) -> DataFrame:
     """The pieces of all documents, numbered within their task and length (part, length, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = kept((path, "words"), lambda: WordIds(path))
+        words = kept((path, cached), lambda: WordIds(path, cached), slot="words")
         part, places, end = TaskContext.get().partitionId(), {}, np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, 1):
             rows: list[list] = [[] for _ in range(7 + keep_ids)]
@@ -181,15 +183,16 @@ class Places:
 
 def pack(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-    end_id: int = END_ID, keep_ids: bool = False,
+    end_id: int = END_ID, keep_ids: bool = False, cached_words: int = CACHED_WORDS,
 ) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]): where every piece lies.
 
     A row's ids are its text's by the tokenizer at ``path``, then ``end_id``; a null or empty text has
     the end alone. Rows that repeat an id are packed each, null ids stay null, no rows give no rows.
-    ``ids`` (with ``keep_ids``) holds little-endian unsigned 32-bit integers.
+    ``ids`` (with ``keep_ids``) holds little-endian unsigned 32-bit integers. ``cached_words`` bounds a
+    worker's caches, which trade memory for time.
     """
-    cut = pieces(docs, path, id_col, text_col, capacity, end_id, keep_ids)
+    cut = pieces(docs, path, id_col, text_col, capacity, end_id, keep_ids, cached_words)
     counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
