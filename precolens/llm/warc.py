@@ -55,8 +55,9 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"),
     ).select("*", F.sha1("payload").alias("digest"), F.sha2("payload", 256).alias("same"))
     large = F.octet_length("payload") >= REVISIT_BYTES
-    # Partial counts meet per payload; only payloads that repeat are looked up.
-    kept = (
+    # Partial counts meet per payload; only payloads that repeat are looked up. They are written, so
+    # that both sides of the join are plain shuffles, of which a hot payload's can be split.
+    kept = durable(
         rows.where(large)
         .groupBy("same")
         .agg(F.max("page_id").alias("kept"), F.count("*").alias("copies"))
