@@ -130,7 +130,8 @@ def near_duplicates(
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     reached = linked.join(smallest, "root").select("fp", "component_id")
     names = distinct.join(reached, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(names, "fp").select("doc_id", "fp", "component_id")
+    # Written, so that both sides of the join are plain shuffles, of which a hot key's can be split.
+    return rows.join(durable(names), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
