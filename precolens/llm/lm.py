@@ -1,14 +1,14 @@
 """Language-model scoring with a weighted backoff automaton.
 
 The model is an n-gram model of words over a smoothed unigram distribution of all words of the
-training texts. N-grams that make up at least ``ARC_SHARE`` of the training tokens become arcs, their
-contexts states, and every state has a failure arc to its longest suffix, weighted so that all
-probabilities in a state add up to one. Shares bound the automaton: no more than 1 / ``ARC_SHARE``
-n-grams of a length can have that share, whatever the corpus, so it can be sent to every worker.
-
-The unigram counts grow with the corpus and stay a table. One left-to-right traversal of a text adds
-up the automaton's weights; words below ``WORD_SHARE`` leave it by failure arcs to the empty state,
-and their own counts come from one join.
+training texts. Every n-gram of the training texts that occurs ``LEAST`` times is an arc from its
+context, at any size of the corpus, and every context has a failure arc to its longest suffix,
+weighted so that all probabilities in a state add up to one.
+
+The automaton grows with the corpus and is kept as tables: arcs by context and word, failure weights
+by context. The n-grams of the texts meet their arcs by shuffled joins; those without an arc go on
+along the failure arcs. Only the numbers of the words with at least ``WORD_SHARE`` of the training
+tokens are sent to workers; all other words are named by a hash.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +29,15 @@ from pyspark.sql import functions as F
 from precolens.llm.common import kept, raw, ready, slices, stored
 
 ORDER = 3
-# Least shares of the training tokens of words that the automaton knows and of its n-grams.
-WORD_SHARE, ARC_SHARE = 2.0**-18, 2.0**-17
+# Least share of the training tokens of words that get a number, and least count of n-grams that are arcs.
+WORD_SHARE, LEAST = 2.0**-18, 1
 ADDED, DISCOUNT = 0.1, 0.5
 # Entries that a task counts before it hands them on.
 COUNTED = 300_000
 _BITS = 18  # of a word's number; there are 1 / WORD_SHARE and the end at most
+_HASHED = 1 << 62  # from here on codes are hashes
+# In place of a word: none before it; a word for its own count.
+NONE, ALONE = -1, -2
 END = ""  # stands for the end of a text, which is also what comes before its first word
 
 
@@ -98,56 +102,50 @@ def _numbered(words: list[str]) -> dict[bytes, int]:
     return {w.encode(): i for i, w in enumerate(words)}
 
 
-def ngram_counts(texts: DataFrame, words: Broadcast, known: int, shorter: np.ndarray | None, order: int) -> DataFrame:
-    """(key, n) of the n-grams of the first ``known`` words; ``shorter`` has the keys of those one
-    shorter that count: both ends of an n-gram must be among them."""
-    end = words.value.index(END)
+def _code(word: bytes) -> int:
+    """What stands for a word without a number: 62 bits of its hash, above all numbers."""
+    return xxhash.xxh64_intdigest(word, 42) >> 2 | 1 << 62
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = _numbered(words.value[:known])
-        get = number.get
-        found: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def flush() -> pa.RecordBatch:
-            keys, place = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-            n = np.bincount(place, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+def _line(texts: list[list[int]], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, a, b, c): of every word and end of the texts, its text's place and the two before it; a is ``NONE`` for the first."""
+    lengths = np.array([len(t) + 2 for t in texts], np.int64)
+    flat = np.fromiter((w for t in texts for w in (end, *t, end)), np.int64, int(lengths.sum()))
+    first = np.zeros(len(flat), bool)
+    first[np.cumsum(lengths) - lengths] = True
+    i = np.flatnonzero(~first)
+    return np.repeat(np.arange(len(texts)), lengths - 1), np.where(first[i - 1], NONE, flat[i - 2]), flat[i - 1], flat[i]
+
 
+def trigram_counts(texts: DataFrame, words: Broadcast) -> DataFrame:
+    """(a, b, c, n) over the texts in the first column, ends included; a is ``NONE`` at a text's first word. Written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = _numbered(words.value)
+        get, end = number.get, number[END.encode()]
         for batch in slices(batches, 0):
-            ids: list[int] = []
-            for text in raw(batch.column(0)).to_pylist():
-                ids.append(-2)  # the end of the text before, as context only
-                ids.extend([get(w, -1) for w in tokens(text)])
-                ids.append(end)
-            found.append(np.unique(_keys(np.array(ids, np.int64), end, known, shorter, order), return_counts=True))
-            if sum(len(k) for k, _ in found) > 8 * COUNTED:
-                yield flush()
-        if found:
-            yield flush()
+            ids = [[_code(w) if (i := get(w)) is None else i for w in tokens(t)] for t in raw(batch.column(0)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _line(ids, end)[1:]], ["a", "b", "c"])
+
+    found = ready(texts).mapInArrow(run, "a long, b long, c long").groupBy("a", "b", "c")
+    return stored(found.agg(F.count("*").alias("n")), "trigrams")
 
-    return ready(texts).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
+def coded(counts: DataFrame, words: Broadcast) -> DataFrame:
+    """(c, n) of every word in ``counts``, by its number or code; written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = _numbered(words.value)
+        for batch in batches:
+            codes = [_code(w) if (i := number.get(w)) is None else i for w in raw(batch.column(0)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), batch.column(1)], ["c", "n"])
 
-def _keys(ids: np.ndarray, end: int, known: int, shorter: np.ndarray | None, order: int) -> np.ndarray:
-    """Keys of the n-grams in ``ids``, where -1 is another word and -2 the start of a text."""
-    start = ids == -2
-    ids = np.where(start, end, ids)
-    length = max(len(ids) - order + 1, 0)
-    parts = [ids[j : j + length] for j in range(order)]
-    ok = np.all([(p >= 0) & (p < known) for p in parts], axis=0) if length else np.zeros(0, bool)
-    for j in range(1, order):
-        ok &= ~start[j : j + length]
-    keys = np.zeros(length, np.int64)
-    for p in parts:
-        keys = keys << _BITS | p
-    if shorter is not None:
-        ok &= np.isin(keys >> _BITS, shorter) & np.isin(keys & ((1 << _BITS * (order - 1)) - 1), shorter)
-    return keys[ok]
+    return stored(ready(counts.select("word", "n")).mapInArrow(run, "c long, n long"), "codes")
 
 
 class Automaton:
-    """States, arcs with log10 weights and failure arcs; state 0 is the empty context."""
+    """The automaton of a small model in memory, as a check on the tables: states, arcs with log10 weights
+    and failure arcs; state 0 is the empty context."""
 
     def __init__(self, words: Vocabulary, levels: list[tuple[np.ndarray, np.ndarray]]):
         """``levels``: keys and counts of the n-grams that count, for n = 2, 3 and so on."""
@@ -214,121 +212,184 @@ class Automaton:
 
 
 class Model(NamedTuple):
-    """What training gave: all word counts as a table, the frequent words and the n-grams that count."""
+    """What training gave, as tables, and the words that have a number.
+
+    ``codes`` has (c, n) of all words, ``pairs`` (b, c, n, p) and ``triples`` (a, b, c, n, p) the arcs with
+    their probability, ``fall`` (b, fall) the log10 weight of the failure arc to the empty context; None
+    beyond the model's order.
+    """
 
-    counts: DataFrame
     words: Vocabulary
-    levels: list[tuple[np.ndarray, np.ndarray]]
+    codes: DataFrame
+    pairs: DataFrame | None = None
+    fall: DataFrame | None = None
+    triples: DataFrame | None = None
+
+    @property
+    def levels(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Keys and counts of the arcs for an ``Automaton``; for small models whose arcs have numbered words only."""
+        out = []
+        for arcs, names in ((self.pairs, "bc"), (self.triples, "abc")):
+            if arcs is not None:
+                key = F.lit(0).cast("long")
+                for x in names:
+                    key = F.shiftleft(key, _BITS).bitwiseOR(F.col(x))
+                found = arcs.select(key.alias("key"), "n").orderBy("key").toArrow()
+                out.append((found["key"].to_numpy(), found["n"].to_numpy()))
+        return out
+
 
+def _fall(arcs: DataFrame, lower: Column, *context: str) -> DataFrame:
+    """The log10 weight of each context's failure arc, from its arcs' ``p`` and their probability without its first word."""
+    sums = arcs.groupBy(*context).agg(F.sum("p").alias("p"), F.sum(lower).alias("lower"))
+    return sums.select(*context, F.log10((1 - F.col("p")) / (1 - F.col("lower"))).alias("fall"))
 
-def train(texts: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, arc_share: float = ARC_SHARE) -> Model:
-    """A model of the texts in the first column of ``texts``; nulls are empty, no rows give a model that knows no word."""
-    if not 1 <= order <= 3 or word_share > arc_share:
-        raise ValueError("the order is 1 to 3, and words need no greater share than n-grams")
+
+def train(texts: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, arc_share: float = 0.0) -> Model:
+    """A model of the texts in the first column of ``texts``; nulls are empty, no rows give a model that knows no word.
+
+    An n-gram is an arc if it occurs ``LEAST`` times, and makes up ``arc_share`` of the tokens if that is given.
+    """
+    if not 1 <= order <= 3:
+        raise ValueError("the order is 1 to 3")
     counts = word_counts(texts)
     words = vocabulary(counts, word_share)
-    if not words.tokens:
-        return Model(counts, words, [])
-    least = max(arc_share * words.tokens, 2 * DISCOUNT)
-    known = int((words.counts >= least).sum())
     sent = texts.sparkSession.sparkContext.broadcast(words.words)
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
-    for n in range(2, order + 1):
-        shorter = levels[-1][0] if levels else None
-        found = ngram_counts(texts, sent, known, shorter, n).where(F.col("n") >= least).orderBy("key").toArrow()
-        levels.append((found["key"].to_numpy(), found["n"].to_numpy()))
-    return Model(counts, words, levels)
+    codes = coded(counts, sent)
+    if order == 1 or not words.tokens:
+        return Model(words, codes)
+    least = max(arc_share * words.tokens, LEAST)
+    # The parts of an n-gram occur as often as itself at least, so that they are arcs, too.
+    all_triples = trigram_counts(texts, sent)
+    pairs = all_triples.groupBy("b", "c").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    before = codes.select(F.col("c").alias("b"), F.col("n").alias("total"))
+    p = ((F.col("n") - DISCOUNT) / F.col("total")).alias("p")
+    pairs = stored(pairs.join(before, "b").select("b", "c", "n", p), "pairs")
+    own = codes.select("c", ((F.col("n") + ADDED) / F.lit(words.smoothing)).alias("own"))
+    fall = stored(_fall(pairs.join(own, "c"), F.col("own"), "b"), "fall")
+    if order == 2:
+        return Model(words, codes, pairs, fall)
+    before = pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), F.col("n").alias("total"))
+    triples = all_triples.where((F.col("a") != NONE) & (F.col("n") >= least)).join(before, ["a", "b"])
+    return Model(words, codes, pairs, fall, stored(triples.select("a", "b", "c", "n", p), "triples"))
 
 
 _FACTS = pa.struct(
     [
         ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-        ("base", pa.float64()), ("score", pa.float64()),
+        ("base", pa.float64()),
     ]
 )
 _PARTS = (
-    "word string, row long, times long, "
-    "facts struct<doc_id: bigint, held_out: boolean, n_tokens: bigint, n_known: bigint, base: double, score: double>"
+    "row long, a long, b long, c long, "
+    "facts struct<doc_id: bigint, held_out: boolean, n_tokens: bigint, n_known: bigint, base: double>"
 )
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
-
-    ``score`` is the model's log10 probability of the text's words and its end, ``base_score`` that of
-    the unigrams alone. Unknown words share one probability. A null or empty text has the end alone.
-    Rows that repeat an id are scored each; null ids stay null and count as held out.
-    """
-    words = model.words
-    sent = docs.sparkSession.sparkContext.broadcast((words, model.levels))
+def _parts(docs: DataFrame, words: Vocabulary, grams: bool) -> DataFrame:
+    """(row, a, b, c, facts): of every row of ``docs`` its facts, its words without a number (b is ``ALONE``)
+    and, with ``grams``, all its n-grams."""
+    sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def make() -> tuple:
-        automaton = Automaton(*sent.value)
-        return _numbered(sent.value[0].words), automaton, automaton.unigram
+        words = sent.value
+        return _numbered(words.words), np.log10(words.unigram(words.counts.astype(float))).tolist()
 
     key = ("model", uuid.uuid4().hex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, automaton, unigram = kept(key, make, slot="model")
-        get, end = number.get, number.get(END.encode(), -1)
+        number, unigram = kept(key, make, slot="model")
+        get, end = number.get, number.get(END.encode(), _code(END.encode()))
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches, 2):
-            keys, rows, times, facts = [], [], [], []
+            texts, facts = [], []
             ids_held = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             for (doc, held), text in zip(ids_held, raw(batch.column(2)).to_pylist(), strict=True):
-                found = tokens(text)
-                ids = [get(w, -1) for w in found]
-                rare = Counter(w for w, i in zip(found, ids, strict=True) if i < 0)
-                ids.append(end)
-                known = [i for i in ids if i >= 0]
-                base = sum(map(unigram.__getitem__, known))
-                # A key with a space is no word, so that the row meets none.
-                keys.append(f" {row}")
-                rows.append(row)
-                times.append(0)
-                facts.append((doc, held, len(ids), len(known), base, automaton.score(ids)))
-                for w, n in rare.items():
-                    keys.append(w.decode("utf-8", "replace"))
-                    rows.append(row)
-                    times.append(n)
-                    facts.append(None)
-                if end < 0:  # nothing was learnt, not even an end
-                    keys.append(END)
-                    rows.append(row)
-                    times.append(1)
-                    facts.append(None)
-                row += 1
+                ids = [_code(w) if (i := get(w)) is None else i for w in tokens(text)]
+                known = [i for i in (*ids, end) if i < _HASHED]
+                texts.append(ids)
+                facts.append((doc, held, len(ids) + 1, len(known), sum(map(unigram.__getitem__, known))))
+            place, a, b, c = _line(texts, end)
+            alone, n = c >= _HASHED, len(facts)
+            parts = [(np.arange(n), np.full(n, NONE), np.full(n, ALONE), row + np.arange(n))]
+            parts.append((place[alone], np.full(alone.sum(), NONE), np.full(alone.sum(), ALONE), c[alone]))
+            if grams:
+                parts.append((place, a, b, c))
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            columns[0] = columns[0] + row
+            row += n
+            rest = len(columns[0]) - n
             struct = pa.StructArray.from_arrays(
-                [pa.array([f and f[i] for f in facts], k.type) for i, k in enumerate(_FACTS)],
+                [pa.array([f[i] for f in facts] + [None] * rest, k.type) for i, k in enumerate(_FACTS)],
                 fields=list(_FACTS),
-                mask=pa.array([f is None for f in facts]),
-            )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), pa.array(rows, pa.int64()), pa.array(times, pa.int64()), struct],
-                ["word", "row", "times", "facts"],
+                mask=pa.array(np.arange(n + rest) >= n),
             )
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), struct], ["row", "a", "b", "c", "facts"])
 
     texts = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        held_out(F.col(id_col)).alias("held_out"),
-        F.col(text_col).cast("string").alias("text"),
+        F.col("id").cast("long").alias("doc_id"), held_out(F.col("id")).alias("held_out"), F.col("text")
+    )
+    return ready(texts).mapInArrow(run, _PARTS)
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
+
+    ``score`` is the model's log10 probability of the text's words and its end, ``base_score`` that of
+    the unigrams alone. Unknown words share one probability. A null or empty text has the end alone.
+    Rows that repeat an id are scored each; null ids stay null and count as held out.
+    """
+    words = model.words
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    parts = _parts(texts, words, model.pairs is not None)
+    if model.triples is not None:
+        parts = parts.join(model.triples.select("a", "b", "c", "p"), ["a", "b", "c"], "left")
+    else:
+        parts = parts.withColumn("p", F.lit(None).cast("double"))
+    # What has its arc, or only facts, becomes one row per text; the rest keeps its n-gram.
+    done = F.col("facts").isNotNull() | F.col("p").isNotNull()
+    gram = [F.when(~done, F.col(x)).alias(x) for x in "abc"]
+    parts = stored(
+        parts.groupBy("row", *gram).agg(
+            F.max("facts").alias("facts"), F.sum(F.log10("p")).alias("score"), F.count("*").alias("times")
+        ),
+        "parts",
     )
-    parts = ready(texts).mapInArrow(run, _PARTS)
-    rare = model.counts.where((F.col("n") < words.share * words.tokens) & (F.col("word") != END))
+    zero, no = F.lit(0.0), F.lit(0).cast("long")
+    shape = ["row", "facts", "rare", "found", "score"]
+    whole = parts.where("c is null").select("row", "facts", zero.alias("rare"), no.alias("found"), F.coalesce("score", zero).alias("score"))
+    left = parts.where("c is not null").select("row", "facts", "a", "b", "c", "times")
     n = F.coalesce("n", F.lit(0))
-    own = F.when(F.col("times") > 0, F.col("times") * F.log10((n + ADDED) / F.lit(words.smoothing))).otherwise(0.0)
+    own = F.log10((n + ADDED) / F.lit(words.smoothing))
+    alone = left.where(F.col("b") == ALONE).join(model.codes, "c", "left")
+    alone = alone.select("row", "facts", (F.col("times") * own).alias("rare"), F.when(n > 0, F.col("times")).otherwise(no).alias("found"), zero.alias("score"))
+    whole = whole.select(shape).unionAll(alone.select(shape))
+    if model.pairs is not None:
+        left = left.where(F.col("b") != ALONE)
+        first = zero
+        if model.triples is not None:
+            # Only contexts that were left need their failure arc.
+            asked = left.select("a", "b").distinct()
+            lower = model.pairs.select("b", "c", F.col("p").alias("lower"))
+            falls = _fall(model.triples.join(asked, ["a", "b"], "left_semi").join(lower, ["b", "c"]), F.col("lower"), "a", "b")
+            left = left.join(falls.withColumnRenamed("fall", "first"), ["a", "b"], "left")
+            first = F.coalesce("first", zero)
+        left = left.join(model.pairs.select("b", "c", "p"), ["b", "c"], "left").join(model.fall, "b", "left")
+        left = left.join(model.codes, "c", "left")
+        second = F.when(F.col("p").isNotNull(), F.log10("p")).otherwise(F.coalesce("fall", zero) + own)
+        left = left.select("row", "facts", zero.alias("rare"), no.alias("found"), (F.col("times") * (first + second)).alias("score"))
+        whole = whole.unionAll(left.select(shape))
+    base = F.max("facts.base") + F.sum("rare")
     return (
-        parts.join(rare, "word", "left")
-        .select("row", "facts.*", own.alias("rare"), F.when(n > 0, F.col("times")).otherwise(0).alias("found"))
-        .groupBy("row")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("held_out").alias("held_out"),
-            F.sum("n_tokens").alias("n_tokens"),
-            (F.sum("n_known") + F.sum("found")).alias("n_known"),
+        whole.groupBy("row")
+        .agg(  # without pairs the unigrams are the model
+            F.max("facts.doc_id").alias("doc_id"),
+            F.max("facts.held_out").alias("held_out"),
+            F.max("facts.n_tokens").alias("n_tokens"),
+            (F.max("facts.n_known") + F.sum("found")).alias("n_known"),
             F.lit(words.tokens).cast("long").alias("train_tokens"),
-            (F.sum("base") + F.sum("rare")).alias("base_score"),
-            (F.sum("score") + F.sum("rare")).alias("score"),
+            base.alias("base_score"),
+            (F.sum("score") if model.pairs is not None else base).alias("score"),
         )
         .drop("row")
     )

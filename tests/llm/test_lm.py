@@ -116,3 +116,13 @@ def test_empty_tables_and_no_training_rows(spark, docs):
     ids = [i for i in range(200) if is_held_out(i)]
     got = lm.train_and_score(docs([(ids[0], "a b"), (ids[1], None)])).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens) for r in got) == [(1, 0, 0), (3, 0, 0)]
+
+
+def test_every_ngram_counts_at_any_size(docs):
+    """One text has words and n-grams that occur once among far more tokens than 2^17."""
+    rows = [(1, "a b c"), (2, "q r s"), *((i, "the cat sat on the mat " * 500) for i in range(3, 103))]
+    texts = [t for i, t in rows if not is_held_out(i)]
+    brute = Brute(texts, 3, 0.0)
+    assert brute.n > 2**18 and not is_held_out(1) and brute.grams[3]["a", "b", "c"] == 1
+    got = {r.doc_id: r.score for r in lm.train_and_score(docs(rows)).where("doc_id < 3").collect()}
+    assert got == {i: pytest.approx(brute.score(t), rel=1e-9) for i, t in rows[:2]}
