@@ -8,7 +8,7 @@ ball has points (65 for radius 2), however many documents there are: copies coll
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -134,11 +134,13 @@ def near_duplicates(
     return rows.join(durable(names), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates
+) -> DataFrame:
     """The rows of ``docs`` whose id is its component's smallest; rows that share an id are one document.
 
-    Rows with a null id stay only if no document of their component has an id.
+    Rows with a null id stay only if no document of their component has an id. ``find`` gives the components.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    found = find(docs, id_col, text_col)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["doc_id"]), "left_semi")

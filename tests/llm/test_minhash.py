@@ -1,0 +1,63 @@
+import random
+
+import corpus_pipeline
+from precolens.llm import minhash, simhash
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set())
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def brute_components(rows, least=0.8):
+    label = {i: i for i, _ in rows}
+    for i, s in rows:
+        for j, t in rows:
+            if jaccard(s, t) >= least and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
+def planted(seed, n, aims):
+    """(doc_id, text): pairs 2k, 2k + 1 whose similarity is near each aim."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(120, 400))]
+        aim = aims[k % len(aims)]
+        other = list(words)
+        # Words appended to the end add one shingle each.
+        other += [f"x{rng.randrange(10**6)}" for _ in range(round((len(words) - 4) * (1 / aim - 1)))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    return rows
+
+
+def test_stage_finds_planted_pairs(spark, docs, tmp_path):
+    """Recall is a matter of chance at 0.8 only: one pair in 1,100 shares no band."""
+    rows = planted(3, 180, [0.81, 0.84, 0.88, 0.92, 0.97, 0.6])
+    similar = {i for i in range(0, 360, 2) if jaccard(rows[i][1], rows[i + 1][1]) >= 0.8}
+    assert len(similar) == 150
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs(rows), str(tmp_path)).collect()}
+    assert kept == {i for i, _ in rows} - {i + 1 for i in similar}
+
+
+def test_components_against_brute_force(docs):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(50)}" for _ in range(60)]
+    rows = [(i, " ".join(base[rng.randrange(12) :])) for i in range(40)]
+    rows += [(100, None), (101, ""), (102, "One two"), (103, "one  TWO"), (104, "a b c d e f"), (105, "zz " * 20_000)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(rows).selectExpr("*", "1 as s", "2 as g")).collect()}
+    assert got == brute_components(rows)
+
+
+def test_null_ids_and_empty_tables(docs):
+    rows = docs([(1, "a b c d e f"), (2, "A b c d e f"), (3, "q r s t u"), (None, "a b c d e f")])
+    kept = simhash.keep_first(rows, find=minhash.near_duplicates)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert minhash.near_duplicates(docs([])).count() == 0
