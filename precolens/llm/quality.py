@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precolens.llm.common import free_name, raw, ready, slices
+from precolens.session import durable
 
 # Labelled rows that the trees are fitted on, at most; those with the smallest hash of the id.
 SAMPLE_ROWS = 20_000
@@ -180,19 +181,26 @@ def train(
 ) -> Trees:
     """Trees fitted on at most ``sample_rows`` labelled documents.
 
-    Labels without an id, a value or a document are not used. A document labelled twice counts twice.
-    The sample takes the labels whose ids have the smallest hashes, so it doesn't depend on row order.
+    Labels without an id, a value or a document are not used and take no place in the sample. A document
+    labelled twice counts twice, an id that several rows share once for each. The sample takes the labels
+    whose ids have the smallest hashes, and of their documents as many again, so it doesn't depend on row order.
     """
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_body"))
+    texts = texts.withColumn("_hash", F.xxhash64("_body"))
+    order = [F.xxhash64("_id"), "_id", "_label"]
     sample = (
         labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label"))
         .where("_id is not null and _label is not null")
-        .orderBy(F.xxhash64("_id"), "_id", "_label")
+        .join(texts.select("_id"), "_id", "left_semi")
+        .orderBy(*order)
         .limit(sample_rows)
     )
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_body"))
-    # At most sample_rows rows of two numbers.
-    labelled = texts.join(F.broadcast(sample), "_id").select("_id", "_label", "_body")
-    rows = sorted(_features(labelled, ["_id", "_label"], "_body").collect())
+    # At most sample_rows rows of two or three numbers; equal documents are computed once.
+    picked = texts.select("_id", "_hash").join(F.broadcast(sample), "_id").orderBy(*order, "_hash").limit(sample_rows)
+    picked = durable(picked.groupBy("_id", "_label", "_hash").agg(F.count("*").alias("_times")))
+    labelled = texts.join(F.broadcast(picked), ["_id", "_hash"]).dropDuplicates(["_id", "_hash", "_label"])
+    rows = sorted(_features(labelled, ["_id", "_label", "_times"], "_body").collect(), key=lambda r: (r._id, r._label, r.features))
+    rows = [r for r in rows for _ in range(r._times)]
     x = np.array([r.features for r in rows], float).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r._label for r in rows], float))
 

@@ -82,3 +82,13 @@ def test_held_out_documents(spark, folder):
     assert sum(r.quality == r.good for r in got) >= 0.97 * len(got)
     clean = [r.good for r in got if r.quality == 1]
     assert sum(clean) >= 0.99 * len(clean)
+
+
+def test_sample_is_taken_of_labels_with_documents(spark, docs, monkeypatch):
+    """Labels without documents take no place, and an id that many rows share doesn't exceed the sample."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(sorted(y.tolist())))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    quality.train(docs([(7, "a b"), (8, "c d")]), labels, sample_rows=5)
+    quality.train(docs([(7, f"a b {i % 3}") for i in range(40)]), labels, sample_rows=5)
+    assert seen == [[0.0, 1.0], [1.0] * 5]
