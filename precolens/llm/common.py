@@ -67,6 +67,14 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tokenizer_at(path: str):
+    """The tokenizer in a file, without a thread pool of its own: workers run side by side already."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Cache:
     """Values by key for a worker: ``make`` gives those of a list of new keys.
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from precolens.llm.common import Cache, kept, raw, ready, slices
+from precolens.llm.common import Cache, kept, raw, ready, slices, tokenizer_at
 from precolens.session import written
 
 CAPACITY = 2048
@@ -44,9 +44,7 @@ class WordIds:
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer_at(path)
         self.special = any("<" not in t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.words = Cache(self._of_words, cached)
         self.parts = Cache(self._of_parts, cached)

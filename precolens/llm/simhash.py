@@ -8,7 +8,7 @@ ball has points (65 for radius 2), however many documents there are: copies coll
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from precolens.llm.common import raw, ready, slices
+from precolens.llm.common import free_name, raw, ready, slices
 from precolens.session import durable
 
 SEED = 42
@@ -115,6 +115,18 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
+def _named(rows: DataFrame, radius: int) -> DataFrame:
+    """(fp, first, root, component_id) of the distinct fingerprints in ``rows``; ``root`` tells components apart."""
+    distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    linked = components(links(distinct, radius)).withColumnRenamed("node", "fp").join(distinct, "fp")
+    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    reached = linked.join(smallest, "root").select("fp", "root", "component_id")
+    whole = F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id"))
+    return distinct.join(reached, "fp", "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root"), whole.alias("component_id")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
@@ -125,22 +137,43 @@ def near_duplicates(
     it has no other. An empty table gives no rows. Other columns are not read.
     """
     rows = durable(fingerprints(docs, id_col, text_col, size))
-    distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    linked = components(links(distinct, radius)).withColumnRenamed("node", "fp").join(distinct, "fp")
-    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    reached = linked.join(smallest, "root").select("fp", "component_id")
-    names = distinct.join(reached, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    names = _named(rows, radius).select("fp", "component_id")
     # Written, so that both sides of the join are plain shuffles, of which a hot key's can be split.
     return rows.join(durable(names), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
-    """The rows of ``docs`` whose id is its component's smallest; rows that share an id are one document.
+    """One row of each component of ``docs``: that with the smallest id, null ids last.
 
-    Rows with a null id stay only if no document of their component has an id. ``find`` gives the components.
+    Of rows with that id, which repeat it, one with the smallest fingerprint stays. An empty table
+    gives no rows; all columns stay as they are.
     """
-    found = find(docs, id_col, text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["doc_id"]), "left_semi")
+    rows = durable(fingerprints(docs, id_col, text_col, size))
+    winner = F.min(F.struct(F.col("first").isNull(), "first", "fp"))
+    first = _named(rows, radius).groupBy("root").agg(winner.alias("w")).select("w.first", "w.fp")
+    first = durable(first.select(F.col("first").alias("_first"), F.col("fp").alias("_print")))
+    id_, fp = free_name(docs, "_id"), free_name(docs, "_fp")
+    found = _printed(docs, id_col, text_col, size, id_, fp)
+    kept = found.join(first, (F.col(fp) == F.col("_print")) & F.col(id_).eqNullSafe(F.col("_first")), "left_semi")
+    if not rows.groupBy("doc_id", "fp").count().where("count > 1").isEmpty():
+        nth = free_name(docs, "_nth")
+        order = Window.partitionBy(fp, id_).orderBy(F.xxhash64(*docs.columns))
+        kept = kept.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
+    return kept.select(*docs.columns)
+
+
+def _printed(docs: DataFrame, id_col: str, text_col: str, size: int, id_: str, fp: str) -> DataFrame:
+    """``docs`` with the id as a long and the fingerprint."""
+    text = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            found = [fingerprint(t or b"", size) for t in raw(batch.column(text)).to_pylist()]
+            column = pa.array(np.array(found, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, fp])
+
+    rows = docs.withColumn(id_, F.col(id_col).cast("long"))
+    fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    return ready(rows).mapInArrow(run, f"{fields}, `{fp}` long")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precolens.llm.bpe import groups
-from precolens.llm.common import Cache, free_name, kept, raw, ready, slices
+from precolens.llm.common import Cache, free_name, kept, raw, ready, slices, tokenizer_at
 
 # The table holds at most FREQUENT groups of at most LONGEST characters. A task proposes those with
 # at least SHARE of its groups, so 1 / SHARE at most, and forgets rare ones beyond COUNTED.
@@ -59,24 +60,28 @@ class Counts:
     """Token counts of groups: the frequent ones from a table, others from the tokenizer or a cache."""
 
     def __init__(self, path: str, words: bytes, lengths: bytes):
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer = tokenizer_at(path)
         self.table = dict(zip(words.decode().split("\0"), np.frombuffer(lengths, np.uint16).tolist(), strict=True))
         self.cache = Cache(lambda new: count(self.tokenizer, new), CACHED)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def total(self, text: str, pattern: regex.Pattern) -> int:
-        if any(s in text for s in self.special):
-            return count(self.tokenizer, [text])[0]  # the library cuts there before it looks for pre-tokens
-        found = groups(text, pattern)
-        got = list(map(self.table.get, found))
-        rare = [g for g, n in zip(found, got, strict=True) if n is None]
-        return sum(filter(None, got)) + sum(self.cache.get(rare))
-
-
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+    def totals(self, texts: list[str | None], pattern: regex.Pattern) -> list[int]:
+        """The texts' numbers of tokens; what the table misses is looked up for all of them at once."""
+        sums, missed, rare = [], [], []
+        for text in texts:
+            if not text:
+                found = []
+            elif any(s in text for s in self.special):
+                found = None  # the library cuts there before it looks for pre-tokens
+            else:
+                found = groups(text, pattern)
+            got = list(map(self.table.get, found or ()))
+            before = len(rare)
+            rare += [g for g, n in zip(found or (), got, strict=True) if n is None]
+            missed.append(len(rare) - before)
+            sums.append(count(self.tokenizer, [text])[0] if found is None else sum(filter(None, got)))
+        counts = iter(self.cache.get(rare))
+        return [n + sum(islice(counts, m)) for n, m in zip(sums, missed, strict=True)]
 
 
 def count(tokenizer, texts: list[str]) -> list[int]:
@@ -88,11 +93,11 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text
     """``docs`` and a struct ``tokens``: n_bytes, n_tokens and over_limit (n_tokens > limit) of every row.
 
     ``path`` is a byte-level tokenizer whose pre-tokens are the matches of ``pattern``; its special
-    strings count as it counts them by default. A null or empty text has 0 bytes and tokens. The
-    struct's name is lengthened if ``docs`` has it; rows and other columns stay as they are.
+    strings count as it counts them by default. A null or empty text has 0 bytes and tokens, no rows give
+    no rows. The struct's name is lengthened if ``docs`` has it; rows and other columns stay as they are.
     """
     frequent = frequent_groups(docs, pattern, text_col)
-    lengths = np.array(count(_tokenizer(path), frequent), np.uint16).tobytes()
+    lengths = np.array(count(tokenizer_at(path), frequent), np.uint16).tobytes()
     frequent, lengths = (frequent, lengths) if frequent else ([""], np.zeros(1, np.uint16).tobytes())
     # At most FREQUENT * (4 * LONGEST + 3) bytes.
     table = docs.sparkSession.sparkContext.broadcast(("\0".join(frequent).encode(), lengths))
@@ -102,7 +107,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text
         counts = kept((path, hash(table.value)), lambda: Counts(path, *table.value), slot="counts")
         cut = regex.compile(pattern)
         for batch in slices(batches, text):
-            found = [counts.total(t, cut) if t else 0 for t in batch.column(text).to_pylist()]
+            found = counts.totals(batch.column(text).to_pylist(), cut)
             size = pc.fill_null(pc.binary_length(raw(batch.column(text))), 0).cast(pa.int64())
             n = pa.array(found, pa.int64())
             struct = pa.StructArray.from_arrays([size, n, pc.greater(n, limit)], ["n_bytes", "n_tokens", "over_limit"])

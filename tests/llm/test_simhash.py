@@ -60,6 +60,10 @@ def test_repeated_rows_null_ids_and_empty_tables(spark, docs):
     assert simhash.near_duplicates(docs([])).count() == 0
 
 
-def test_keep_first_keeps_one_document_of_each_group(spark, docs):
-    rows = docs([(1, "a b c d"), (2, "a b c d"), (3, "q r s t u"), (None, "a b c d")]).selectExpr("*", "7 as component_id")
-    assert sorted(tuple(r) for r in simhash.keep_first(rows).collect()) == [(1, "a b c d", 7), (3, "q r s t u", 7)]
+def test_keep_first_keeps_one_row_of_each_group(spark, docs):
+    rows = [(1, "a b c d"), (2, "a b c d"), (3, "q r s t u"), (None, "a b c d"), (3, "q r s t u"), (3, "q r s t u")]
+    rows += [(None, "v w x y z"), (None, "v w x y z"), (None, None), (8, ""), (None, "k l m n o"), (1, "e f g h i")]
+    got = simhash.keep_first(docs(rows).selectExpr("*", "7 as component_id", "8 as _FP")).collect()
+    want = [(1, "a b c d"), (1, "e f g h i"), (3, "q r s t u"), (8, ""), (None, "k l m n o"), (None, "v w x y z")]
+    assert sorted((tuple(r) for r in got), key=str) == sorted(((*w, 7, 8) for w in want), key=str)
+    assert simhash.keep_first(docs([])).count() == 0

@@ -38,7 +38,7 @@ SHARED, CUT = counts(), regex.compile(PATTERN)
 def test_any_text_as_the_library_counts(text, special):
     text = text[: len(text) // 2] + "<|endoftext|>" * special + text[len(text) // 2 :]
     want = len(LIBRARY.encode(text, add_special_tokens=False).ids)
-    assert SHARED.total(text, CUT) == want
+    assert SHARED.totals([None, text, text + text[:0], ""], CUT) == [0, want, want, 0]
 
 
 def test_whole_table_as_the_library_counts(spark, folder):
