@@ -23,6 +23,11 @@ def _owners(names: list[str], size: int) -> list[str]:
 
 _OWNERS = ", ".join(f"'{name}'" for name in _owners([f"shard-{i:02d}" for i in range(32)], 4099))
 
+def _terms(text: str) -> str:
+    lower = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
 ORACLES: dict[str, str] = {
     "op10_warc": """
         with p as (select page_id, coalesce(html, '') as body from pages),
@@ -54,4 +59,24 @@ ORACLES: dict[str, str] = {
         )
         select doc_id, slot, ([{_OWNERS}])[slot + 1] as shard from s
     """,
+    "op12_lexical": f"""
+        with d as (select doc_id, row_number() over () as row, {_terms("text")} as terms from documents),
+        s as (select count(*) filter (len(terms) > 0) as docs, sum(len(terms)) as length from d),
+        tf as (select row, term, count(*) as tf from (select row, unnest(terms) as term from d) group by all),
+        w as (
+            select term, cast(floor(1000 * ln((2 * any_value(s.docs) + 2) / (2 * count(*) + 1))) as bigint) as w
+            from tf, s group by term
+        ),
+        part as (
+            select tf.row, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(terms) * docs) // length))) as part
+            from tf join w using (term) join d using (row), s
+        ),
+        q as (select item_id, unnest({_terms("text")}) as term from benchmark),
+        scores as (
+            select item_id, row, cast(sum(part) as bigint) as score from q join part using (term) group by all
+        )
+        select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank,
+               doc_id, score
+        from scores join d using (row) where score > 0 qualify rank <= 10
+    """,
 }

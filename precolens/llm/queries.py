@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precolens.llm import bpe, knn, lm, packing, quality, repeats, sharding, simhash, token_counts, warc
+from precolens.llm import bpe, knn, lexical, lm, packing, quality, repeats, sharding, simhash, token_counts, warc
 from precolens.llm.common import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
@@ -71,6 +71,10 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.train_and_score(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -82,4 +86,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op12_lexical": op12_lexical,
 }
