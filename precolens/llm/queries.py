@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precolens.llm import bpe, knn, lexical, lm, packing, quality, repeats, sharding, simhash, token_counts, warc
+from precolens.llm import bpe, classifier, knn, lexical, lm, packing, quality, repeats, sharding, simhash, token_counts, warc
 from precolens.llm.common import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
@@ -75,6 +75,16 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    vectors = classifier.word_vectors(docs)
+    network = classifier.train(docs, table(spark, sf_dir, "labels").where(~held_out), vectors)
+    scored = classifier.score(docs, network, vectors, out="score")
+    predicted = (F.col("score") >= 0.7).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -87,4 +97,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
     "op12_lexical": op12_lexical,
+    "op13_classifier": op13_classifier,
 }
