@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precolens.llm import bpe, classifier, knn, lexical, lm, packing, quality, repeats, sharding, simhash, token_counts, warc
+from precolens.llm import alignment, bpe, classifier, knn, lexical, lm, packing, quality, repeats, sharding, simhash, token_counts, warc
 from precolens.llm.common import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
@@ -85,6 +85,11 @@ def op13_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return alignment.align(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op11_alignment": op11_alignment,
     "op12_lexical": op12_lexical,
     "op13_classifier": op13_classifier,
 }
