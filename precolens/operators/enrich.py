@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import supplier_code
 from ..schemas import VISIBLE_COLUMNS
-from ..session import durable, measured
+from ..session import measured
 
 KEY = ["cod_informante", "id_produto"]
 
@@ -46,12 +46,13 @@ def enrich_first(first: DataFrame, registry: DataFrame, n: int, backward: bool =
     """Enriched rows that hold the first ``n`` of the view, from its first ``n`` fact rows; the last, if ``backward``.
 
     The left join drops no fact row, so no others are needed; nor are more than the first ``n``
-    registry rows of a key. The fact rows, found once, are written out. Their keys, broadcast,
-    pick the registry rows during its scan, so that neither table is shuffled. Callers keep ``n``
-    to a few hundred, so that the keys are few and Spark trims a key's rows before it sorts them.
+    registry rows of a key. The fact rows, found once, are written out and measured. Their keys pick the
+    registry rows, by a broadcast to its scan if they are small, so that then neither table is shuffled.
     """
-    coded = durable(with_code(first))
-    keys = F.broadcast(coded.select(*KEY).distinct())
+    coded = measured(with_code(first))
+    keys = coded.rows.select(*KEY).distinct()
+    if coded.small:
+        keys = F.broadcast(keys)
     ties = [F.desc_nulls_first(c) if backward else F.asc_nulls_last(c) for c in REGISTRY_TIES]
     order = Window.partitionBy(*KEY).orderBy(*ties)
     codes = (
@@ -60,7 +61,7 @@ def enrich_first(first: DataFrame, registry: DataFrame, n: int, backward: bool =
         .withColumn("_rn", F.row_number().over(order))
         .where(F.col("_rn") <= n)
     )
-    return _joined(coded, codes)
+    return _joined(coded.rows, codes)
 
 
 def repeated_keys(registry: DataFrame) -> DataFrame:

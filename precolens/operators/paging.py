@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from operator import and_
 from typing import NamedTuple
@@ -24,6 +25,7 @@ TOP_K_ROWS = 900
 SPLITTERS = 64
 
 _DAY_LENGTH = len("yyyy-MM-dd")
+_IS_DAY = re.compile(r"\d{4}-(0[1-9]|1[0-2])-\d{2}", re.ASCII)
 _DATE = "data_coleta"
 
 # The order: the date descending, then all other columns ascending, the registry's last. Rows that
@@ -171,24 +173,80 @@ def page_row_number(
 # --- pages next to a row ------------------------------------------------------------------
 
 
+def _reach(day: str, months: int) -> str:
+    """The first or last text of the month that lies so many months from a day; the day's own month for 0."""
+    month = int(day[:4]) * 12 + int(day[5:7]) - 1 + months
+    return f"{month // 12:04d}-{month % 12 + 1:02d}"
+
+
+def _walk(day: str, backward: bool) -> Iterator[tuple[str | None, str | None]]:
+    """(newest, oldest) day or month bounds from a day on, ever wider: the day, its month, 1, 3, 7... months on."""
+    yield (day, day)
+    for months in (0, 1, 3, 7, 15, 31, 63):
+        # A prefix sorts before all texts that begin with it, a prefix and "~" after them.
+        yield (_reach(day, months) + "~", day) if backward else (day, _reach(day, -months))
+
+
+def _alongside(fact: DataFrame, keys: Sequence[str], seen: Mapping, need: int, backward: bool) -> DataFrame:
+    """Fact rows from ``seen`` on, bounded on both sides by dates between which there are ``need`` of them.
+
+    A table by month is probed outward from the seen day; each probe reads a few months' keys and stops at
+    ``need`` rows. Else the rows per day are counted, from the filter columns and the date alone.
+    """
+    date = seen[_DATE]
+    beyond = _from_row(fact, keys, seen, backward)
+    day = None if date is None else date[:_DAY_LENGTH]
+    if MONTH in fact.columns and day and _IS_DAY.fullmatch(day):
+        for newest, oldest in _walk(day, backward):
+            near = _within(fact, newest, oldest).where(beyond)
+            if near.limit(need).count() >= need:
+                return near
+        return (_within(fact, None, day) if backward else _within(fact, day, None)).where(beyond)
+    # The seen day is always read; of the days beyond it, as many as hold the page.
+    others = (_sooner if backward else _later)(_day(), _DATE, day)
+    side = fact if not day else _within(fact, None, day) if backward else _within(fact, day, None)
+    far = _far_day(day_counts(side.where(others)), need, backward, day)
+    return _between_days(fact, *((far, day) if backward else (day, far))).where(beyond)
+
+
+def _within(fact: DataFrame, newest: str | None, oldest: str | None) -> DataFrame:
+    """Fact rows between two texts that are days or months, ends included; None is no bound."""
+    date, conditions = F.col(_DATE), []
+    month = F.col(MONTH) if MONTH in fact.columns else None
+    if newest is not None:
+        older = date <= F.lit(newest)
+        conditions.append(older | date.startswith(newest) if len(newest) == _DAY_LENGTH else older)
+        if oldest is None:
+            conditions[-1] = conditions[-1] | date.isNull()
+        if month is not None:
+            last = month <= F.lit(newest[:7])
+            conditions.append(last if oldest is not None else last | month.isNull())
+    if oldest is not None:
+        conditions.append(date >= F.lit(oldest))
+        if month is not None:
+            conditions.append(month >= F.lit(oldest[:7]))
+    return fact.where(reduce(and_, conditions, F.lit(True)))
+
+
+def _far_day(counts: DataFrame, need: int, backward: bool, seen: str | None) -> str | None:
+    """The last day, from the nearest on, of those that hold ``need`` rows; the seen one if there are none."""
+    order = F.asc_nulls_last("dia") if backward else F.desc_nulls_last("dia")
+    running = F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    hit = counts.withColumn("antes", running - F.col("n")).where(F.col("antes") < need)
+    last = hit.orderBy(F.desc("antes")).limit(1).collect()
+    return last[0].dia if last else seen
+
+
 def _beside(fact: DataFrame, registry: DataFrame, seen: Mapping, size: int, shown: int, backward: bool) -> DataFrame:
     if size < 1 or shown < 0:
         raise ValueError("size starts at 1, shown at 0")
-    need, date = shown + size, seen[_DATE]
-    near = fact
-    if backward:
-        if date is not None:
-            near = fact.where(F.col(_DATE) >= F.lit(date))
-            if MONTH in fact.columns and date:
-                near = near.where(F.col(MONTH) >= F.lit(date[:7]))
-    else:
-        near = _between_days(fact, date, None)
-    same = reduce(and_, (_value(near, k).eqNullSafe(F.lit(seen[k])) for k in _FACT_KEYS))
+    need = shown + size
+    near = _alongside(fact, _FACT_KEYS, seen, need, backward)
+    first = durable(near.orderBy(*_sorted_by(near, _FACT_KEYS, backward)).limit(need))
+    same = reduce(and_, (_value(first, k).eqNullSafe(F.lit(seen[k])) for k in _FACT_KEYS))
     # Copies of the fact row that was seen: some of their registry rows may lie on the other side.
-    copies = enrich(near.where(same).limit(need), registry)
-    copies = copies.where(_from_row(copies, REGISTRY_TIES, seen, backward))
-    others = near.where(_from_row(near, _FACT_KEYS, seen, backward) & ~same)
-    rows = copies.unionByName(_first_rows(others, registry, need, backward))
+    copies = enrich_first(first.where(same), registry.where(_from_row(registry, REGISTRY_TIES, seen, backward)), need, backward)
+    rows = copies.unionByName(enrich_first(first.where(~same), registry, need, backward))
     beside = rows.orderBy(*_sorted_by(rows, _KEYS, backward)).offset(shown).limit(size)
     return newest_first(beside)
 
@@ -197,7 +255,8 @@ def page_after(fact: DataFrame, registry: DataFrame, last: Mapping, size: int =
     """The rows that follow a page, given its last row (a mapping of the visible columns).
 
     ``shown``: how many rows equal to it in all columns were shown so far; more than one only if the
-    table has copies. The row's date bounds the scan, so no rank is counted.
+    table has copies. The rows are read between two dates, the row's own and one beyond which the page
+    cannot reach, so no rank is counted.
     """
     return _beside(fact, registry, last, size, shown, backward=False)
 

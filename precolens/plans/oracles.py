@@ -162,6 +162,7 @@ def _roster(body: str, *batches: str) -> str:
 
 
 _SELECTED = "numero < 20"
+_FOUND = f"id_produto in (select id_produto from coleta where {SINCE_TERM})"
 
 _PAGE = f", pagina as (select id_produto, numero from (select *, row_number() over (order by {ORDEM}) as _rn from enriquecida) where _rn > 30 and _rn <= 60), escolhidos as (select distinct id_produto from coleta where {_SELECTED})"
 
@@ -192,12 +193,12 @@ def _exported(column: str) -> str:
 
 _WIDTHS = " union all ".join(
     f"select '{label}' as coluna, cast(least(greatest(coalesce(max(length(cast({c} as varchar))), 0), "
-    f"length('{label}')) + 4, 60) as int) as largura from enriquecida where {_SELECTED}"
+    f"length('{label}')) + 4, 60) as int) as largura from enriquecida where {_FOUND}"
     for c, label in COLUMN_LABELS.items()
 )
 
 _FILLED = " union all ".join(
-    f"select '{c}' as coluna, '{label}' as rotulo, count({c}) as preenchidas from enriquecida where {_SELECTED}"
+    f"select '{c}' as coluna, '{label}' as rotulo, count({c}) as preenchidas from enriquecida where {_FOUND}"
     for c, label in COLUMN_LABELS.items()
 )
 
@@ -338,10 +339,10 @@ ORACLES: dict[str, str] = {
                    then 0 else count(distinct id_produto) filter (where {_SELECTED}) end from enriquecida"""
     ),
     "mark_selected": _view(f"select {VISIBLE}, {_SELECTED} as selecionado from enriquecida"),
-    "rows_by_ids": _view(f"select {VISIBLE} from enriquecida where {_SELECTED} order by {ORDEM}"),
+    "rows_by_ids": _view(f"select {VISIBLE} from enriquecida where {_FOUND} order by {ORDEM}"),
     # export and publishing
     "export_formatted": _view(
-        f"select {', '.join(_exported(c) for c in VISIBLE_COLUMNS)} from enriquecida where {_SELECTED} order by {ORDEM}"
+        f"select {', '.join(_exported(c) for c in VISIBLE_COLUMNS)} from enriquecida where {_FOUND} order by {ORDEM}"
     ),
     "export_widths": _view(_WIDTHS),
     "export_labels": _view(_FILLED),

@@ -310,9 +310,14 @@ def mark_selected(spark, folder):
     return selection.mark_selected(_view(spark, folder), _selected(spark, folder))
 
 
+def _everything_found(spark, folder) -> DataFrame:
+    """The selection of the exports: all products that the search by date and term finds."""
+    return selection.select_all(selection.cleared(_fact(spark, folder)), _fact(spark, folder, SINCE_TERM))
+
+
 def _picked(spark, folder) -> DataFrame:
     fact, registry = warehouse.collection(spark, folder), warehouse.registry(spark, folder)
-    return selection.rows_by_ids(fact, registry, _selected(spark, folder))
+    return selection.rows_by_ids(fact, registry, _everything_found(spark, folder))
 
 
 @query
@@ -332,7 +337,7 @@ def export_formatted(spark, folder):
 
 def _unsorted(spark, folder) -> DataFrame:
     fact, registry = warehouse.collection(spark, folder), warehouse.registry(spark, folder)
-    return selection.picked(fact, registry, _selected(spark, folder))
+    return selection.picked(fact, registry, _everything_found(spark, folder))
 
 
 @query

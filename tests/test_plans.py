@@ -99,13 +99,29 @@ def test_pages_read_only_their_months(spark, stored):
     assert {r.d for r in rows.select(F.col("data_coleta").alias("d")).collect()} == {"2024-05-13", "2024-05-14"}
 
 
-def test_next_page_bounds_the_scan_by_its_date(spark, stored, registry):
+@pytest.mark.parametrize("backward", [False, True])
+def test_neighbour_pages_bound_the_scan_on_both_sides(spark, stored, registry, backward):
     fact, codes = read_collection(spark, stored), registry((1, "P1", "x", 1))
-    last = paging.page_topk(fact, codes, 3).collect()[-1]
-    text = paging._between_days(fact, last.data_coleta, None)
-    assert "LessThanOrEqual(data_coleta," in plan(text) and "(mes_coleta" in plan(text).split("PartitionFilters")[1][:80]
-    chained = paging.page_after(fact, codes, last.asDict()).collect()
-    assert chained == paging.page_topk(fact, codes, 4).collect()
+    page = paging.page_topk(fact, codes, 10).collect()
+    seen = page[0 if backward else -1].asDict()
+    near = paging._alongside(fact, paging._FACT_KEYS, seen, 31, backward)
+    filters = plan(near).split("PartitionFilters: [")[1].split("]")[0]
+    assert plan(near).count("FileScan") == 1 and "(mes_coleta" in filters
+    assert ">= 2024-06)" in filters and "<= 2024-06)" in filters
+    # Days hold some 140 rows: those of one day are read for a page of 30.
+    assert near.select("data_coleta").distinct().count() == 1
+    beside = paging.page_before if backward else paging.page_after
+    assert beside(fact, codes, seen).collect() == paging.page_topk(fact, codes, 9 if backward else 11).collect()
+
+
+def test_large_neighbour_pages_broadcast_only_what_was_measured(spark, stored, registry, monkeypatch):
+    fact, codes = read_collection(spark, stored), registry((1, "P1", "x", 1))
+    last = paging.page_topk(fact, codes, 1).collect()[-1].asDict()
+    hints = lambda df: df._jdf.queryExecution().analyzed().toString().count("strategy=broadcast")
+    assert hints(paging.page_after(fact, codes, last, 10)) == 2
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    page = paging.page_after(fact, codes, last, 1500)
+    assert hints(page) <= 1 and page.count() == 1500
 
 
 def test_exports_group_nothing_and_widths_sort_nothing(spark, stored, registry):
@@ -127,8 +143,11 @@ def test_copies_of_a_row_are_spread_over_a_sort(spark, fact, registry):
     assert len(sizes) > 3 and max(sizes) < 2500
 
 
-def test_options_read_the_table_once(spark, stored):
-    assert plan(facets.filter_options(read_collection(spark, stored))).count("FileScan") == 1
+def test_options_read_the_table_once_and_sort_no_rows(spark, stored):
+    text = plan(facets.filter_options(read_collection(spark, stored)))
+    assert text.count("FileScan") == 1
+    # Below the exchange of the distinct pairs, rows are put together by hash.
+    assert "HashAggregate" in text and "Sort" not in text[text.rindex("Exchange"):]
 
 
 def test_index_lookup_filters_words_before_the_shuffle(spark, stored):
