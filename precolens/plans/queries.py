@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import derive
 from ..functions.text import lenient_date
-from ..operators import facets, maintenance, paging, selection, split, textindex
+from ..operators import facets, maintenance, paging, rankindex, selection, split, textindex
 from ..operators.enrich import (
     FanOut,
     count_rows,
@@ -169,9 +169,10 @@ def _days(spark, folder) -> paging.DayIndex:
     return paging.DayIndex(fact, registry, counted=_fact(spark, folder))
 
 
-def _part_of_the_way(days: paging.DayIndex, part: int, of: int) -> int:
+def _part_of_the_way(view: paging.DayIndex | rankindex.RankIndex, part: int, of: int) -> int:
     """The page that lies this part of the way through the whole view."""
-    return max(1, -(-days.total // paging.PAGE_SIZE) * part // of)
+    total = view.total() if callable(view.total) else view.total
+    return max(1, -(-total // paging.PAGE_SIZE) * part // of)
 
 
 @query
@@ -375,8 +376,26 @@ def stored_filter(spark, folder):
 
 @query
 def stored_page_deep(spark, folder):
-    days = paging.DayIndex(_stored(spark, folder), warehouse.registry(spark, folder))
-    return days.page(_part_of_the_way(days, 5, 6))
+    """A deep page of a stored table by its stored index of ranks."""
+    fact, registry, path = _stored(spark, folder), warehouse.registry(spark, folder), scratch_path(spark, "postos")
+    rankindex.write_rank_index(fact, FanOut(registry), path)
+    index = rankindex.RankIndex(spark, path, fact, registry)
+    return index.page(_part_of_the_way(index, 5, 6))
+
+
+@query
+def stored_page_refreshed(spark, folder):
+    """The same after some months were published again: at first without the rows of a brand, then in full."""
+    path, index_path = scratch_path(spark, "coleta"), scratch_path(spark, "postos")
+    fact, registry = warehouse.collection(spark, folder), warehouse.registry(spark, folder)
+    fan_out = FanOut(registry)
+    publish.publish(fact.where((F.col("marca") != BRAND) | (F.col("data_coleta") < SINCE)), path)
+    rankindex.write_rank_index(read_collection(spark, path), fan_out, index_path)
+    publish.publish(FilterSpec(data_apos=SINCE).apply(fact), path)
+    rankindex.write_rank_index(FilterSpec(data_apos=SINCE).apply(read_collection(spark, path)), fan_out, index_path)
+    index = rankindex.RankIndex(spark, index_path, read_collection(spark, path), registry)
+    index.check(fan_out)
+    return index.page(_part_of_the_way(index, 1, 3))
 
 
 @query
