@@ -457,5 +457,7 @@ ORACLES: dict[str, str] = {
     ),
 }
 
-ORACLES["stored_options"] = ORACLES["facet_options"]
-ORACLES["stored_index_lookup"] = ORACLES["text_index_lookup"]
+# Selections as bitmaps give the same results.
+for _name in ("select_all", "reconcile", "deselected", "changed", "all_flag"):
+    ORACLES[f"selection_{_name}_bitmap"] = ORACLES[f"selection_{_name}"]
+ORACLES["rows_by_bitmap"] = ORACLES["rows_by_ids"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import derive
 from ..functions.text import lenient_date
-from ..operators import facets, maintenance, paging, rankindex, selection, split, textindex
+from ..operators import bitmaps, facets, maintenance, paging, rankindex, selection, split, textindex
 from ..operators.enrich import (
     FanOut,
     count_rows,
@@ -21,7 +21,7 @@ from ..operators.enrich import (
 )
 from ..operators.filters import FilterSpec
 from ..schemas import COLETA, ROSTER, add_missing_columns, conform, empty
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sinks import export, publish
 from ..sources import warehouse
 from ..sources.tables import read_collection, register_views, run_query
@@ -326,6 +326,67 @@ def rows_by_ids(spark, folder):
     return _picked(spark, folder)
 
 
+# --- selections as bitmaps ---------------------------------------------------------------
+
+
+def _numbered(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """The products' numbers and the fact table that carries them, both stored."""
+    fact = warehouse.collection(spark, folder)
+    numbers = written(bitmaps.number_products(_fact(spark, folder)), "numeros")
+    return numbers, written(bitmaps.with_numbers(fact, numbers), "numerada")
+
+
+def _edited_bitmaps(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The numbers, and the sets of :func:`_edited` as bitmaps."""
+    numbers, fact = _numbered(spark, folder)
+    page = paging.page_topk(fact.drop(bitmaps.NUMBER), warehouse.registry(spark, folder), PAGE).select("id_produto")
+    page = bitmaps.with_numbers(page, numbers)
+    even = F.substring("id_produto", 5, 20).cast("long") % 2 == 0
+    sets = fact.where(F.col("id_produto") < SELECTED_BELOW), page, page.where(even)
+    return numbers, *map(bitmaps.bitmap, sets)
+
+
+@query
+def selection_select_all_bitmap(spark, folder):
+    numbers, fact = _numbered(spark, folder)
+    some = bitmaps.bitmap(fact.where(F.col("id_produto") < SELECTED_BELOW))
+    return bitmaps.ids(bitmaps.select_all(some, bitmaps.bitmap(BRAND_SINCE_TERM.apply(fact))), numbers)
+
+
+@query
+def selection_reconcile_bitmap(spark, folder):
+    numbers, selected, page, chosen = _edited_bitmaps(spark, folder)
+    return bitmaps.ids(bitmaps.reconcile(selected, page, chosen), numbers)
+
+
+@query
+def selection_deselected_bitmap(spark, folder):
+    numbers, _, page, chosen = _edited_bitmaps(spark, folder)
+    return bitmaps.ids(bitmaps.deselected(page, chosen), numbers)
+
+
+@query
+def selection_changed_bitmap(spark, folder):
+    _, selected, page, chosen = _edited_bitmaps(spark, folder)
+    return bitmaps.changed(selected, bitmaps.reconcile(selected, page, chosen))
+
+
+@query
+def selection_all_flag_bitmap(spark, folder):
+    _, fact = _numbered(spark, folder)
+    wanted = FilterSpec(marca=BRAND).apply(fact)
+    total = count_rows(wanted, FanOut(warehouse.registry(spark, folder)))
+    some = bitmaps.bitmap(fact.where(F.col("id_produto") < SELECTED_BELOW))
+    return bitmaps.all_selected(some, bitmaps.bitmap(wanted), total)
+
+
+@query
+def rows_by_bitmap(spark, folder):
+    """Everything the search finds is selected, and its rows are picked by their numbers."""
+    _, fact = _numbered(spark, folder)
+    return bitmaps.picked(fact, warehouse.registry(spark, folder), bitmaps.bitmap(SINCE_TERM.apply(fact)))
+
+
 # --- export and publishing ----------------------------------------------------------------
 
 
