@@ -350,6 +350,8 @@ ORACLES: dict[str, str] = {
     "stored_filter": _rows(f"marca = 'Brand#1' and {SINCE_TERM}"),
     "stored_page_deep": _ranks("true", _part_of_the_way(5, 6)),
     "stored_page_refreshed": _ranks("true", _part_of_the_way(1, 3)),
+    "stored_description_search": _rows("lower(descricao) like lower('%RING%')"),
+    "stored_search_extended": _rows("lower(descricao) like '%ring%brand_1%'"),
     "append_rows": _fact(
         f"select count(*) as primeira, count(*) as segunda, 2 * count(*) as lidas from coleta where marca = 'Brand#1' and {SINCE_TERM}"
     ),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import derive
 from ..functions.text import lenient_date
-from ..operators import bitmaps, facets, maintenance, paging, rankindex, selection, split, textindex
+from ..operators import bitmaps, facets, gramindex, maintenance, paging, rankindex, selection, split, textindex
 from ..operators.enrich import (
     FanOut,
     count_rows,
@@ -40,6 +40,7 @@ SINCE = "1998-01-01"
 EAN = "0000000000016"
 SKU = "SKU-16-6"
 TERM = "RING"
+WILD_TERM = "ring%brand_1"
 PHRASE = "small ring"
 PAGE = 2
 SELECTED_BELOW = "PROD000020"
@@ -473,6 +474,24 @@ def stored_index_lookup(spark, folder):
     return textindex.search(textindex.read_index(spark, path, PHRASE), PHRASE)
 
 
+@query
+def stored_description_search(spark, folder):
+    """The search by text through the stored index of grams."""
+    fact, path = warehouse.collection(spark, folder), scratch_path(spark, "gramas")
+    gramindex.write_gram_index(_fact(spark, folder), path)
+    return enrich(gramindex.search(fact, path, TERM), warehouse.registry(spark, folder))
+
+
+@query
+def stored_search_extended(spark, folder):
+    """The same, some rows appended after the index was made; the term has a wildcard."""
+    fact, path = _fact(spark, folder), scratch_path(spark, "gramas")
+    gramindex.write_gram_index(fact.where(F.col("marca") == BRAND), path)
+    gramindex.extend_gram_index(fact.where(F.col("marca") != BRAND), path)
+    found = gramindex.search(warehouse.collection(spark, folder), path, WILD_TERM)
+    return enrich(found, warehouse.registry(spark, folder))
+
+
 @query
 def append_rows(spark, folder):
     """A batch appended twice: the numbers written, and what is read back."""
