@@ -459,7 +459,9 @@ ORACLES: dict[str, str] = {
     ),
 }
 
-# Selections as bitmaps give the same results.
+# Other ways to the same results: selections as bitmaps, options kept by changes, the clustered table.
 for _name in ("select_all", "reconcile", "deselected", "changed", "all_flag"):
     ORACLES[f"selection_{_name}_bitmap"] = ORACLES[f"selection_{_name}"]
+ORACLES["stored_options_changed"] = ORACLES["facet_options"]
+ORACLES["stored_clustered_filter"] = ORACLES["filter_state"]
 ORACLES["rows_by_bitmap"] = ORACLES["rows_by_ids"]

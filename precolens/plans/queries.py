@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import derive
 from ..functions.text import lenient_date
-from ..operators import bitmaps, facets, gramindex, maintenance, paging, rankindex, selection, split, textindex
+from ..operators import bitmaps, facetcounts, facets, gramindex, maintenance, paging, rankindex, selection, split, textindex
 from ..operators.enrich import (
     FanOut,
     count_rows,
@@ -22,7 +22,7 @@ from ..operators.enrich import (
 from ..operators.filters import FilterSpec
 from ..schemas import COLETA, ROSTER, add_missing_columns, conform, empty
 from ..session import scratch_path, written
-from ..sinks import export, publish
+from ..sinks import clustered, export, publish
 from ..sources import warehouse
 from ..sources.tables import read_collection, register_views, run_query
 
@@ -467,6 +467,30 @@ def stored_options(spark, folder):
     return facets.read_options(spark, path)
 
 
+@query
+def stored_options_changed(spark, folder):
+    """Filter options after months were replaced and rows appended and removed, from the stored counts alone."""
+    fact, path = warehouse.collection(spark, folder), scratch_path(spark, "contagens")
+    older, newer, brand = F.col("data_coleta") < SINCE, F.col("data_coleta") >= SINCE, F.col("marca") == BRAND
+    facetcounts.replace_months(fact.where(older & ~brand), path)
+    wrong = fact.where(newer & brand).withColumn("uf", F.lit("errada"))
+    facetcounts.add_rows(wrong, path)
+    facetcounts.add_rows(fact.where(older & brand), path)
+    facetcounts.replace_months(fact.where(newer), path)
+    for sign in (1, -1):
+        facetcounts.add_rows(wrong, path, sign)
+    return facetcounts.stored_options(spark, path)
+
+
+@query
+def stored_clustered_filter(spark, folder):
+    """A filter on the table stored along the curve of its filter columns."""
+    path = scratch_path(spark, "curva")
+    clustered.publish_clustered(warehouse.collection(spark, folder), path)
+    fact = FilterSpec(uf=STATE).apply(read_collection(spark, path))
+    return enrich(fact, warehouse.registry(spark, folder))
+
+
 @query
 def stored_index_lookup(spark, folder):
     path = scratch_path(spark, "indice")
