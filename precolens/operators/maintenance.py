@@ -88,14 +88,19 @@ def _checked(batch: DataFrame, roster: DataFrame) -> tuple[DataFrame, DataFrame,
     return checked, named, winners
 
 
-def insert_new(roster: DataFrame, batch: DataFrame) -> DataFrame:
-    """The roster with the accepted rows of a batch (``seq`` unique, in order of arrival).
+def accepted_rows(roster: DataFrame, batch: DataFrame) -> DataFrame:
+    """The rows of a batch (``seq`` unique, in order of arrival) that are inserted.
 
     Joining the winners on name and ``seq`` spreads the copies of an often repeated name.
     """
     checked, _, winners = _checked(batch, roster)
     accepted = checked.join(winners.select("nome", "seq"), ["nome", "seq"], "left_semi").withColumn("ativo", F.lit(1))
-    return roster.select(*ROSTER_COLUMNS).unionByName(accepted.select(*ROSTER_COLUMNS))
+    return accepted.select(*ROSTER_COLUMNS)
+
+
+def insert_new(roster: DataFrame, batch: DataFrame) -> DataFrame:
+    """The roster with the accepted rows of a batch."""
+    return roster.select(*ROSTER_COLUMNS).unionByName(accepted_rows(roster, batch))
 
 
 def insert_rejects(roster: DataFrame, batch: DataFrame) -> DataFrame:
@@ -119,14 +124,14 @@ def delete_keys(roster: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def delete_outcomes(roster: DataFrame, keys: DataFrame) -> DataFrame:
-    """Per id asked for: removed, or why not."""
+    """Per id asked for: removed, or why not. An id that several rows have is removed if one of them goes."""
     asked = keys.select("id").distinct()
-    found = roster.select("id", "tipo", F.lit(True).alias("_achado"))
+    found = roster.groupBy("id").agg(F.bool_or(~_protected()).alias("_sai"))
     return asked.join(found, "id", "left").select(
         "id",
-        F.when(F.col("_achado").isNull(), "nao_encontrado")
-        .when(_protected(), "protegido")
-        .otherwise("removido")
+        F.when(F.col("_sai").isNull(), "nao_encontrado")
+        .when(F.col("_sai"), "removido")
+        .otherwise("protegido")
         .alias("resultado"),
     )
 

@@ -403,6 +403,16 @@ ORACLES: dict[str, str] = {
            from roster r left join finais f on f.id = r.id""",
         UPDATE_BATCH,
     ),
+    "registry_merge_stored": _roster(
+        """select r.id, r.nome, case when r.ativo = 1 then f.email else r.email end as email, r.tipo,
+                  case when r.ativo = 1 then f.area else r.area end as area, r.ativo
+           from roster r left join finais f on f.id = r.id
+           where r.tipo = 'master' or r.id not in (select id from pedidos)
+           union all select id, nome, email, tipo, area, 1 from vistos where motivo is null""",
+        INSERT_BATCH,
+        UPDATE_BATCH,
+        DELETE_BATCH,
+    ),
     "registry_update_outcomes": _roster(
         """select m.id, case when count(r.id) = 0 then 'nao_encontrado' else 'alterado' end as resultado
            from mudancas m left join roster r on r.id = m.id and r.ativo = 1 group by m.id""",

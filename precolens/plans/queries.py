@@ -20,6 +20,7 @@ from ..operators.enrich import (
     with_code,
 )
 from ..operators.filters import FilterSpec
+from ..operators.registrystore import RegistryStore
 from ..schemas import COLETA, ROSTER, add_missing_columns, conform, empty
 from ..session import scratch_path, written
 from ..sinks import clustered, export, publish
@@ -656,6 +657,17 @@ def registry_add_column(spark, folder):
     return add_missing_columns(older, ROSTER, {"ativo": 1}).select(*ROSTER.fieldNames())
 
 
+@query
+def registry_merge_stored(spark, folder):
+    """The stored roster after an update, a deletion and an insertion, each of which rewrites touched files only."""
+    store = RegistryStore(spark, scratch_path(spark, "cadastro"))
+    store.create(warehouse.roster(spark, folder))
+    store.update(warehouse.update_batch(spark, folder), ["email", "area"])
+    store.delete(warehouse.delete_batch(spark, folder))
+    store.insert(warehouse.insert_batch(spark, folder))
+    return store.read()
+
+
 # --- derivations --------------------------------------------------------------------------
 
 
