@@ -2,10 +2,13 @@
 
 Inner product becomes distance by one more component: with M the largest squared norm of the data,
 data get sqrt(M - |x|^2) and queries 0, and then |q - x|^2 = |q|^2 + M - 2 q.x. Queries and data are
-grouped by pivots. From summaries of the data cells (their k smallest distances to the pivot) follows
+grouped by pivots. From summaries of the data cells (the k + 1 ids nearest to the pivot) follows
 a bound on the k-th distance for every group of queries. A data row is sent to a group only if the
 triangle inequality leaves it within that bound; each group is solved exactly, in blocks of bounded
-size, and the blocks' best are merged per query.
+size by matrix products, and the blocks' best are merged per query.
+
+Rows alike in id and vector are counted first; of each, k copies suffice. Groups are large, so that a
+data row that nothing can prune is sent once for some ten thousand queries.
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ from precolens.session import durable
 
 # Pivots of the data cells and, at most, of the query groups; queries and data rows a task solves at once.
 DATA_PIVOTS, QUERY_PIVOTS, LEAST_GROUPS = 64, 256, 4
-QUERIES_PER_BLOCK, ROWS_PER_BLOCK = 1024, 50_000
+QUERIES_PER_BLOCK, ROWS_PER_BLOCK = 16_384, 50_000
+# Scores of a matrix product.
+_CELLS = 4 << 20
 _EXACT = 2.0**53
 
 
@@ -88,14 +93,39 @@ def _sample(rows: DataFrame, n: int, width: int) -> np.ndarray:
     return _matrix(pa.array([list(r.v) for r in found], pa.list_(pa.int64())), width) if found else np.zeros((0, width))
 
 
-def _group(rows: DataFrame, pivots: Pivots, data: bool) -> DataFrame:
-    """(no, cell, distance) for queries, (cell, distance) for data: the nearest pivot of its kind."""
-    centres = pivots.data if data else pivots.query
+def _nearest(rows: DataFrame, pivots: Pivots, n: int) -> DataFrame:
+    """(cell, id, distance): of every task the ``n`` ids nearest to the pivot of each data cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros((3, 0))
+        ids = np.zeros(0, np.int64)
+        for batch in batches:
+            d = _distances(_added(_matrix(batch.column(1), pivots.width), pivots.top), pivots.data)
+            cell = d.argmin(axis=1)
+            ids = np.concatenate([ids, batch.column(0).to_numpy()])
+            best = np.hstack([best, [cell, d[np.arange(len(d)), cell], np.zeros(len(d))]])
+            order = np.lexsort((best[1], ids, best[0]))
+            ids, best = ids[order], best[:, order]
+            first = np.append(True, (ids[1:] != ids[:-1]) | (best[0, 1:] != best[0, :-1]))[: len(ids)]
+            ids, best = ids[first], best[:, first]
+            order = np.lexsort((ids, best[1], best[0]))
+            ids, best = ids[order], best[:, order]
+            place = np.arange(len(ids)) - np.searchsorted(best[0], best[0])
+            ids, best = ids[place < n], best[:, place < n]
+        yield pa.RecordBatch.from_arrays([pa.array(best[0].astype(np.int64)), pa.array(ids), pa.array(best[1])], ["cell", "id", "distance"])
+
+    found = ready(rows).mapInArrow(run, "cell long, id long, distance double")
+    found = found.groupBy("cell", "id").agg(F.min("distance").alias("distance"))
+    place = F.row_number().over(Window.partitionBy("cell").orderBy("distance", "id"))
+    return found.withColumn("place", place).where(F.col("place") <= n)
+
+
+def _placed(rows: DataFrame, pivots: Pivots) -> DataFrame:
+    """(no, cell, distance) of the queries: the nearest pivot of their kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _added(_matrix(batch.column(1), pivots.width), pivots.top if data else None)
-            d = _distances(x, centres)
+            d = _distances(_added(_matrix(batch.column(1), pivots.width), None), pivots.query)
             cell = d.argmin(axis=1)
             near = pa.array(d[np.arange(len(d)), cell])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell), near], ["no", "cell", "distance"])
@@ -111,7 +141,8 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 10) -> DataFrame:
     Queries that repeat an id and a vector count once; those that repeat an id with another vector
     count each. No queries or no data give no rows. Scores must fit a long.
     """
-    data = durable(data)
+    copies = data.groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k)).alias("times"))
+    data = durable(copies.select("id", "v", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")))
     queries = durable(queries.distinct().select(F.monotonically_increasing_id().alias("no"), "id", "v"))
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     facts = [side.agg(F.count("*"), F.max(F.size("v")), F.max(norm)).first() for side in (queries, data)]
@@ -124,25 +155,20 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 10) -> DataFrame:
         _added(_sample(queries, groups, width), None), _added(_sample(data, DATA_PIVOTS, width), top), top, width
     )
 
-    # Summaries: per query group its radius and size, per data cell the smallest distances. Both are
-    # cut down per task before they are shuffled; k + 1, since a query's own row may be among them.
-    placed = durable(_group(queries.select("no", "v"), pivots, data=False))
+    # Summaries: per query group its radius and size, per data cell the nearest ids, DATA_PIVOTS times k + 1 at most;
+    # one more than k, since the query's own id may be among them.
+    placed = durable(_placed(queries.select("no", "v"), pivots))
     radius = {r.cell: r for r in placed.groupBy("cell").agg(F.max("distance").alias("u"), F.count("*").alias("n")).collect()}
-    own = F.row_number().over(Window.partitionBy("cell").orderBy("distance"))
-    own_rows = data.groupBy("id").count().agg(F.max("count")).first()[0]
-    near = (
-        _group(data.select(F.col("id").alias("no"), "v"), pivots, data=True)
-        .select("cell", "distance", own.alias("place"))
-        .where(F.col("place") <= k + min(own_rows, n_data - 1))
-        .collect()
-    )
+    near = _nearest(data.select("id", "v"), pivots, k + 1).collect()
     between = _distances(pivots.query, pivots.data)
     blocks = {g: -(-r.n // QUERIES_PER_BLOCK) for g, r in radius.items()}
     reach = {}
     for g, r in radius.items():
-        upper = sorted(r.u + between[g, s.cell] + s.distance for s in near)
-        last = k + own_rows - 1
-        reach[g] = r.u + (upper[last] if last < len(upper) else np.inf) + _slack(top)
+        upper: dict[int, float] = {}
+        for s in near:
+            upper[s.id] = min(upper.get(s.id, np.inf), r.u + between[g, s.cell] + s.distance)
+        bounds = sorted(upper.values())
+        reach[g] = r.u + (bounds[k] if k < len(bounds) else np.inf) + _slack(top)
     salts = -(-n_data // ROWS_PER_BLOCK)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +180,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 10) -> DataFrame:
                     part = pa.array(np.full(rows.num_rows, g << 32 | b))
                     yield pa.RecordBatch.from_arrays([part, *rows.columns], ["part", "salt", "id", "v"])
 
-    salted = data.select(F.pmod(F.xxhash64("id", "v"), F.lit(salts)).alias("salt"), "id", "v")
+    salted = data.select(F.pmod(F.xxhash64("id", "v", "copy"), F.lit(salts)).alias("salt"), "id", "v")
     sent = ready(salted).mapInArrow(replicate, "part long, salt long, id long, v array<bigint>")
     count = F.create_map(*(F.lit(x) for pair in blocks.items() for x in pair))
     asked = queries.join(placed, "no").select(
@@ -183,7 +209,7 @@ def _ranked(best: DataFrame, k: int) -> DataFrame:
 
 def _solved(queries: pa.Table, data: pa.Table, width: int, k: int) -> pa.Table:
     """The k best of one block's rows for each of its queries."""
-    queries, data = queries.combine_chunks(), data.sort_by("id").combine_chunks()
+    queries, data = queries.combine_chunks(), data.combine_chunks()
     out: list[list] = [[], [], [], []]
     if queries.num_rows and data.num_rows:
         q = _matrix(queries["v"].chunk(0), width)
@@ -191,13 +217,21 @@ def _solved(queries: pa.Table, data: pa.Table, width: int, k: int) -> pa.Table:
         ids = data["id"].to_numpy()
         exact = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * width < _EXACT
         q, x = (q, x) if exact else (q.astype(np.int64), x.astype(np.int64))
-        for no, own, vector in zip(queries["no"].to_pylist(), queries["id"].to_pylist(), q, strict=True):
-            scores = (x @ vector).astype(np.int64)
-            other = np.flatnonzero(ids != own)
-            if len(other) > k:
-                seen = scores[other]
-                other = other[seen >= np.partition(seen, len(seen) - k)[len(seen) - k]]
-            best = other[np.argsort(-scores[other], kind="stable")][:k]  # ids ascend, so ties go to the smaller
-            for column, values in zip(out, ([no] * len(best), [own] * len(best), ids[best], scores[best]), strict=True):
-                column.extend(values)
-    return pa.table([pa.array(c, pa.int64()) for c in out], ["no", "query_id", "id", "score"])
+        numbers, own = queries["no"].to_numpy(), queries["id"].to_numpy()
+        for at in range(0, len(q), max(1, _CELLS // len(x))):
+            part = slice(at, at + max(1, _CELLS // len(x)))
+            scores = (q[part] @ x.T).astype(np.int64)
+            other = ids != own[part, None]
+            scores[~other] = np.iinfo(np.int64).min
+            if len(ids) > k:
+                other &= scores >= np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k, None]
+            row, column = np.nonzero(other)
+            order = np.lexsort((ids[column], -scores[row, column], row))
+            row, column = row[order], column[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k  # ties go to the smaller id
+            row, column = row[kept], column[kept]
+            for values, found in zip(out, (numbers[part][row], own[part][row], ids[column], scores[row, column]), strict=True):
+                values.append(found)
+    if not out[0]:
+        out = [[np.zeros(0, np.int64)]] * 4
+    return pa.table([pa.array(np.concatenate(c)) for c in out], ["no", "query_id", "id", "score"])

@@ -31,6 +31,8 @@ from precolens.llm.common import kept, raw, ready, slices, stored
 ORDER = 3
 # Least share of the training tokens of words that get a number, and least count of n-grams that are arcs.
 WORD_SHARE, LEAST = 2.0**-18, 1
+# Bytes of a word that may get a number; longer ones are named by their hash, however frequent.
+LONGEST = 128
 ADDED, DISCOUNT = 0.1, 0.5
 # Entries that a task counts before it hands them on.
 COUNTED = 300_000
@@ -92,8 +94,8 @@ class Vocabulary(NamedTuple):
 
 def vocabulary(counts: DataFrame, share: float = WORD_SHARE) -> Vocabulary:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # No more than 1 / share words can have it; the end always belongs.
-    often = counts.where((F.col("n") >= share * total) | (F.col("word") == END)).toArrow()
+    # No more than 1 / share words can have it, each of a bounded length; the end always belongs.
+    often = counts.where((F.col("n") >= share * total) & (F.octet_length("word") <= LONGEST) | (F.col("word") == END)).toArrow()
     rows = sorted(zip(often["n"].to_pylist(), often["word"].to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
     return Vocabulary([w for _, w in rows], np.array([n for n, _ in rows], np.int64), total, distinct, share)
 

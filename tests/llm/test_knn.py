@@ -63,3 +63,23 @@ def test_repeated_rows_few_rows_and_empty_tables(spark):
     assert search(spark, [(1, [1.0])]) == []
     got = search(spark, [(100, [1.0]), (100, [1.0]), (3, [2.0]), (3, [2.0]), (7, []), (5, [-1.0])])
     assert sorted(got) == [(100, 1, 3, 2 * 2**20), (100, 2, 3, 2 * 2**20), (100, 3, 7, 0), (100, 4, 5, -(2**20))]
+
+
+def test_one_id_in_a_third_of_the_rows(spark, monkeypatch):
+    """Whether its vectors are alike or not, what the driver gets stays small and the rows are dealt to several tasks."""
+    monkeypatch.setattr(knn, "ROWS_PER_BLOCK", 200)
+    rng = random.Random(6)
+    far = [(100, [float(rng.randrange(20)), 1.0, struct_float(i / 16)]) for i in range(300)]
+    rows = far + [(7, [3.0, 2.0, 1.0])] * 300 + [(i, [float(rng.randrange(9)) for _ in range(3)]) for i in range(200, 500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    v = knn.vectors(df)
+    pivots = knn.Pivots(*[knn._added(knn._sample(v, 4, 3), None)] * 2, 1e9, 3)
+    near = knn._nearest(v, pivots, 4).collect()
+    assert len(near) <= 16 and len({(r.cell, r.id) for r in near}) == len(near)
+    queries = v.where("id % 100 = 0 and id >= 200")
+    got = [tuple(r) for r in knn.top_k(queries, v, 10).collect()]
+    want = set()
+    for i, q in {(i, tuple(x)) for i, x in rows if i >= 200 and i % 100 == 0}:
+        scores = sorted((-sum(math.floor(1024 * a) * math.floor(1024 * b) for a, b in zip(q, x, strict=True)), j) for j, x in rows if j != i)
+        want |= {(i, n, j, -s) for n, (s, j) in enumerate(scores[:10], 1)}
+    assert set(got) == want and len(got) == len(want)

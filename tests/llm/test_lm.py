@@ -126,3 +126,14 @@ def test_every_ngram_counts_at_any_size(docs):
     assert brute.n > 2**18 and not is_held_out(1) and brute.grams[3]["a", "b", "c"] == 1
     got = {r.doc_id: r.score for r in lm.train_and_score(docs(rows)).where("doc_id < 3").collect()}
     assert got == {i: pytest.approx(brute.score(t), rel=1e-9) for i, t in rows[:2]}
+
+
+def test_long_words_are_never_sent_to_all(docs):
+    long = "x" * 3_000_000
+    rows = [(1, f"a {long} b"), (2, f"{long} {long}"), (4, "a b")]
+    texts = [t for i, t in rows if not is_held_out(i)]
+    model = lm.train(docs(rows).select("text"))
+    assert "a" in model.words.words and long not in model.words.words
+    brute = Brute(texts, 3, 0.0)
+    got = {r.doc_id: r.score for r in lm.train_and_score(docs(rows)).collect()}
+    assert got == {i: pytest.approx(brute.score(t), rel=1e-9) for i, t in rows}
