@@ -21,7 +21,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterable, Iterator
-from itertools import groupby
+from itertools import chain, compress, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +63,10 @@ class Aligner:
         for token, i in written.items():
             self.bytes_a[i] = bytes(letter[c] for c in token) if all(c in letter for c in token) else token.encode()
         self.bytes_b = [self._piece(i) for i in range(self.b.vocab_size())]
+        self.length_a, self.length_b = (np.array([len(x) for x in side]) for side in (self.bytes_a, self.bytes_b))
+        # Ids as they stand within a group, at the end of its A ids, and at its end.
+        ids = [range(self.size_a)] * 2 + [range(len(self.bytes_b))] * 2
+        self.written = [f"{i}{mark}" for side, mark in zip(ids, ",|,;", strict=True) for i in side]
         # Spaces are only ever the start of a piece, so that pieces don't join across one.
         self.cut = not any(_SPACE in self.b.id_to_piece(i).lstrip(_SPACE) for i in range(self.b.vocab_size()))
         self.cache = Cache(self._aligned, CACHED)
@@ -73,30 +77,46 @@ class Aligner:
 
     def _aligned(self, parts: list[str]) -> list[tuple]:
         """For each part, after a space: (groups as text, n_a, n_b, n_groups, pairs); () if the bytes differ."""
+        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+        b = self.b.encode(parts, num_threads=1)
+        same = [True] * len(parts)
+        if not self._gives_back(chain.from_iterable(a), chain.from_iterable(b), " " + " ".join(parts)):
+            same = [self._gives_back(x, y, " " + p) for x, y, p in zip(a, b, parts, strict=True)]
+        found = iter(self._grouped(list(compress(a, same)), list(compress(b, same))))
+        return [next(found) if s else () for s in same]
+
+    def _gives_back(self, a: Iterable[int], b: Iterable[int], text: str) -> bool:
+        whole = text.encode()
+        return b"".join(map(self.bytes_a.__getitem__, a)) == b"".join(map(self.bytes_b.__getitem__, b)) == whole
+
+    def _grouped(self, a: list[list[int]], b: list[list[int]]) -> list[tuple]:
+        """The parts' groups and pairs, all parts in one line of bytes.
+
+        Between two neighbouring ends of tokens of either kind lies the overlap of one pair, and of no other.
+        """
+        if not a:
+            return []
+        n_a, n_b = (np.array([len(x) for x in side]) for side in (a, b))
+        a, b = (np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in ((a, n_a), (b, n_b)))
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        ends = np.union1d(ends_a, ends_b)
+        pairs = (b[np.searchsorted(ends_b, ends)] * self.size_a + a[np.searchsorted(ends_a, ends)]).astype(np.uint64)
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        last_a, last_b = (np.append(g[1:] != g[:-1], True) for g in (group_a, group_b))
+        size_b = len(self.bytes_b)
+        token = np.concatenate([a + self.size_a * last_a, 2 * self.size_a + b + size_b * last_b])
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        written = list(map(self.written.__getitem__, token[order].tolist()))
+        stop = ends_a[np.cumsum(n_a) - 1]
+        of_groups, of_pairs = (np.searchsorted(x, stop, "right") for x in (cuts, ends))
+        groups, data, tokens, at, from_pair = np.diff(of_groups, prepend=0), pairs.tobytes(), np.cumsum(n_a + n_b), 0, 0
         out = []
-        found = self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)
-        for part, a, b in zip(parts, (e.ids for e in found), self.b.encode(parts, num_threads=1), strict=True):
-            whole = (" " + part).encode()
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == b"".join(map(self.bytes_b.__getitem__, b)) == whole
-            out.append(self._grouped(a, b) if same else ())
+        for x, y, g, upto, pair in zip(n_a.tolist(), n_b.tolist(), groups.tolist(), tokens.tolist(), (8 * of_pairs).tolist(), strict=True):
+            out.append(("".join(written[at:upto]), x, y, g, data[from_pair:pair]))
+            at, from_pair = upto, pair
         return out
 
-    def _grouped(self, a: list[int], b: list[int]) -> tuple:
-        ends_a = np.cumsum([len(self.bytes_a[x]) for x in a]).tolist()
-        ends_b = np.cumsum([len(self.bytes_b[x]) for x in b]).tolist()
-        groups, pairs, i, j, from_a, from_b = [], [], 0, 0, 0, 0
-        while i < len(a):
-            pairs.append(b[j] * self.size_a + a[i])
-            if ends_a[i] == ends_b[j]:
-                groups.append(f"{','.join(map(str, a[from_a : i + 1]))}|{','.join(map(str, b[from_b : j + 1]))}")
-                i, j = i + 1, j + 1
-                from_a, from_b = i, j
-            elif ends_a[i] < ends_b[j]:
-                i += 1
-            else:
-                j += 1
-        return ";".join(groups).encode(), len(a), len(b), len(groups), np.array(pairs, np.uint64).tobytes()
-
     def documents(self, texts: list[str | None]) -> Iterator[list[tuple]]:
         """Each text's aligned parts in order; none for a text without tokens."""
         cut = [(_CUT.split(t) if self.cut else [t]) if t else [] for t in texts]
@@ -165,7 +185,7 @@ def _spilled(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     continue
                 texts, a, b, groups, linked = zip(*found, strict=True)
                 pairs.append(b"".join(linked))
-                figures.append((sum(a), sum(b), sum(groups), len(pairs[-1]) // 8, hashlib.sha256(b";".join(texts)).hexdigest()))
+                figures.append((sum(a), sum(b), sum(groups), len(pairs[-1]) // 8, hashlib.sha256("".join(texts)[:-1].encode()).hexdigest()))
             columns = [pa.array(c) for c in zip(*figures, strict=True)]
             own = pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *_COLUMNS, "groups_sha256"])
             owner = np.repeat(np.arange(len(pairs)), [len(p) // 8 for p in pairs])
