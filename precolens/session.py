@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from pathlib import Path
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,15 @@ def scratch_root(spark: SparkSession) -> str:
     return folder
 
 
+def importable(df: DataFrame) -> DataFrame:
+    """``df``, with this package importable in Python workers of a local session; a cluster installs it."""
+    root, env = str(Path(__file__).resolve().parents[1]), df.sparkSession.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return df
+
+
 # Folders of this process under the shared one, by application; ``clear_scratch`` deletes them.
 _made: dict[str, list[str]] = {}
 
