@@ -344,10 +344,21 @@ ORACLES: dict[str, str] = {
     "export_formatted": _view(
         f"select {', '.join(_exported(c) for c in VISIBLE_COLUMNS)} from enriquecida where {_FOUND} order by {ORDEM}"
     ),
+    "export_workbook": _view(
+        f"select {VISIBLE}, row_number() over (order by {ORDEM}) as posicao from enriquecida where {_FOUND}"
+    ),
     "export_widths": _view(_WIDTHS),
     "export_labels": _view(_FILLED),
     # stored tables
     "stored_filter": _rows(f"marca = 'Brand#1' and {SINCE_TERM}"),
+    "stored_enriched": _rows("true"),
+    "stored_filter_files": _rows(f"uf = 'NATION_7' and {SINCE_TERM}"),
+    "count_filtered_stored": _view(
+        """select cast(0 as int) as filtro, count(*) as cnt from enriquecida where uf = 'NATION_7' and data_coleta >= '1998-01-01'
+        union all select 1, count(*) from enriquecida where marca = 'Brand#1' and tipo_preco = '1-URGENT'
+        union all select 2, count(*) from enriquecida where cod_informante = '5'
+        union all select 3, count(*) from enriquecida"""
+    ),
     "stored_page_deep": _ranks("true", _part_of_the_way(5, 6)),
     "stored_page_refreshed": _ranks("true", _part_of_the_way(1, 3)),
     "stored_description_search": _rows("lower(descricao) like lower('%RING%')"),
@@ -472,6 +483,7 @@ ORACLES: dict[str, str] = {
 # Other ways to the same results: selections as bitmaps, options kept by changes, the clustered table.
 for _name in ("select_all", "reconcile", "deselected", "changed", "all_flag"):
     ORACLES[f"selection_{_name}_bitmap"] = ORACLES[f"selection_{_name}"]
-ORACLES["stored_options_changed"] = ORACLES["facet_options"]
+ORACLES["stored_options"] = ORACLES["stored_options_changed"] = ORACLES["facet_options"]
 ORACLES["stored_clustered_filter"] = ORACLES["filter_state"]
 ORACLES["rows_by_bitmap"] = ORACLES["rows_by_ids"]
+ORACLES["stored_index_lookup"] = ORACLES["stored_index_rows"] = ORACLES["text_index_lookup"]

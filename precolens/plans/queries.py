@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import derive
 from ..functions.text import lenient_date
-from ..operators import bitmaps, facetcounts, facets, gramindex, maintenance, paging, rankindex, selection, split, textindex
+from ..operators import bitmaps, facetbits, facetcounts, facets, gramindex, maintenance, paging, postings, rankindex, selection, split, textindex
 from ..operators.enrich import (
     FanOut,
     count_rows,
@@ -21,9 +22,9 @@ from ..operators.enrich import (
 )
 from ..operators.filters import FilterSpec
 from ..operators.registrystore import RegistryStore
-from ..schemas import COLETA, ROSTER, add_missing_columns, conform, empty
+from ..schemas import COLETA, ENRICHED, ROSTER, add_missing_columns, conform, empty
 from ..session import scratch_path, written
-from ..sinks import clustered, export, publish
+from ..sinks import clustered, colocated, export, publish, workbook
 from ..sources import warehouse
 from ..sources.tables import read_collection, register_views, run_query
 
@@ -414,6 +415,13 @@ def export_labels(spark, folder):
     return export.filled_columns(_unsorted(spark, folder))
 
 
+@query
+def export_workbook(spark, folder):
+    """The export as one workbook file, read back: its rows and their places."""
+    paths = workbook.write_workbook(_picked(spark, folder), scratch_path(spark, "pasta"))
+    return workbook.read_rows(spark, paths, {f.name: f.dataType.simpleString() for f in ENRICHED})
+
+
 @query
 def publish_enriched(spark, folder):
     path = scratch_path(spark, "enriquecida")
@@ -492,8 +500,55 @@ def stored_clustered_filter(spark, folder):
     return enrich(fact, warehouse.registry(spark, folder))
 
 
+@query
+def stored_enriched(spark, folder):
+    """The view of both tables stored in buckets of their join key, one brand appended later."""
+    fact, path = warehouse.collection(spark, folder), scratch_path(spark, "juntas")
+    store = colocated.ColocatedStore(spark, "juntas_" + path.rsplit("-", 1)[-1], path)
+    try:
+        store.create(fact.where(F.col("marca") != BRAND), warehouse.registry(spark, folder))
+        store.append(fact.where(F.col("marca") == BRAND))
+        return store.enriched()
+    finally:
+        store.drop()
+
+
+def _bits(spark, folder) -> facetbits.FacetBits:
+    """The fact stored by month with bitmaps of its filter values."""
+    table, path = scratch_path(spark, "coleta"), scratch_path(spark, "marcas")
+    publish.publish(warehouse.collection(spark, folder), table)
+    facetbits.write_facet_bits(spark, table, path, FanOut(warehouse.registry(spark, folder)))
+    return facetbits.FacetBits(spark, table, path)
+
+
+@query
+def count_filtered_stored(spark, folder):
+    """Counts of filters by facet and date, from bitmaps alone."""
+    bits = _bits(spark, folder)
+    specs = [FilterSpec(uf=STATE, data_apos=SINCE), FilterSpec(marca=BRAND, tipo_preco=PRICE_TYPE), FilterSpec(cod_informante=SUPPLIER_CODE), FilterSpec()]
+    counts = [bits.count(spec).select(F.lit(i).alias("filtro"), "cnt") for i, spec in enumerate(specs)]
+    return reduce(DataFrame.unionAll, counts)
+
+
+@query
+def stored_filter_files(spark, folder):
+    """A filter by state, date and text: only files in which the bitmaps find rows are read."""
+    bits = _bits(spark, folder)
+    return enrich(bits.rows(FilterSpec(uf=STATE, data_apos=SINCE, busca_texto=TERM)), warehouse.registry(spark, folder))
+
+
 @query
 def stored_index_lookup(spark, folder):
+    """The search by words in the stored index of blocks, of which a brand was added later."""
+    fact, path = _fact(spark, folder), scratch_path(spark, "blocos")
+    postings.write_postings(fact.where(F.col("marca") != BRAND), path)
+    postings.extend_postings(fact.where(F.col("marca") == BRAND), path)
+    return postings.search(spark, path, PHRASE)
+
+
+@query
+def stored_index_rows(spark, folder):
+    """The same search in an index with one row per posting."""
     path = scratch_path(spark, "indice")
     textindex.write_index(textindex.build_index(_fact(spark, folder)), path)
     return textindex.search(textindex.read_index(spark, path, PHRASE), PHRASE)
