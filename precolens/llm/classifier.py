@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precolens.llm.common import Cache, free_name, kept, raw, ready, slices
+from precolens.llm.common import free_name, kept, raw, ready, slices
 from precolens.session import durable
 
 # Rows of the table, its width, and the places of an index vector that are not zero.
@@ -33,20 +33,30 @@ SAMPLE_ROWS = 20_000
 # The network: units of the inner layer, passes over the sample, its share for the temperature.
 HIDDEN, PASSES, BATCH, RATE, DECAY, CALIBRATION = 32, 60, 128, 3e-3, 1e-4, 0.2
 _WORD = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^\sA-Za-z0-9\x80-\xff]+|\n")
-_CACHED, _STEP = 200_000, 1 << 16
+_CACHED, _STEP = 400_000, 1 << 16
 # The bucket of the mark after a word that is equal to one of the two before it.
 _AGAIN = 0
 
 
+class _Buckets(dict):
+    """The buckets of words asked for before; emptied when there are ``_CACHED``."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _CACHED:
+            self.clear()
+        found = self[word] = 1 + xxhash.xxh64_intdigest(word) % (BUCKETS - 1)
+        return found
+
+
 class Words:
     """The words of a text by their buckets."""
 
     def __init__(self):
-        self.cache = Cache(lambda new: [1 + xxhash.xxh64_intdigest(w) % (BUCKETS - 1) for w in new], _CACHED)
+        self.bucket = _Buckets().__getitem__
 
     def numbers(self, text: bytes | None) -> np.ndarray:
         """Runs of letters and digits, runs of other signs and line ends; marks where words repeat."""
-        x = np.array(self.cache.get(_WORD.findall(text or b"")), np.int64)
+        x = np.fromiter(map(self.bucket, _WORD.findall(text or b"")), np.int64)
         again = np.zeros(len(x), bool)
         for back in (1, 2):
             again[back:] |= x[back:] == x[:-back]
