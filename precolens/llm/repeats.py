@@ -13,8 +13,8 @@ a smaller id. Texts are packed once into batches of bounded size, and then
    bounded size and streams its documents through them, which finds every occurrence.
 
 Whatever meets in a shuffle meets once per batch, not once per document, so that a passage in a third
-of all documents weighs no more than others. Hashes only decide what is compared; windows are equal
-if 64 + 32 bits of independent hashes are, and automata match words.
+of all documents weighs no more than others. Across batches windows are equal if 64 + 32 bits are, two
+rolling hashes over one 64-bit hash of each word; within a batch the automata match words.
 """
 
 from __future__ import annotations
