@@ -1,46 +1,70 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is an n-gram model of words over a smoothed unigram distribution of all words of the
-training texts. Every n-gram of the training texts that occurs ``LEAST`` times is an arc from its
-context, at any size of the corpus, and every context has a failure arc to its longest suffix,
-weighted so that all probabilities in a state add up to one.
-
-The automaton grows with the corpus and is kept as tables: arcs by context and word, failure weights
-by context. The n-grams of the texts meet their arcs by shuffled joins; those without an arc go on
-along the failure arcs. Only the numbers of the words with at least ``WORD_SHARE`` of the training
-tokens are sent to workers; all other words are named by a hash.
+The model is a trigram model of words, smoothed by absolute discounting: the discount of every n-gram of
+the training texts goes to its context's shorter suffix, down to a smoothed unigram distribution of all
+words. As an automaton, contexts are states, n-grams are arcs that carry their whole smoothed probability,
+and a state's failure arc to its suffix weighs what its discounts add up to, so that the probabilities in
+each state add up to one. Every n-gram counts, at any size of the corpus.
+
+The automaton of a large corpus fits no worker, but a batch of texts needs a part of it only:
+
+1. texts become batches of numbered words, written once;
+2. a batch lists its distinct trigrams, each once, with how often its training texts have them, in the
+   shards of their contexts;
+3. a shard adds up the lists and answers each in its own order: counts of its trigrams and contexts;
+4. a batch compiles the automaton of its own n-grams from the answers and walks through its texts from
+   left to right, carrying the state and adding up log-probabilities.
+
+Words with at least ``WORD_SHARE`` of the training tokens have numbers, which are sent to workers; there are
+2^18 at most. All others are named by 62 bits of a hash. Contexts in many trigrams are
+spread over shards; their totals, 2^14 at most, are sent, too.
 """
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections import Counter
 from collections.abc import Iterator
-from math import log10
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from precolens.llm.common import kept, raw, ready, slices, stored
+from precolens.llm.common import raw, ready, slices, stored
 
-ORDER = 3
-# Least share of the training tokens of words that get a number, and least count of n-grams that are arcs.
-WORD_SHARE, LEAST = 2.0**-18, 1
-# Bytes of a word that may get a number; longer ones are named by their hash, however frequent.
+# Least share of the training tokens of words that get a number.
+WORD_SHARE = 2.0**-18
+# Bytes of a word that is sent as such; longer ones are sent as their hash.
 LONGEST = 128
 ADDED, DISCOUNT = 0.1, 0.5
-# Entries that a task counts before it hands them on.
-COUNTED = 300_000
-_BITS = 18  # of a word's number; there are 1 / WORD_SHARE and the end at most
-_HASHED = 1 << 62  # from here on codes are hashes
-# In place of a word: none before it; a word for its own count.
-NONE, ALONE = -1, -2
-END = ""  # stands for the end of a text, which is also what comes before its first word
+# Entries that a task counts before it hands them on; bytes of text that are cut into words at once.
+COUNTED, CUT_BYTES = 300_000, 4 << 20
+END = ""  # stands for the end of a text in the counts of words
+# Before a text, at its end, after that; numbers of words follow.
+START, STOP, AFTER, FIRST = 0, 1, 2, 3
+_HASHED = 1 << 62  # from here on names are hashes
+_PLACES = 1 << 19  # above all numbers; from here on places in a list of hashes
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
+
+
+class Sizes(NamedTuple):
+    """Bounds on what is worked on at once; they change no result.
+
+    ``hot_share`` of all listed trigrams makes a context spread over shards. Tokens of a batch and of a
+    piece of a long text, and the listed trigrams of a shard, are about as many; there are ``shards`` at least.
+    """
+
+    hot_share: float = 2.0**-14
+    batch_tokens: int = 1 << 19
+    piece_tokens: int = 1 << 18
+    shard_grams: int = 2 << 20
+    shards: int = 64
 
 
 def held_out(id_col: Column) -> Column:
@@ -48,9 +72,13 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """The words, A-Z lowered; the end is not among them."""
-    return (text or b"").lower().split()
+def tokens(text: bytes | None) -> Iterator[list[bytes]]:
+    """The words in order, A-Z lowered, in lists of bounded size; the end is not among them."""
+    text, at = text or b"", 0
+    while len(text) - at > CUT_BYTES and (space := _SPACE.search(text, at + CUT_BYTES)):
+        yield text[at : space.start()].lower().split()
+        at = space.start()
+    yield text[at:].lower().split()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -65,339 +93,486 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         for batch in slices(batches, 0):
             for text in raw(batch.column(0)).to_pylist():
-                seen.update(tokens(text))
+                for words in tokens(text):
+                    seen.update(words)
             seen[END.encode()] += batch.num_rows
             if len(seen) > COUNTED:
                 yield flush()
                 seen.clear()
         yield flush()
 
-    return stored(ready(texts).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    found = ready(texts).mapInArrow(run, "word string, n long").where("n > 0")
+    return stored(found.groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
 class Vocabulary(NamedTuple):
-    """The frequent words, most frequent first, their counts, and the totals over all words."""
+    """The frequent words, most frequent first, as bytes or, if long, as the hash that names them; their
+    counts; the number of texts, tokens and distinct words."""
 
-    words: list[str]
+    words: list[bytes | int]
     counts: np.ndarray
+    texts: int
     tokens: int
     distinct: int
-    share: float
 
     @property
     def smoothing(self) -> float:
         return self.tokens + ADDED * (self.distinct + 1)
 
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        return (counts + ADDED) / self.smoothing
+    def numbers(self) -> dict[bytes | int, int]:
+        return {w: FIRST + i for i, w in enumerate(self.words)}
 
 
 def vocabulary(counts: DataFrame, share: float = WORD_SHARE) -> Vocabulary:
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # No more than 1 / share words can have it, each of a bounded length; the end always belongs.
-    often = counts.where((F.col("n") >= share * total) & (F.octet_length("word") <= LONGEST) | (F.col("word") == END)).toArrow()
-    rows = sorted(zip(often["n"].to_pylist(), often["word"].to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
-    return Vocabulary([w for _, w in rows], np.array([n for n, _ in rows], np.int64), total, distinct, share)
+    total, distinct, texts = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("n"))), F.lit(0))
+    ).first()
+    # No more than 1 / share words can have it.
+    often = counts.where((F.col("n") >= share * total) & (F.col("word") != END))
+    short = F.when(F.octet_length("word") <= LONGEST, F.col("word"))
+    found = often.select("n", F.xxhash64("word").alias("hash"), short.alias("word")).toArrow().to_pylist()
+    found.sort(key=lambda r: (-r["n"], r["hash"]))
+    words = [_name(r["hash"] % 2**64) if r["word"] is None else r["word"].encode() for r in found]
+    return Vocabulary(words, np.array([r["n"] for r in found], np.int64), texts, total, distinct)
+
+
+def _name(hashed: int) -> int:
+    return hashed >> 2 | _HASHED
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays without negative numbers, in as few bytes each as their largest number needs, compressed byte by byte."""
+    out = [np.uint8(len(arrays)).tobytes()]
+    for x in arrays:
+        high = int(x.max()) if len(x) else 0
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if high <= np.iinfo(k).max)
+        size = np.dtype(kind).itemsize
+        out += [np.array([size, len(x)], np.int64).tobytes(), x.astype(kind).view(np.uint8).reshape(-1, size).T.tobytes()]
+    return zstandard.compress(b"".join(out), 3)
+
+
+def _arrays(data: bytes) -> list[np.ndarray]:
+    data = zstandard.decompress(data)
+    out, at = [], 1
+    for _ in range(data[0]):
+        size, n = np.frombuffer(data, np.int64, 2, at).tolist()
+        at += 16
+        planes = np.frombuffer(data, np.uint8, size * n, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{size}").ravel().astype(np.uint64))
+        at += size * n
+    return out
+
+
+def _short(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The names with hashes replaced by their places in the list of distinct ones, which comes second."""
+    rare = names >= _HASHED
+    hashes, place = np.unique(names[rare], return_inverse=True)
+    out = names.copy()
+    out[rare] = place.astype(np.uint64) + np.uint64(_PLACES)
+    return out, hashes
+
+
+def _named(short: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    out = short.copy()
+    rare = short >= _PLACES
+    out[rare] = hashes[(short[rare] - np.uint64(_PLACES)).astype(np.int64)]
+    return out
+
+
+_PIECES = pa.list_(
+    pa.struct([("row", pa.int64()), ("doc", pa.int64()), ("held", pa.bool_()), ("learn", pa.bool_()), ("size", pa.int64()), ("own", pa.int64()), ("last", pa.bool_())])
+)
+_BATCHES = (
+    "batch long, grams long, data binary, often binary, pieces array<struct<row: bigint, doc: bigint, "
+    "held: boolean, learn: boolean, size: bigint, own: bigint, last: boolean>>"
+)
 
 
-def _numbered(words: list[str]) -> dict[bytes, int]:
-    return {w.encode(): i for i, w in enumerate(words)}
+def _batches(texts: DataFrame, words: Broadcast, sizes: Sizes) -> DataFrame:
+    """Batches of the texts of (id, text, held, learn) in pieces, written once.
 
+    ``data`` has the names of the words, ``often`` the contexts with ``hot_share`` of the batch's trigrams. A
+    piece has two tokens before its ``own`` and two after, where there are any, ``size`` in all.
+    """
 
-def _code(word: bytes) -> int:
-    """What stands for a word without a number: 62 bits of its hash, above all numbers."""
-    return xxhash.xxh64_intdigest(word, 42) >> 2 | 1 << 62
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = words.value.numbers()
+        get = number.get
+        first = TaskContext.get().partitionId() << 40
+        row = batch_no = 0
+        lines, pieces, gathered = [], [], 0
 
+        def name(word: bytes) -> int:
+            code = _name(xxhash.xxh64_intdigest(word, 42))
+            return get(code, code) if len(word) > LONGEST else code
 
-def _line(texts: list[list[int]], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, a, b, c): of every word and end of the texts, its text's place and the two before it; a is ``NONE`` for the first."""
-    lengths = np.array([len(t) + 2 for t in texts], np.int64)
-    flat = np.fromiter((w for t in texts for w in (end, *t, end)), np.int64, int(lengths.sum()))
-    first = np.zeros(len(flat), bool)
-    first[np.cumsum(lengths) - lengths] = True
-    i = np.flatnonzero(~first)
-    return np.repeat(np.arange(len(texts)), lengths - 1), np.where(first[i - 1], NONE, flat[i - 2]), flat[i - 1], flat[i]
+        def flush() -> pa.RecordBatch:
+            nonlocal batch_no, gathered
+            batch_no += 1
+            grams = Grams(np.concatenate(lines), pieces)
+            size = np.bincount(grams.context, minlength=len(grams.x))
+            hot = np.flatnonzero((size >= sizes.hot_share * len(grams.z)) & (grams.names[grams.y] < _HASHED))
+            often = _packed(grams.names[grams.x[hot]], grams.names[grams.y[hot]], size[hot])
+            out = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([first | batch_no]), pa.array([len(grams.z)]), pa.array([_packed(*_short(grams.line_names))], pa.binary()),
+                    pa.array([often], pa.binary()), pa.array([pieces], _PIECES),
+                ],
+                ["batch", "grams", "data", "often", "pieces"],
+            )
+            lines.clear()
+            pieces.clear()
+            gathered = 0
+            return out
+
+        for batch in slices(batches, 1):
+            facts = zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True)
+            for (doc, held, learn), text in zip(facts, raw(batch.column(1)).to_pylist(), strict=True):
+                cut = [[n if (n := get(w)) is not None else name(w) for w in some] for some in tokens(text)]
+                line = np.concatenate([np.array(x, np.uint64) for x in ([START, START], *cut, [STOP, AFTER])])
+                row += 1
+                for at in range(2, len(line), sizes.piece_tokens):
+                    end = min(at + sizes.piece_tokens, len(line))
+                    if end == len(line) - 1:
+                        end += 1  # what comes after the end stays with it
+                    elif at == len(line) - 1:
+                        continue
+                    piece = line[at - 2 : end + 2]
+                    lines.append(piece)
+                    pieces.append(
+                        {"row": first | row, "doc": doc, "held": held, "learn": learn, "size": len(piece), "own": end - at, "last": end == len(line)}
+                    )
+                    gathered += len(piece)
+                    if gathered >= sizes.batch_tokens:
+                        yield flush()
+        if pieces:
+            yield flush()
+
+    return stored(ready(texts).mapInArrow(run, _BATCHES), "batches", **{"parquet.block.size": str(16 << 20)})
+
+
+class Grams:
+    """The distinct trigrams of a batch, in order of their words.
+
+    ``names`` are those of its words, in order; ``line`` has a word's place there for every token. Contexts
+    are ``x, y``; a trigram is its ``context`` and ``z``, and its training texts have it ``n`` times.
+    """
 
+    def __init__(self, line_names: np.ndarray, pieces: list[dict]):
+        self.line_names = line_names
+        self.names, line = np.unique(line_names, return_inverse=True)
+        self.line, width = line.astype(np.int64), len(self.names)
+        sizes = np.array([p["size"] for p in pieces], np.int64)
+        self.ends = np.cumsum(sizes)
+        # A trigram belongs to its last token, which counts if the piece owns it.
+        place = np.arange(len(line)) - np.repeat(self.ends - sizes, sizes)
+        own = np.repeat([p["own"] for p in pieces], sizes)
+        learn = np.repeat([p["learn"] for p in pieces], sizes)
+        at = np.flatnonzero(place >= 2)
+        counted = learn[at] & (place[at] < own[at] + 2)
+        key = (self.line[at - 2] * width + self.line[at - 1]) * width + self.line[at]
+        key, which = np.unique(key, return_inverse=True)
+        self.n = np.bincount(which, weights=counted, minlength=len(key)).astype(np.int64)
+        pair, self.z = key // width, key % width
+        new = np.concatenate([[True], pair[1:] != pair[:-1]])
+        self.context = np.cumsum(new) - 1
+        self.pairs = pair[new]
+        self.x, self.y = self.pairs // width, self.pairs % width
+
+    def by_shard(self, shards: int, hot: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(shard, places of its trigrams), the trigrams in their order."""
+        x, y = self.names[self.x], self.names[self.y]
+        # All contexts of a word without a number are in one shard.
+        mixed = x * _SPREAD[0] + np.where(x < _HASHED, y * _SPREAD[1], np.uint64(0))
+        spread = np.isin(_pair_key(x, y), hot)[self.context]
+        mixed = mixed[self.context] + np.where(spread, self.names[self.z] * _SPREAD[2], np.uint64(0))
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * _SPREAD[2]
+        shard = (mixed >> np.uint64(33)) % np.uint64(shards)
+        order = np.argsort(shard, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            yield int(shard[part[0]]), part
+
+
+def _pair_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """One number for contexts of numbered words, the largest one for others."""
+    return np.where((x < _HASHED) & (y < _HASHED), x << np.uint64(32) | y, np.uint64(2**64 - 1))
+
+
+def _hot(batches: DataFrame, least: float) -> np.ndarray:
+    """Keys of the contexts with ``least`` listed trigrams, counted in the batches where they are frequent."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows:
+            for often in part.column(0).to_pylist():
+                x, y, n = _arrays(often)
+                key = _pair_key(x, y)
+                fits = key != 2**64 - 1
+                yield pa.RecordBatch.from_arrays([pa.array(key[fits].astype(np.int64)), pa.array(n[fits].astype(np.int64))], ["key", "n"])
+
+    counts = ready(batches.select("often")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= least).select("key").toArrow()["key"].to_numpy()
+    return np.sort(found.astype(np.uint64))
+
+
+def _list(batches: DataFrame, shards: int, hot: Broadcast) -> DataFrame:
+    """(shard, batch, grams): the trigrams of a batch and their counts, each once."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows:
+            for batch, data, pieces in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                g = Grams(_named(*_arrays(data)), pieces)
+                shard, grams = [], []
+                for s, p in g.by_shard(shards, hot.value):
+                    c = g.context[p]
+                    short, hashes = _short(np.concatenate([g.names[g.x[c]], g.names[g.y[c]], g.names[g.z[p]]]))
+                    x, y, z = np.split(short, 3)
+                    shard.append(s)
+                    grams.append(_packed(np.diff(x, prepend=np.uint64(0)), y, z, g.n[p], hashes))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard, pa.int64()), pa.array([batch] * len(shard), pa.int64()), pa.array(grams, pa.binary())],
+                    ["shard", "batch", "grams"],
+                )
+
+    return ready(batches.select("batch", "data", "pieces")).mapInArrow(run, "shard long, batch long, grams binary")
+
+
+_ANSWER = "batch long, shard long, counts binary, firsts binary"
+
+
+def _add_up(hot: Broadcast):
+    """For each list of a shard the counts in its order, and totals that other shards have parts of."""
+
+    def run(group: pa.Table) -> pa.Table:
+        lists = []
+        for data in group["grams"].to_pylist():
+            x, y, z, n, hashes = _arrays(data)
+            short = np.concatenate([np.cumsum(x, dtype=np.uint64), y, z])
+            lists.append((*np.split(_named(short, hashes), 3), n.astype(np.int64)))
+        x, y, z, n = (np.concatenate(c) for c in zip(*lists, strict=True))
+        cuts = np.cumsum([len(c[0]) for c in lists])[:-1]
+        del lists
+        order = np.lexsort((z, y, x))
+        x, y, z = x[order], y[order], z[order]
+        new_x = np.concatenate([[True], x[1:] != x[:-1]])
+        new_pair = new_x | np.concatenate([[True], y[1:] != y[:-1]])
+        new = new_pair | np.concatenate([[True], z[1:] != z[:-1]])
+        gram, pair = np.flatnonzero(new), np.flatnonzero(new_pair)
+        times = np.add.reduceat(n[order], gram)
+        first = np.flatnonzero(new_pair[gram])
+        total, kinds = np.add.reduceat(times, first), np.add.reduceat((times > 0).astype(np.int64), first)
+        # Contexts that are spread over shards: their parts are added up elsewhere.
+        key = _pair_key(x[pair], y[pair])
+        spread = np.isin(key, hot.value) & (total > 0)
+        seen = (total > 0) & ~spread & ~((x[pair] == START) & (y[pair] == START))
+        word = np.flatnonzero(new_x[pair])
+        words, after = x[pair][word], np.add.reduceat(seen.astype(np.int64), word)
+        numbered = (words < _HASHED) & (after > 0)
+        firsts = _packed(words[numbered], after[numbered], key[spread], total[spread], kinds[spread])
+        # Words without a number have all their contexts here, hence all their occurrences.
+        rare = words >= _HASHED
+        occurs, after = np.where(rare, np.add.reduceat(total, word), 0), np.where(rare, after, 0)
+        in_pair, in_word = np.cumsum(new_pair) - 1, np.cumsum(new_x) - 1
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        gram_of = np.cumsum(new) - 1
+        counts = []
+        for at in np.split(back, cuts):
+            p, w = in_pair[at], in_word[at]
+            other_pair, other_word = (np.concatenate([[True], i[1:] != i[:-1]]) for i in (p, w))
+            p, w = p[other_pair], w[other_word]
+            counts.append(_packed(times[gram_of[at]], total[p], kinds[p], occurs[w], after[w]))
+        firsts = [firsts, *[None] * (len(counts) - 1)]
+        return pa.table(
+            {"batch": group["batch"], "shard": group["shard"], "counts": pa.array(counts, pa.binary()), "firsts": pa.array(firsts, pa.binary())}
+        )
 
-def trigram_counts(texts: DataFrame, words: Broadcast) -> DataFrame:
-    """(a, b, c, n) over the texts in the first column, ends included; a is ``NONE`` at a text's first word. Written once."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = _numbered(words.value)
-        get, end = number.get, number[END.encode()]
-        for batch in slices(batches, 0):
-            ids = [[_code(w) if (i := get(w)) is None else i for w in tokens(t)] for t in raw(batch.column(0)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _line(ids, end)[1:]], ["a", "b", "c"])
 
-    found = ready(texts).mapInArrow(run, "a long, b long, c long").groupBy("a", "b", "c")
-    return stored(found.agg(F.count("*").alias("n")), "trigrams")
+class Totals(NamedTuple):
+    """Of each number of a word how many words follow it; of the spread contexts, by key, totals and followers."""
 
+    after: np.ndarray
+    keys: np.ndarray
+    total: np.ndarray
+    kinds: np.ndarray
 
-def coded(counts: DataFrame, words: Broadcast) -> DataFrame:
-    """(c, n) of every word in ``counts``, by its number or code; written once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = _numbered(words.value)
-        for batch in batches:
-            codes = [_code(w) if (i := number.get(w)) is None else i for w in raw(batch.column(0)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), batch.column(1)], ["c", "n"])
+def _totals(answers: DataFrame, words: int) -> Totals:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows:
+            for firsts in part.column(0).to_pylist():
+                word, after, key, total, kinds = (a.astype(np.int64) for a in _arrays(firsts))
+                none = np.zeros(len(word), np.int64)
+                columns = (np.repeat([False, True], [len(word), len(key)]), np.concatenate([word, key]), np.concatenate([after, kinds]), np.concatenate([none, total]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pair", "key", "kinds", "total"])
 
-    return stored(ready(counts.select("word", "n")).mapInArrow(run, "c long, n long"), "codes")
+    parts = ready(answers.where("firsts is not null").select("firsts")).mapInArrow(run, "pair boolean, key long, kinds long, total long")
+    # One row for each number or spread context at most.
+    found = parts.groupBy("pair", "key").agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("total")).toArrow()
+    pair, key, kinds, total = (found[c].to_numpy() for c in ("pair", "key", "kinds", "total"))
+    pair = pair.astype(bool)
+    after = np.zeros(FIRST + words, np.int64)
+    after[key[~pair]] = kinds[~pair]
+    spread = key[pair]
+    np.add.at(after, spread[spread != 0] >> 32, 1)  # key 0 is what comes before a text, whom nothing precedes
+    order = np.argsort(spread)
+    return Totals(after, spread[order].astype(np.uint64), total[pair][order], kinds[pair][order])
 
 
 class Automaton:
-    """The automaton of a small model in memory, as a check on the tables: states, arcs with log10 weights
-    and failure arcs; state 0 is the empty context."""
-
-    def __init__(self, words: Vocabulary, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """``levels``: keys and counts of the n-grams that count, for n = 2, 3 and so on."""
-        end = words.words.index(END) if words.words else 0
-        p_known = words.unigram(words.counts.astype(float)) if words.words else np.zeros(0)
-        self.unigram = np.log10(p_known).tolist()
-        self.state_of: dict[tuple[int, ...], int] = {(): 0}
-        probability: dict[tuple[int, ...], float] = {(w,): p for w, p in enumerate(p_known.tolist())}
-        count = {(w,): n for w, n in enumerate(words.counts.tolist())}
-        self.fail, self.backoff = [0], [0.0]
-        arcs: list[tuple[int, tuple[int, ...]]] = []
-        for n, (keys, counts) in enumerate(levels, 2):
-            grams = [tuple(k >> _BITS * (n - 1 - j) & (1 << _BITS) - 1 for j in range(n)) for k in keys.tolist()]
-            mass: dict[tuple[int, ...], float] = {}
-            lower: dict[tuple[int, ...], float] = {}
-            for gram, c in zip(grams, counts.tolist(), strict=True):
-                context = gram[:-1]
-                count[gram] = c
-                probability[gram] = (c - DISCOUNT) / count[context]
-                mass[context] = mass.get(context, 0.0) + probability[gram]
-                lower[context] = lower.get(context, 0.0) + probability[gram[1:]]
-            for context in mass:
-                self.state_of[context] = len(self.fail)
-                self.fail.append(self.state_of.get(context[1:], 0))
-                self.backoff.append(log10((1 - mass[context]) / (1 - lower[context])))
-            arcs += [(self.state_of[g[:-1]], g) for g in grams]
-        self.next_of = [self._state((w,)) for w in range(len(self.unigram))]
-        self.arcs = {s << _BITS | g[-1]: i for i, (s, g) in enumerate(arcs)}
-        self.weight = [log10(probability[g]) for _, g in arcs]
-        self.target = [self._state(g) for _, g in arcs]
-        self.to_root = [0.0]
-        for s in range(1, len(self.fail)):  # a state's suffix comes before it
-            self.to_root.append(self.backoff[s] + self.to_root[self.fail[s]])
-        self.start = self._state((end,))
-
-    def _state(self, history: tuple[int, ...]) -> int:
-        """The state of the longest suffix of ``history`` that has one."""
-        while history not in self.state_of:
-            history = history[1:]
-        return self.state_of[history]
-
-    def score(self, ids: list[int]) -> float:
-        """The weights along the path of a text; of words below zero, only those of failing to the empty state."""
-        arcs, weight, target, backoff, fail = self.arcs, self.weight, self.target, self.backoff, self.fail
-        total, state = 0.0, self.start
-        for w in ids:
-            if w < 0:
-                total += self.to_root[state]
-                state = 0
-                continue
-            while True:
-                arc = arcs.get(state << _BITS | w)
+    """States, arcs with log10 weights and failure arcs of the n-grams of a batch.
+
+    State 0 is the empty context, ``1 + w`` that of the word ``w``, then come those of two words. The arc
+    of a word ``w`` in a state is found under ``state * width + w``; state 0 has one for every word.
+    """
+
+    def __init__(self, g: Grams, times: np.ndarray, total: np.ndarray, kinds: np.ndarray, occurs: np.ndarray, after: np.ndarray, smoothing: float):
+        """``times`` of the trigrams, ``total`` and ``kinds`` of followers of their contexts, ``occurs`` and
+        ``after`` of the words, all in the training texts."""
+        self.g, self.width = g, len(g.names)
+        width, pairs, x, y = self.width, g.pairs, g.x, g.y
+        own = (occurs + ADDED) / smoothing
+        known = after > 0
+        fall = np.where(known, DISCOUNT * after / np.maximum(occurs, 1), 1.0)
+        two = np.where(total > 0, (total - DISCOUNT) / np.maximum(occurs[x], 1), 0.0) + fall[x] * own[y]
+        arc2 = np.flatnonzero((total > 0) & (g.names[y] != START))
+        fall2 = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+        # An arc leads to the context of its last two words, which every trigram that the batch owns has.
+        to = np.searchsorted(pairs, y[g.context] * width + g.z)
+        found = pairs[np.minimum(to, len(pairs) - 1)] == y[g.context] * width + g.z
+        arc3 = np.flatnonzero((times > 0) & found & (g.names[g.z] != AFTER))
+        c, to = g.context[arc3], to[arc3]
+        three = (times[arc3] - DISCOUNT) / total[c] + fall2[c] * two[to]
+        keys = np.concatenate([(1 + x[arc2]) * width + y[arc2], (1 + width + c) * width + g.z[arc3]])
+        self.arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        self.weight = np.log10(np.concatenate([two[arc2], three])).tolist()
+        self.target = (1 + width + np.concatenate([arc2, to])).tolist()
+        self.seen, self.log_own = occurs > 0, np.log10(own)
+        self.root_weight = self.log_own.tolist()
+        self.root_target = np.where(known, 1 + np.arange(width), 0).tolist()
+        self.backoff = np.log10(np.concatenate([[1.0], fall, fall2])).tolist()
+        self.fail = np.concatenate([[0], np.zeros(width, np.int64), np.where(known[y], 1 + y, 0)]).tolist()
+        self.has = np.concatenate([[True], known, total > 0])
+
+    def state(self, a: int, b: int) -> int:
+        """The state of the longest suffix of the words ``a, b`` that has one."""
+        i = int(np.searchsorted(self.g.pairs, a * self.width + b))
+        if i < len(self.g.pairs) and self.g.pairs[i] == a * self.width + b and self.has[1 + self.width + i]:
+            return 1 + self.width + i
+        return self.root_target[b]
+
+    def walk(self, state: int, words: list[int]) -> float:
+        """The weights along the path of the words from a state."""
+        get, weight, target, backoff, fail, width = self.arcs.get, self.weight, self.target, self.backoff, self.fail, self.width
+        total = 0.0
+        for w in words:
+            while state:
+                arc = get(state * width + w)
                 if arc is not None:
                     total += weight[arc]
                     state = target[arc]
                     break
-                if not state:
-                    total += self.unigram[w]
-                    state = self.next_of[w]
-                    break
                 total += backoff[state]
                 state = fail[state]
+            else:
+                total += self.root_weight[w]
+                state = self.root_target[w]
         return total
 
 
-class Model(NamedTuple):
-    """What training gave, as tables, and the words that have a number.
-
-    ``codes`` has (c, n) of all words, ``pairs`` (b, c, n, p) and ``triples`` (a, b, c, n, p) the arcs with
-    their probability, ``fall`` (b, fall) the log10 weight of the failure arc to the empty context; None
-    beyond the model's order.
-    """
-
-    words: Vocabulary
-    codes: DataFrame
-    pairs: DataFrame | None = None
-    fall: DataFrame | None = None
-    triples: DataFrame | None = None
-
-    @property
-    def levels(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Keys and counts of the arcs for an ``Automaton``; for small models whose arcs have numbered words only."""
-        out = []
-        for arcs, names in ((self.pairs, "bc"), (self.triples, "abc")):
-            if arcs is not None:
-                key = F.lit(0).cast("long")
-                for x in names:
-                    key = F.shiftleft(key, _BITS).bitwiseOR(F.col(x))
-                found = arcs.select(key.alias("key"), "n").orderBy("key").toArrow()
-                out.append((found["key"].to_numpy(), found["n"].to_numpy()))
-        return out
-
-
-def _fall(arcs: DataFrame, lower: Column, *context: str) -> DataFrame:
-    """The log10 weight of each context's failure arc, from its arcs' ``p`` and their probability without its first word."""
-    sums = arcs.groupBy(*context).agg(F.sum("p").alias("p"), F.sum(lower).alias("lower"))
-    return sums.select(*context, F.log10((1 - F.col("p")) / (1 - F.col("lower"))).alias("fall"))
-
-
-def train(texts: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, arc_share: float = 0.0) -> Model:
-    """A model of the texts in the first column of ``texts``; nulls are empty, no rows give a model that knows no word.
-
-    An n-gram is an arc if it occurs ``LEAST`` times, and makes up ``arc_share`` of the tokens if that is given.
-    """
-    if not 1 <= order <= 3:
-        raise ValueError("the order is 1 to 3")
-    counts = word_counts(texts)
-    words = vocabulary(counts, word_share)
-    sent = texts.sparkSession.sparkContext.broadcast(words.words)
-    codes = coded(counts, sent)
-    if order == 1 or not words.tokens:
-        return Model(words, codes)
-    least = max(arc_share * words.tokens, LEAST)
-    # The parts of an n-gram occur as often as itself at least, so that they are arcs, too.
-    all_triples = trigram_counts(texts, sent)
-    pairs = all_triples.groupBy("b", "c").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    before = codes.select(F.col("c").alias("b"), F.col("n").alias("total"))
-    p = ((F.col("n") - DISCOUNT) / F.col("total")).alias("p")
-    pairs = stored(pairs.join(before, "b").select("b", "c", "n", p), "pairs")
-    own = codes.select("c", ((F.col("n") + ADDED) / F.lit(words.smoothing)).alias("own"))
-    fall = stored(_fall(pairs.join(own, "c"), F.col("own"), "b"), "fall")
-    if order == 2:
-        return Model(words, codes, pairs, fall)
-    before = pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), F.col("n").alias("total"))
-    triples = all_triples.where((F.col("a") != NONE) & (F.col("n") >= least)).join(before, ["a", "b"])
-    return Model(words, codes, pairs, fall, stored(triples.select("a", "b", "c", "n", p), "triples"))
-
-
-_FACTS = pa.struct(
-    [
-        ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-        ("base", pa.float64()),
-    ]
-)
-_PARTS = (
-    "row long, a long, b long, c long, "
-    "facts struct<doc_id: bigint, held_out: boolean, n_tokens: bigint, n_known: bigint, base: double>"
-)
-
-
-def _parts(docs: DataFrame, words: Vocabulary, grams: bool) -> DataFrame:
-    """(row, a, b, c, facts): of every row of ``docs`` its facts, its words without a number (b is ``ALONE``)
-    and, with ``grams``, all its n-grams."""
-    sent = docs.sparkSession.sparkContext.broadcast(words)
-
-    def make() -> tuple:
-        words = sent.value
-        return _numbered(words.words), np.log10(words.unigram(words.counts.astype(float))).tolist()
-
-    key = ("model", uuid.uuid4().hex)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, unigram = kept(key, make, slot="model")
-        get, end = number.get, number.get(END.encode(), _code(END.encode()))
-        row = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, 2):
-            texts, facts = [], []
-            ids_held = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for (doc, held), text in zip(ids_held, raw(batch.column(2)).to_pylist(), strict=True):
-                ids = [_code(w) if (i := get(w)) is None else i for w in tokens(text)]
-                known = [i for i in (*ids, end) if i < _HASHED]
-                texts.append(ids)
-                facts.append((doc, held, len(ids) + 1, len(known), sum(map(unigram.__getitem__, known))))
-            place, a, b, c = _line(texts, end)
-            alone, n = c >= _HASHED, len(facts)
-            parts = [(np.arange(n), np.full(n, NONE), np.full(n, ALONE), row + np.arange(n))]
-            parts.append((place[alone], np.full(alone.sum(), NONE), np.full(alone.sum(), ALONE), c[alone]))
-            if grams:
-                parts.append((place, a, b, c))
-            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            columns[0] = columns[0] + row
-            row += n
-            rest = len(columns[0]) - n
-            struct = pa.StructArray.from_arrays(
-                [pa.array([f[i] for f in facts] + [None] * rest, k.type) for i, k in enumerate(_FACTS)],
-                fields=list(_FACTS),
-                mask=pa.array(np.arange(n + rest) >= n),
-            )
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), struct], ["row", "a", "b", "c", "facts"])
-
-    texts = docs.select(
-        F.col("id").cast("long").alias("doc_id"), held_out(F.col("id")).alias("held_out"), F.col("text")
-    )
-    return ready(texts).mapInArrow(run, _PARTS)
-
-
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _compiled(g: Grams, answers: list[dict], shards: int, words: Vocabulary, totals: Totals) -> Automaton:
+    """The automaton of a batch from the shards' answers to its lists."""
+    times = np.zeros(len(g.z), np.int64)
+    total, kinds = np.zeros(len(g.x), np.int64), np.zeros(len(g.x), np.int64)
+    occurs, after = np.zeros(len(g.names), np.int64), np.zeros(len(g.names), np.int64)
+    numbered = g.names < _HASHED
+    number = g.names[numbered].astype(np.int64)
+    occurs[numbered] = np.concatenate([[words.texts, words.texts, 0], words.counts])[number]
+    after[numbered] = totals.after[number]
+    counts = {a["shard"]: a["counts"] for a in answers}
+    for shard, p in g.by_shard(shards, totals.keys):
+        n, part_total, part_kinds, part_occurs, part_after = (a.astype(np.int64) for a in _arrays(counts[shard]))
+        times[p] = n
+        c = np.unique(g.context[p])
+        total[c], kinds[c] = part_total, part_kinds
+        w = np.unique(g.x[c])
+        rare = ~numbered[w]
+        occurs[w[rare]], after[w[rare]] = part_occurs[rare], part_after[rare]
+    key = _pair_key(g.names[g.x], g.names[g.y])
+    spread = np.flatnonzero(np.isin(key, totals.keys))
+    at = np.searchsorted(totals.keys, key[spread])
+    total[spread], kinds[spread] = totals.total[at], totals.kinds[at]
+    return Automaton(g, times, total, kinds, occurs, after, words.smoothing)
+
+
+_PARTS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _walk(answered: DataFrame, shards: int, words: Broadcast, totals: Broadcast) -> DataFrame:
+    """Of every piece of the batches of (data, pieces, answers) what its tokens add to its text's row."""
+    names = [c.split()[0] for c in _PARTS.split(", ")]
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows:
+            for data, pieces, answers in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                g = Grams(_named(*_arrays(data)), pieces)
+                model = _compiled(g, answers, shards, words.value, totals.value)
+                out = []
+                for p, end in zip(pieces, g.ends.tolist(), strict=True):
+                    line = g.line[end - p["size"] : end]
+                    own = line[2 : 2 + p["own"] - p["last"]]
+                    score = model.walk(model.state(int(line[0]), int(line[1])), own.tolist())
+                    out.append((p["row"], p["doc"], p["held"], len(own), int(model.seen[own].sum()), float(model.log_own[own].sum()), score))
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return ready(answered).mapInArrow(run, _PARTS)
+
+
+def score(
+    docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", word_share: float = WORD_SHARE, sizes: Sizes = Sizes()
+) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
-    ``score`` is the model's log10 probability of the text's words and its end, ``base_score`` that of
-    the unigrams alone. Unknown words share one probability. A null or empty text has the end alone.
-    Rows that repeat an id are scored each; null ids stay null and count as held out.
+    The model learns from the rows where ``held`` is not true. ``score`` is its log10 probability of the
+    text's words and its end, ``base_score`` that of the unigrams alone. Unknown words share one
+    probability; a model without training rows knows no word. A null or empty text has the end alone. Rows
+    that repeat an id are scored each; null ids stay null. A text longer than a piece is walked through in
+    pieces, each from the state where the one before it ends. No rows give none; other columns are left out.
     """
-    words = model.words
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = _parts(texts, words, model.pairs is not None)
-    if model.triples is not None:
-        parts = parts.join(model.triples.select("a", "b", "c", "p"), ["a", "b", "c"], "left")
-    else:
-        parts = parts.withColumn("p", F.lit(None).cast("double"))
-    # What has its arc, or only facts, becomes one row per text; the rest keeps its n-gram.
-    done = F.col("facts").isNotNull() | F.col("p").isNotNull()
-    gram = [F.when(~done, F.col(x)).alias(x) for x in "abc"]
-    parts = stored(
-        parts.groupBy("row", *gram).agg(
-            F.max("facts").alias("facts"), F.sum(F.log10("p")).alias("score"), F.count("*").alias("times")
-        ),
-        "parts",
-    )
-    zero, no = F.lit(0.0), F.lit(0).cast("long")
-    shape = ["row", "facts", "rare", "found", "score"]
-    whole = parts.where("c is null").select("row", "facts", zero.alias("rare"), no.alias("found"), F.coalesce("score", zero).alias("score"))
-    left = parts.where("c is not null").select("row", "facts", "a", "b", "c", "times")
-    n = F.coalesce("n", F.lit(0))
-    own = F.log10((n + ADDED) / F.lit(words.smoothing))
-    alone = left.where(F.col("b") == ALONE).join(model.codes, "c", "left")
-    alone = alone.select("row", "facts", (F.col("times") * own).alias("rare"), F.when(n > 0, F.col("times")).otherwise(no).alias("found"), zero.alias("score"))
-    whole = whole.select(shape).unionAll(alone.select(shape))
-    if model.pairs is not None:
-        left = left.where(F.col("b") != ALONE)
-        first = zero
-        if model.triples is not None:
-            # Only contexts that were left need their failure arc.
-            asked = left.select("a", "b").distinct()
-            lower = model.pairs.select("b", "c", F.col("p").alias("lower"))
-            falls = _fall(model.triples.join(asked, ["a", "b"], "left_semi").join(lower, ["b", "c"]), F.col("lower"), "a", "b")
-            left = left.join(falls.withColumnRenamed("fall", "first"), ["a", "b"], "left")
-            first = F.coalesce("first", zero)
-        left = left.join(model.pairs.select("b", "c", "p"), ["b", "c"], "left").join(model.fall, "b", "left")
-        left = left.join(model.codes, "c", "left")
-        second = F.when(F.col("p").isNotNull(), F.log10("p")).otherwise(F.coalesce("fall", zero) + own)
-        left = left.select("row", "facts", zero.alias("rare"), no.alias("found"), (F.col("times") * (first + second)).alias("score"))
-        whole = whole.unionAll(left.select(shape))
-    base = F.max("facts.base") + F.sum("rare")
-    return (
-        whole.groupBy("row")
-        .agg(  # without pairs the unigrams are the model
-            F.max("facts.doc_id").alias("doc_id"),
-            F.max("facts.held_out").alias("held_out"),
-            F.max("facts.n_tokens").alias("n_tokens"),
-            (F.max("facts.n_known") + F.sum("found")).alias("n_known"),
-            F.lit(words.tokens).cast("long").alias("train_tokens"),
-            base.alias("base_score"),
-            (F.sum("score") if model.pairs is not None else base).alias("score"),
-        )
-        .drop("row")
-    )
+    held = F.coalesce(held, F.lit(False))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), held.alias("held"))
+    context = docs.sparkSession.sparkContext
+    words = vocabulary(word_counts(texts.where("not held").select("text")), word_share)
+    sent = context.broadcast(words)
+    batches = _batches(texts.withColumn("learn", ~F.col("held")), sent, sizes)
+    grams = batches.agg(F.coalesce(F.sum("grams"), F.lit(0))).first()[0]
+    hot = context.broadcast(_hot(batches, sizes.hot_share * grams))
+    shards = max(sizes.shards, -(-grams // sizes.shard_grams))
+    lists = _list(batches, shards, hot)
+    answers = stored(lists.groupBy("shard").applyInArrow(_add_up(hot), _ANSWER), "answers")
+    totals = _totals(answers, len(words.words))
+    # Spread contexts that no training text has are not among the totals, but were spread all the same.
+    missing = np.setdiff1d(hot.value, totals.keys)
+    keys, none = np.concatenate([totals.keys, missing]), np.zeros(len(missing), np.int64)
+    order = np.argsort(keys)
+    totals = Totals(totals.after, keys[order], np.concatenate([totals.total, none])[order], np.concatenate([totals.kinds, none])[order])
+    given = answers.groupBy("batch").agg(F.collect_list(F.struct("shard", "counts")).alias("answers"))
+    answered = batches.select("batch", "data", "pieces").join(given, "batch").select("data", "pieces", "answers")
+    parts = _walk(answered, shards, sent, context.broadcast(totals))
+    return parts.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("held_out").alias("held_out"),
+        F.sum("n_tokens").alias("n_tokens"),
+        F.sum("n_known").alias("n_known"),
+        F.lit(words.tokens).cast("long").alias("train_tokens"),
+        F.sum("base_score").alias("base_score"),
+        F.sum("score").alias("score"),
+    ).drop("row")
 
 
 def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``score`` of all rows by a model of those that are not held out."""
-    texts = docs.where(~held_out(F.col(id_col))).select(F.col(text_col).cast("string").alias("text"))
-    return score(docs, train(texts), id_col, text_col)
+    """``score`` of all rows by a model of those that ``held_out`` leaves."""
+    return score(docs, held_out(F.col(id_col)), id_col, text_col)
