@@ -16,13 +16,14 @@ The automaton of a large corpus fits no worker, but a batch of texts needs a par
    left to right, carrying the state and adding up log-probabilities.
 
 Words with at least ``WORD_SHARE`` of the training tokens have numbers, which are sent to workers; there are
-2^18 at most. All others are named by 62 bits of a hash. Contexts in many trigrams are
+2^20 at most. All others are named by 62 bits of a hash. Contexts in many trigrams are
 spread over shards; their totals, 2^14 at most, are sent, too.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from precolens.llm.common import raw, ready, slices, stored
 
 # Least share of the training tokens of words that get a number.
-WORD_SHARE = 2.0**-18
+WORD_SHARE = 2.0**-20
 # Bytes of a word that is sent as such; longer ones are sent as their hash.
 LONGEST = 128
 ADDED, DISCOUNT = 0.1, 0.5
@@ -48,7 +49,7 @@ END = ""  # stands for the end of a text in the counts of words
 # Before a text, at its end, after that; numbers of words follow.
 START, STOP, AFTER, FIRST = 0, 1, 2, 3
 _HASHED = 1 << 62  # from here on names are hashes
-_PLACES = 1 << 19  # above all numbers; from here on places in a list of hashes
+_PLACES = 1 << 21  # above all numbers; from here on places in a list of hashes
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
@@ -56,14 +57,14 @@ _SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint
 class Sizes(NamedTuple):
     """Bounds on what is worked on at once; they change no result.
 
-    ``hot_share`` of all listed trigrams makes a context spread over shards. Tokens of a batch and of a
+    ``hot_share`` of all trigrams makes a context spread over shards. Tokens of a batch and of a
     piece of a long text, and the listed trigrams of a shard, are about as many; there are ``shards`` at least.
     """
 
     hot_share: float = 2.0**-14
-    batch_tokens: int = 1 << 19
-    piece_tokens: int = 1 << 18
-    shard_grams: int = 2 << 20
+    batch_tokens: int = 1 << 18
+    piece_tokens: int = 1 << 17
+    shard_grams: int = 1 << 20
     shards: int = 64
 
 
@@ -148,7 +149,7 @@ def _packed(*arrays: np.ndarray) -> bytes:
         kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if high <= np.iinfo(k).max)
         size = np.dtype(kind).itemsize
         out += [np.array([size, len(x)], np.int64).tobytes(), x.astype(kind).view(np.uint8).reshape(-1, size).T.tobytes()]
-    return zstandard.compress(b"".join(out), 3)
+    return zstandard.compress(b"".join(out), 1)
 
 
 def _arrays(data: bytes) -> list[np.ndarray]:
@@ -188,10 +189,19 @@ _BATCHES = (
 )
 
 
+def _often(names: np.ndarray, line: np.ndarray, least: float) -> bytes:
+    """The pairs of numbered words that follow each other ``least`` times in a line of places in ``names``."""
+    own = (np.bincount(line, minlength=len(names)) >= least) & (names < _HASHED)
+    at = np.flatnonzero(own[line[:-1]] & own[line[1:]])
+    key, n = np.unique(line[at] * len(names) + line[at + 1], return_counts=True)
+    key, n = key[n >= least], n[n >= least]
+    return _packed(names[key // len(names)], names[key % len(names)], n)
+
+
 def _batches(texts: DataFrame, words: Broadcast, sizes: Sizes) -> DataFrame:
     """Batches of the texts of (id, text, held, learn) in pieces, written once.
 
-    ``data`` has the names of the words, ``often`` the contexts with ``hot_share`` of the batch's trigrams. A
+    ``data`` has the distinct words and their order, ``often`` the contexts with ``hot_share`` of the batch's trigrams. A
     piece has two tokens before its ``own`` and two after, where there are any, ``size`` in all.
     """
 
@@ -209,14 +219,13 @@ def _batches(texts: DataFrame, words: Broadcast, sizes: Sizes) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal batch_no, gathered
             batch_no += 1
-            grams = Grams(np.concatenate(lines), pieces)
-            size = np.bincount(grams.context, minlength=len(grams.x))
-            hot = np.flatnonzero((size >= sizes.hot_share * len(grams.z)) & (grams.names[grams.y] < _HASHED))
-            often = _packed(grams.names[grams.x[hot]], grams.names[grams.y[hot]], size[hot])
+            names, line = np.unique(np.concatenate(lines), return_inverse=True)
+            data = _packed(line, *_short(names))
+            grams = len(line) - 2 * len(pieces)
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([first | batch_no]), pa.array([len(grams.z)]), pa.array([_packed(*_short(grams.line_names))], pa.binary()),
-                    pa.array([often], pa.binary()), pa.array([pieces], _PIECES),
+                    pa.array([first | batch_no]), pa.array([grams]), pa.array([data], pa.binary()),
+                    pa.array([_often(names, line, sizes.hot_share * grams)], pa.binary()), pa.array([pieces], _PIECES),
                 ],
                 ["batch", "grams", "data", "often", "pieces"],
             )
@@ -258,10 +267,10 @@ class Grams:
     are ``x, y``; a trigram is its ``context`` and ``z``, and its training texts have it ``n`` times.
     """
 
-    def __init__(self, line_names: np.ndarray, pieces: list[dict]):
-        self.line_names = line_names
-        self.names, line = np.unique(line_names, return_inverse=True)
-        self.line, width = line.astype(np.int64), len(self.names)
+    def __init__(self, data: bytes, pieces: list[dict]):
+        line, short, hashes = _arrays(data)
+        self.names, self.line = _named(short, hashes), line.astype(np.int64)
+        line, width = self.line, len(self.names)
         sizes = np.array([p["size"] for p in pieces], np.int64)
         self.ends = np.cumsum(sizes)
         # A trigram belongs to its last token, which counts if the piece owns it.
@@ -270,7 +279,7 @@ class Grams:
         learn = np.repeat([p["learn"] for p in pieces], sizes)
         at = np.flatnonzero(place >= 2)
         counted = learn[at] & (place[at] < own[at] + 2)
-        key = (self.line[at - 2] * width + self.line[at - 1]) * width + self.line[at]
+        key = (line[at - 2] * width + line[at - 1]) * width + line[at]
         key, which = np.unique(key, return_inverse=True)
         self.n = np.bincount(which, weights=counted, minlength=len(key)).astype(np.int64)
         pair, self.z = key // width, key % width
@@ -293,13 +302,13 @@ class Grams:
             yield int(shard[part[0]]), part
 
 
-def _pair_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """One number for contexts of numbered words, the largest one for others."""
-    return np.where((x < _HASHED) & (y < _HASHED), x << np.uint64(32) | y, np.uint64(2**64 - 1))
+def _pair_key(x: np.ndarray, y: np.ndarray, limit: int = _HASHED) -> np.ndarray:
+    """One number for contexts of numbered words, which are below ``limit``, the largest one for others."""
+    return np.where((x < limit) & (y < limit), x << np.uint64(32) | y, np.uint64(2**64 - 1))
 
 
 def _hot(batches: DataFrame, least: float) -> np.ndarray:
-    """Keys of the contexts with ``least`` listed trigrams, counted in the batches where they are frequent."""
+    """Keys of the contexts that occur ``least`` times, counted in the batches where they are frequent."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
@@ -320,7 +329,7 @@ def _list(batches: DataFrame, shards: int, hot: Broadcast) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
             for batch, data, pieces in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                g = Grams(_named(*_arrays(data)), pieces)
+                g = Grams(data, pieces)
                 shard, grams = [], []
                 for s, p in g.by_shard(shards, hot.value):
                     c = g.context[p]
@@ -343,15 +352,23 @@ def _add_up(hot: Broadcast):
     """For each list of a shard the counts in its order, and totals that other shards have parts of."""
 
     def run(group: pa.Table) -> pa.Table:
-        lists = []
+        lists, hashes = [], []
         for data in group["grams"].to_pylist():
-            x, y, z, n, hashes = _arrays(data)
-            short = np.concatenate([np.cumsum(x, dtype=np.uint64), y, z])
-            lists.append((*np.split(_named(short, hashes), 3), n.astype(np.int64)))
-        x, y, z, n = (np.concatenate(c) for c in zip(*lists, strict=True))
-        cuts = np.cumsum([len(c[0]) for c in lists])[:-1]
-        del lists
-        order = np.lexsort((z, y, x))
+            x, y, z, n, own = _arrays(data)
+            lists.append(np.stack([np.cumsum(x, dtype=np.uint64), y, z, n]).astype(np.int64))
+            hashes.append(own)
+        cuts = np.cumsum([some.shape[1] for some in lists])[:-1]
+        x, y, z, n = np.concatenate(lists, axis=1)
+        names, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        # Numbers below ``limit``, then the places of the shard's hashes instead of those of a list's.
+        words = np.concatenate([x, y, z])
+        limit = int(words[words < _PLACES].max(initial=0)) + 1
+        width, at = limit + len(names), np.cumsum([0, *map(len, hashes)])
+        of_list = np.repeat(at[:-1], [some.shape[1] for some in lists])
+        x, y, z = (np.where(w < _PLACES, w, limit + place[np.where(w < _PLACES, 0, of_list + w - _PLACES)] if len(place) else w) for w in (x, y, z))
+        del lists, words, of_list
+        # One key if it fits.
+        order = np.argsort((x * width + y) * width + z) if width <= 1 << 21 else np.lexsort((z, x * width + y))
         x, y, z = x[order], y[order], z[order]
         new_x = np.concatenate([[True], x[1:] != x[:-1]])
         new_pair = new_x | np.concatenate([[True], y[1:] != y[:-1]])
@@ -361,15 +378,15 @@ def _add_up(hot: Broadcast):
         first = np.flatnonzero(new_pair[gram])
         total, kinds = np.add.reduceat(times, first), np.add.reduceat((times > 0).astype(np.int64), first)
         # Contexts that are spread over shards: their parts are added up elsewhere.
-        key = _pair_key(x[pair], y[pair])
+        key = _pair_key(x[pair].astype(np.uint64), y[pair].astype(np.uint64), limit)
         spread = np.isin(key, hot.value) & (total > 0)
         seen = (total > 0) & ~spread & ~((x[pair] == START) & (y[pair] == START))
         word = np.flatnonzero(new_x[pair])
         words, after = x[pair][word], np.add.reduceat(seen.astype(np.int64), word)
-        numbered = (words < _HASHED) & (after > 0)
+        numbered = (words < limit) & (after > 0)
         firsts = _packed(words[numbered], after[numbered], key[spread], total[spread], kinds[spread])
         # Words without a number have all their contexts here, hence all their occurrences.
-        rare = words >= _HASHED
+        rare = words >= limit
         occurs, after = np.where(rare, np.add.reduceat(total, word), 0), np.where(rare, after, 0)
         in_pair, in_word = np.cumsum(new_pair) - 1, np.cumsum(new_x) - 1
         back = np.empty(len(order), np.int64)
@@ -446,13 +463,13 @@ class Automaton:
         three = (times[arc3] - DISCOUNT) / total[c] + fall2[c] * two[to]
         keys = np.concatenate([(1 + x[arc2]) * width + y[arc2], (1 + width + c) * width + g.z[arc3]])
         self.arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
-        self.weight = np.log10(np.concatenate([two[arc2], three])).tolist()
-        self.target = (1 + width + np.concatenate([arc2, to])).tolist()
+        self.weight = array("d", np.log10(np.concatenate([two[arc2], three])).tobytes())
+        self.target = array("q", (1 + width + np.concatenate([arc2, to])).tobytes())
         self.seen, self.log_own = occurs > 0, np.log10(own)
         self.root_weight = self.log_own.tolist()
         self.root_target = np.where(known, 1 + np.arange(width), 0).tolist()
-        self.backoff = np.log10(np.concatenate([[1.0], fall, fall2])).tolist()
-        self.fail = np.concatenate([[0], np.zeros(width, np.int64), np.where(known[y], 1 + y, 0)]).tolist()
+        self.backoff = array("d", np.log10(np.concatenate([[1.0], fall, fall2])).tobytes())
+        self.fail = array("q", np.concatenate([np.zeros(1 + width, np.int64), np.where(known[y], 1 + y, 0)]).tobytes())
         self.has = np.concatenate([[True], known, total > 0])
 
     def state(self, a: int, b: int) -> int:
@@ -516,7 +533,7 @@ def _walk(answered: DataFrame, shards: int, words: Broadcast, totals: Broadcast)
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
             for data, pieces, answers in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                g = Grams(_named(*_arrays(data)), pieces)
+                g = Grams(data, pieces)
                 model = _compiled(g, answers, shards, words.value, totals.value)
                 out = []
                 for p, end in zip(pieces, g.ends.tolist(), strict=True):
