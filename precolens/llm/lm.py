@@ -23,7 +23,6 @@ spread over shards; their totals, 2^14 at most, are sent, too.
 from __future__ import annotations
 
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -44,7 +43,9 @@ WORD_SHARE = 2.0**-20
 LONGEST = 128
 ADDED, DISCOUNT = 0.1, 0.5
 # Entries that a task counts before it hands them on; bytes of text that are cut into words at once.
-COUNTED, CUT_BYTES = 300_000, 4 << 20
+COUNTED, CUT_BYTES = 500_000, 4 << 20
+# Tokens of a run, of which a batch has many that are walked through side by side.
+RUN_TOKENS = 256
 END = ""  # stands for the end of a text in the counts of words
 # Before a text, at its end, after that; numbers of words follow.
 START, STOP, AFTER, FIRST = 0, 1, 2, 3
@@ -440,8 +441,8 @@ def _totals(answers: DataFrame, words: int) -> Totals:
 class Automaton:
     """States, arcs with log10 weights and failure arcs of the n-grams of a batch.
 
-    State 0 is the empty context, ``1 + w`` that of the word ``w``, then come those of two words. The arc
-    of a word ``w`` in a state is found under ``state * width + w``; state 0 has one for every word.
+    State 0 is the empty context, ``1 + w`` that of the word ``w``, then come those of two words. ``arcs``
+    has ``state * width + w`` of every arc in order, and state 0 has one for every word.
     """
 
     def __init__(self, g: Grams, times: np.ndarray, total: np.ndarray, kinds: np.ndarray, occurs: np.ndarray, after: np.ndarray, smoothing: float):
@@ -461,41 +462,53 @@ class Automaton:
         arc3 = np.flatnonzero((times > 0) & found & (g.names[g.z] != AFTER))
         c, to = g.context[arc3], to[arc3]
         three = (times[arc3] - DISCOUNT) / total[c] + fall2[c] * two[to]
-        keys = np.concatenate([(1 + x[arc2]) * width + y[arc2], (1 + width + c) * width + g.z[arc3]])
-        self.arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
-        self.weight = array("d", np.log10(np.concatenate([two[arc2], three])).tobytes())
-        self.target = array("q", (1 + width + np.concatenate([arc2, to])).tobytes())
+        # All kinds are in order of their states and words already.
+        self.arcs = np.concatenate([np.arange(width), (1 + x[arc2]) * width + y[arc2], (1 + width + c) * width + g.z[arc3]])
         self.seen, self.log_own = occurs > 0, np.log10(own)
-        self.root_weight = self.log_own.tolist()
-        self.root_target = np.where(known, 1 + np.arange(width), 0).tolist()
-        self.backoff = array("d", np.log10(np.concatenate([[1.0], fall, fall2])).tobytes())
-        self.fail = array("q", np.concatenate([np.zeros(1 + width, np.int64), np.where(known[y], 1 + y, 0)]).tobytes())
-        self.has = np.concatenate([[True], known, total > 0])
-
-    def state(self, a: int, b: int) -> int:
-        """The state of the longest suffix of the words ``a, b`` that has one."""
-        i = int(np.searchsorted(self.g.pairs, a * self.width + b))
-        if i < len(self.g.pairs) and self.g.pairs[i] == a * self.width + b and self.has[1 + self.width + i]:
-            return 1 + self.width + i
-        return self.root_target[b]
-
-    def walk(self, state: int, words: list[int]) -> float:
-        """The weights along the path of the words from a state."""
-        get, weight, target, backoff, fail, width = self.arcs.get, self.weight, self.target, self.backoff, self.fail, self.width
-        total = 0.0
-        for w in words:
-            while state:
-                arc = get(state * width + w)
-                if arc is not None:
-                    total += weight[arc]
-                    state = target[arc]
-                    break
-                total += backoff[state]
-                state = fail[state]
-            else:
-                total += self.root_weight[w]
-                state = self.root_target[w]
-        return total
+        self.weight = np.concatenate([self.log_own, np.log10(np.concatenate([two[arc2], three]))])
+        word_state = np.where(known, 1 + np.arange(width), 0)
+        self.target = np.concatenate([word_state, 1 + width + arc2, 1 + width + to])
+        self.backoff = np.log10(np.concatenate([[1.0], fall, fall2]))
+        self.fail = np.concatenate([np.zeros(1 + width, np.int64), word_state[y]])
+        self.has = total > 0
+
+    def states(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The states of the longest suffixes of the words ``a, b`` that have one."""
+        pairs, key = self.g.pairs, a * self.width + b
+        i = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        return np.where((pairs[i] == key) & self.has[i], 1 + self.width + i, self.target[b])
+
+    def walk(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The weights along the paths of the runs of ``size`` words from places ``start`` of the line on.
+
+        All runs go on by a word at a time, side by side, each with a state of its own, first that of the two
+        words before it: where an arc is missing, along failure arcs until there is one.
+        """
+        order = np.argsort(-size, kind="stable")
+        start, size, line, arcs, width = start[order], size[order], self.g.line, self.arcs, self.width
+        state, total = self.states(line[start - 2], line[start - 1]), np.zeros(len(start))
+        left = len(size) - np.searchsorted(size[::-1], np.arange(size.max(initial=0)), side="right")
+        for step, runs in enumerate(left.tolist()):
+            run, w = np.arange(runs), line[start[:runs] + step]
+            while len(run):
+                at = state[run]
+                key = at * width + w
+                arc = np.minimum(np.searchsorted(arcs, key), len(arcs) - 1)
+                hit = arcs[arc] == key
+                on = run[hit]
+                total[on] += self.weight[arc[hit]]
+                state[on] = self.target[arc[hit]]
+                run, w, at = run[~hit], w[~hit], at[~hit]
+                total[run] += self.backoff[at]
+                state[run] = self.fail[at]
+        out = np.empty(len(total))
+        out[order] = total
+        return out
+
+
+def _steps(ordered: np.ndarray) -> np.ndarray:
+    """The distinct values of an ordered array that is not empty."""
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])]
 
 
 def _compiled(g: Grams, answers: list[dict], shards: int, words: Vocabulary, totals: Totals) -> Automaton:
@@ -511,9 +524,9 @@ def _compiled(g: Grams, answers: list[dict], shards: int, words: Vocabulary, tot
     for shard, p in g.by_shard(shards, totals.keys):
         n, part_total, part_kinds, part_occurs, part_after = (a.astype(np.int64) for a in _arrays(counts[shard]))
         times[p] = n
-        c = np.unique(g.context[p])
+        c = _steps(g.context[p])
         total[c], kinds[c] = part_total, part_kinds
-        w = np.unique(g.x[c])
+        w = _steps(g.x[c])
         rare = ~numbered[w]
         occurs[w[rare]], after[w[rare]] = part_occurs[rare], part_after[rare]
     key = _pair_key(g.names[g.x], g.names[g.y])
@@ -535,14 +548,18 @@ def _walk(answered: DataFrame, shards: int, words: Broadcast, totals: Broadcast)
             for data, pieces, answers in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 g = Grams(data, pieces)
                 model = _compiled(g, answers, shards, words.value, totals.value)
-                out = []
-                for p, end in zip(pieces, g.ends.tolist(), strict=True):
-                    line = g.line[end - p["size"] : end]
-                    own = line[2 : 2 + p["own"] - p["last"]]
-                    score = model.walk(model.state(int(line[0]), int(line[1])), own.tolist())
-                    out.append((p["row"], p["doc"], p["held"], len(own), int(model.seen[own].sum()), float(model.log_own[own].sum()), score))
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                field = {f: np.array([p[f] for p in pieces]) for f in ("size", "own", "last")}
+                own = field["own"] - field["last"]
+                runs = -(-own // RUN_TOKENS)
+                piece = np.repeat(np.arange(len(own)), runs)
+                into = (np.arange(len(piece)) - np.repeat(np.cumsum(runs) - runs, runs)) * RUN_TOKENS
+                start = (g.ends - field["size"] + 2)[piece] + into
+                score = model.walk(start, np.minimum(own[piece] - into, RUN_TOKENS))
+                place = np.repeat(np.arange(len(own)), own)
+                line = g.line[np.arange(len(place)) + np.repeat(g.ends - field["size"] + 2 - (np.cumsum(own) - own), own)]
+                add = [np.bincount(k, x, len(own)) for k, x in ((place, model.seen[line]), (place, model.log_own[line]), (piece, score))]
+                given = [pa.array([p[f] for p in pieces], k) for f, k in (("row", pa.int64()), ("doc", pa.int64()), ("held", pa.bool_()))]
+                columns = [*given, pa.array(own), pa.array(add[0].astype(np.int64)), pa.array(add[1]), pa.array(add[2])]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return ready(answered).mapInArrow(run, _PARTS)
