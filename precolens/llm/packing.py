@@ -8,10 +8,12 @@ pattern, sequence and offset.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
 from itertools import islice
+from pathlib import Path
 from unicodedata import normalize
 
 import numpy as np
@@ -33,18 +35,39 @@ _MARKS = ",.;:!?"
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
+# The settings of a tokenizer file under which a text's ids are those of its words: white space separates and is
+# dropped, letters are lower case, runs of letters are words, and bytes are written as above.
+_NORMAL = ["NFC", {"Regex": "\\s+"}, " ", "Lowercase"]
+_WORDS = ["'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+", "Removed", True, "ByteLevel", False, False]
+
 Pattern = tuple[int, list[tuple[int, int]]]  # how many sequences; (length, times) in each
 
 
+def cuts_words(path: str) -> bool:
+    """Whether the tokenizer at ``path`` has the settings under which a text's ids are those of its words."""
+    file = json.loads(Path(path).read_text("utf-8"))
+    try:
+        first, space, lower = file["normalizer"]["normalizers"]
+        cut, letters = file["pre_tokenizer"]["pretokenizers"]
+        normal = [first["type"], space["pattern"], space["content"], lower["type"]]
+        words = [cut["pattern"]["Regex"], cut["behavior"], cut["invert"], letters["type"], letters["add_prefix_space"], letters["use_regex"]]
+    except (KeyError, TypeError, ValueError):  # other settings
+        return False
+    spaced = any(c.isspace() for t in file["added_tokens"] for c in t["content"])
+    return [normal, words] == [_NORMAL, _WORDS] and file["model"]["type"] == "BPE" and not spaced
+
+
 class WordIds:
-    """Ids, as little-endian unsigned 32-bit integers, of strings without ASCII white space.
+    """Ids, as little-endian unsigned 32-bit integers, of texts.
 
-    The tokenizer drops white space before it splits words, so a text's ids are those of its parts. Of
-    a part that is letters and then marks, the letters are one word; its ids are the model's own.
+    If the tokenizer drops white space before it splits words, a text's ids are those of its parts. Of
+    a part that is letters and then marks, the letters are one word; its ids are the model's own. Any
+    other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         self.tokenizer = tokenizer_at(path)
+        self.in_parts = cuts_words(path)
         self.special = any("<" not in t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.words = Cache(self._of_words, cached)
         self.parts = Cache(self._of_parts, cached)
@@ -84,6 +107,8 @@ class WordIds:
         return out
 
     def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
+        if not self.in_parts:
+            return self._whole([(t or b"").decode("utf-8", "replace") for t in texts])
         cut = [(t or b"").split() for t in texts]
         ids = iter(self.parts.get([p for parts in cut for p in parts]))
         return [b"".join(islice(ids, len(parts))) for parts in cut]

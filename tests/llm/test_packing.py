@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import Counter
@@ -116,3 +117,23 @@ def test_every_letter_as_the_library_does(tokenizer):
     for at in range(0, len(letters), 5000):
         text = " ".join(f"a{c}, {c}b" for c in letters[at : at + 5000])
         assert np.frombuffer(WORDS.encode_all([text.encode()])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_get_whole_texts():
+    """One that keeps case and white space: nothing of the short way would be right."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.cuts_words(PATH) and not packing.cuts_words(path)
+    library, texts = Tokenizer.from_file(path), ["Hello  WORLD's\n", "", None, "É ab, cd  ", "漢字 <|endoftext|> x"]
+    found = packing.WordIds(path).encode_all([t and t.encode() for t in texts])
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == want
+
+
+def test_changed_settings_get_whole_texts(tmp_path):
+    """The same file but for one setting."""
+    given = json.loads(open(PATH, encoding="utf-8").read())
+    given["normalizer"]["normalizers"].pop()  # keeps case
+    (path := tmp_path / "keeps_case.json").write_text(json.dumps(given), "utf-8")
+    assert not packing.cuts_words(str(path))
+    found = packing.WordIds(str(path)).encode_all([b"Ab cd, EF"])[0]
+    assert np.frombuffer(found, "<u4").tolist() == Tokenizer.from_file(str(path)).encode("Ab cd, EF", add_special_tokens=False).ids
