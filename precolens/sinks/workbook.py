@@ -8,6 +8,7 @@ the format's row limit, a file after ``sheets`` sheets: a larger selection gives
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -34,6 +35,9 @@ PRICE_FORMAT, DATE_FORMAT = '"R$" #,##0.00', "dd/mm/yyyy"
 # Sheets of a file, and rows that are deflated together.
 SHEETS, BLOCK_ROWS = 16, 8192
 
+# When reading: bytes of a sheet that are parsed together, and such pieces for a task.
+PIECE_BYTES, PIECES_PER_TASK = 1 << 22, 4
+
 # Styles by their places in the style sheet; days are counted from the day before the first.
 _PLAIN, _HEADER, _PRICE, _DATE = range(4)
 _DAY_ZERO = "1899-12-30"
@@ -46,6 +50,7 @@ _PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 _TYPE = "application/vnd.openxmlformats-officedocument.spreadsheetml"
 _DECLARATION = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 _LAST_BLOCK = zlib.compressobj(wbits=-15).flush()
+_SHEET_BEGIN = re.compile(rb"(?P<sheet><(?P<a>(?:[\w.-]+:)?)worksheet\b[^>]*>).*?(?P<data><(?P<b>(?:[\w.-]+:)?)sheetData(?:\s[^>/]*)?>)", re.DOTALL)
 
 
 # --- cells ----------------------------------------------------------------------------------
@@ -339,7 +344,15 @@ class _Book:
 def read_workbook(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Rows (arquivo, folha, linha, celulas): the cells of every row as text, NULL for blank ones; the header is row 1.
 
-    Sheets are read side by side, each as a stream; days and prices come as the numbers in the file.
+    Days and prices come as the numbers in the file.
+    """
+    return _cells(_pieces(spark, paths))
+
+
+def _pieces(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Rows (arquivo, folha, primeira, linhas, texto), stored: whole rows of a sheet as a document, and the first one's number.
+
+    Sheets are inflated side by side, each as a stream that is only cut; its pieces are parsed by any number of tasks.
     """
     import zipfile
 
@@ -351,47 +364,84 @@ def read_workbook(spark: SparkSession, paths: list[str]) -> DataFrame:
     listed = [(a, p, s) for a, p in enumerate(paths) for s in range(1, sheets(p) + 1)]
     places = spark.createDataFrame(listed, "arquivo long, caminho string, folha long")
     places = places.repartition(max(1, len(listed)), "arquivo", "folha")
-    names = ["arquivo", "folha", "linha", "celulas"]
-    schema = pa.schema([("arquivo", pa.int64()), ("folha", pa.int64()), ("linha", pa.int64()), ("celulas", pa.list_(pa.string()))])
+    size = PIECE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for arquivo, place, folha in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 store, path = fs.FileSystem.from_uri(place)
                 with store.open_input_file(path) as file, zipfile.ZipFile(file) as book, book.open(f"xl/worksheets/sheet{folha}.xml") as sheet:
-                    rows = []
-                    for linha, cells in enumerate(_sheet_rows(sheet), 1):
-                        rows.append((arquivo, folha, linha, cells))
-                        if len(rows) == 4096:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], names)
-                            rows = []
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], names)
+                    for first, n, text in _cut(sheet, size):
+                        yield pa.RecordBatch.from_pydict({"arquivo": [arquivo], "folha": [folha], "primeira": [first], "linhas": [n], "texto": pa.array([text], pa.binary())})
 
-    return importable(places).mapInArrow(run, "arquivo long, folha long, linha long, celulas array<string>")
+    return written(importable(places).mapInArrow(run, "arquivo long, folha long, primeira long, linhas long, texto binary"), "trechos")
 
 
-def _sheet_rows(sheet) -> Iterator[list[str | None]]:
-    """The cells of a sheet's rows; a row is dropped from the tree when it was read."""
-    import re
-    from xml.etree.ElementTree import iterparse
+def _cells(pieces: DataFrame) -> DataFrame:
+    names = ["arquivo", "folha", "linha", "celulas"]
+    schema = pa.schema([("arquivo", pa.int64()), ("folha", pa.int64()), ("linha", pa.int64()), ("celulas", pa.list_(pa.string()))])
 
-    name = lambda tag: f"{{{_NAMESPACE}}}{tag}"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # one text at a time
+                arquivo, folha, first, _, text = (c[i].as_py() for c in batch.columns)
+                cells = _sheet_rows(text)
+                columns = [arquivo] * len(cells), [folha] * len(cells), range(first, first + len(cells)), cells
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], names)
+
+    spread = pieces.repartition(pieces.count() // PIECES_PER_TASK + 1, "arquivo", "folha", "primeira")
+    return importable(spread).mapInArrow(run, "arquivo long, folha long, linha long, celulas array<string>")
+
+
+def _cut(sheet, size: int) -> Iterator[tuple[int, int, bytes]]:
+    """(first row's number, rows, document) for pieces of a sheet that end with a row.
+
+    Where a comment or a marked section may hold what looks like a row's end, nothing more is cut, and neither is a
+    sheet whose beginning is not found, such as one in another encoding.
+    """
+    kept, head, tail, first = b"", None, b"", 1
+    while data := sheet.read(size):
+        kept += data
+        if head is None and (begin := _SHEET_BEGIN.search(kept)):
+            head, kept = begin["sheet"] + begin["data"], kept[begin.end() :]
+            tail, row_end = b"</" + begin["b"] + b"sheetData></" + begin["a"] + b"worksheet>", b"</" + begin["b"] + b"row>"
+            row = re.compile(b"<" + begin["b"] + rb"row[\s/>]")
+        if head is None or b"<!" in kept or (end := kept.rfind(row_end)) < 0:
+            continue
+        end += len(row_end)
+        part, kept = kept[:end], kept[end:]
+        n = len(row.findall(part))
+        yield first, n, head + part + tail
+        first += n
+    if head is not None:
+        kept = head + kept[: kept.rfind(tail[: tail.index(b">")])] + tail
+    if n := len(_sheet_rows(kept)):
+        yield first, n, kept
+
+
+def _sheet_rows(text: bytes) -> list[list[str | None]]:
+    """The cells of the rows of a sheet's document."""
+    from xml.etree.ElementTree import fromstring
+
+    value, inline, shown = (f"{{{_NAMESPACE}}}{n}" for n in ("v", "is", "t"))
     numbered = re.compile("_x([0-9A-Fa-f]{4})_")
-    rows = None
-    for event, item in iterparse(sheet, ("start", "end")):
-        if event == "start":
-            rows = item if item.tag == name("sheetData") else rows
-        elif item.tag == name("row"):
-            found = []
-            for cell in item:
-                value, text = cell.find(name("v")), cell.find(f"{name('is')}/{name('t')}")
-                if text is not None:
-                    found.append(numbered.sub(lambda m: chr(int(m[1], 16)), text.text or ""))
-                else:
-                    found.append(None if value is None else value.text)
-            yield found
-            rows.clear()
+    found = []
+    for row in fromstring(text).iterfind(f"{{{_NAMESPACE}}}sheetData/{{{_NAMESPACE}}}row"):
+        cells = []
+        for cell in row:
+            inner = plain = None
+            for part in cell:
+                if part.tag == value and plain is None:
+                    plain = part
+                elif part.tag == inline and inner is None:
+                    inner = part.find(shown)
+            if inner is None:
+                cells.append(None if plain is None else plain.text)
+            else:
+                text = inner.text or ""
+                cells.append(numbered.sub(lambda m: chr(int(m[1], 16)), text) if "_x" in text else text)
+        found.append(cells)
+    return found
 
 
 def read_rows(spark: SparkSession, paths: list[str], columns: dict[str, str]) -> DataFrame:
@@ -399,9 +449,10 @@ def read_rows(spark: SparkSession, paths: list[str], columns: dict[str, str]) ->
 
     Days become date text again.
     """
-    cells = read_workbook(spark, paths).where("linha > 1")
+    pieces = _pieces(spark, paths)
+    cells = _cells(pieces).where("linha > 1")
     order = Window.orderBy("arquivo", "folha")  # one row per sheet
-    sizes = cells.groupBy("arquivo", "folha").agg(F.count("*").alias("n"))
+    sizes = pieces.groupBy("arquivo", "folha").agg((F.sum("linhas") - 1).alias("n"))
     before = sizes.select("arquivo", "folha", (F.sum("n").over(order) - F.col("n")).alias("antes"))
 
     def value(at: int, name: str, kind: str) -> Column:

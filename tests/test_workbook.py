@@ -1,5 +1,6 @@
 """The workbook: read back equal, valid archive, header and widths, sheets and files at their limits."""
 
+import io
 import zipfile
 import zlib
 from xml.etree import ElementTree
@@ -75,6 +76,27 @@ def test_no_rows(spark, rows, tmp_path):
     assert back(spark, paths) == []
 
 
+def test_a_sheet_is_parsed_in_pieces_by_several_tasks(spark, rows, tmp_path, monkeypatch):
+    paths = workbook.write_workbook(rows, str(tmp_path), block_rows=9)
+    monkeypatch.setattr(workbook, "PIECE_BYTES", 5000)
+    parts = workbook.read_workbook(spark, paths).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 2 and sum(r["count"] for r in parts) == 101
+    assert back(spark, paths) == list(map(tuple, rows.collect()))
+
+
+@pytest.mark.parametrize("size", [1, 40, 10**6])
+@pytest.mark.parametrize(("p", "odd"), [("", ""), ("x:", ""), ("", "<!-- </row> <row> -->"), ("", "<row r='3'/>")])
+def test_sheets_of_other_writers_are_cut_between_rows(size, p, odd):
+    row = lambda *texts: f"<{p}row>" + "".join(f"<{p}c><{p}f>1</{p}f><{p}v>{t}</{p}v></{p}c>" for t in texts) + f"</{p}row>"
+    space = f"xmlns{':x' if p else ''}='{NS['m']}'"
+    text = f"<?xml version='1.0'?><{p}worksheet {space}><{p}cols/><{p}sheetData>{row(1, 2)}{odd}{row(3)}{row(4)}</{p}sheetData><{p}tail/></{p}worksheet>"
+    pieces = list(workbook._cut(io.BytesIO(text.encode()), size))
+    cells = [workbook._sheet_rows(t) for _, _, t in pieces]
+    assert sum(cells, []) == [["1", "2"], *([[]] if "r=" in odd else []), ["3"], ["4"]]
+    assert [n for _, n, _ in pieces] == list(map(len, cells)) and [f for f, _, _ in pieces] == [1 + sum(map(len, cells[:i])) for i in range(len(cells))]
+    assert len(pieces) > 1 or size > 1
+
+
 def test_checksums_are_combined():
     parts = [b"", b"a", bytes(range(256)) * 5, b"x" * 100_000]
     whole, crc = b"", 0
