@@ -13,23 +13,40 @@ from pyspark.sql import functions as F
 
 from ..operators.enrich import KEY, REGISTRY_TIES, registry_by_text_key, with_code
 from ..schemas import COLETA, VISIBLE_COLUMNS
-from ..session import measured, written
+from ..session import Measured, durable, measured, written
 
 SLICE = "fatia"
 JOINED = [*KEY, SLICE]
 
-# Fact rows of one key that stay together, rows that a bucket is meant for, and the least number of buckets.
+# Fact rows of one key that stay together, and rows that a bucket is meant for: one task sorts them, in memory.
 ROWS_PER_SLICE = 1 << 18
-ROWS_PER_BUCKET = 1 << 21
-LEAST_BUCKETS = 8
+ROWS_PER_BUCKET = 1 << 18
+
+# The numbers of buckets that are chosen; Spark allows 100,000.
+LEAST_BUCKETS, MOST_BUCKETS = 8, 1 << 16
+
+# Groups of keys that are counted first: a key is large only if its group is.
+KEY_GROUPS = 1 << 16
 
 _PLAIN = ["_codigo", "_produto"]
 
 
-def _slices(coded: DataFrame) -> DataFrame:
-    """Rows (_codigo, _produto, fatias) of the keys that need more than one slice; NULLs are a key, too."""
-    counts = coded.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") > ROWS_PER_SLICE)
-    return counts.select(*[F.col(k).alias(p) for k, p in zip(KEY, _PLAIN, strict=True)], F.ceil(F.col("n") / ROWS_PER_SLICE).alias("fatias"))
+def _large_keys(coded: DataFrame) -> tuple[int, Measured | None]:
+    """The number of rows, and rows (_codigo, _produto, fatias) of the keys that need more than one slice, None without any.
+
+    NULLs are a key, too. Rows are counted by groups of keys; keys are counted in groups with many rows only.
+    """
+    group = F.pmod(F.xxhash64(*KEY), F.lit(KEY_GROUPS)).alias("_grupo")
+    sizes = durable(coded.select(group).groupBy("_grupo").agg(F.count("*").alias("n")))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    groups = sizes.where(F.col("n") > ROWS_PER_SLICE).select("_grupo")
+    if groups.isEmpty():
+        return total, None
+    rows = coded.select(*KEY, group).join(F.broadcast(groups), "_grupo", "left_semi")  # KEY_GROUPS rows at most
+    counts = rows.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") > ROWS_PER_SLICE)
+    plain = [F.col(k).alias(p) for k, p in zip(KEY, _PLAIN, strict=True)]
+    found = measured(counts.select(*plain, F.ceil(F.col("n") / ROWS_PER_SLICE).alias("fatias")))
+    return total, found if found.count else None
 
 
 def _beside(rows: DataFrame, slices: DataFrame) -> DataFrame:
@@ -37,10 +54,9 @@ def _beside(rows: DataFrame, slices: DataFrame) -> DataFrame:
     return rows.join(slices, same, "left").drop(*_PLAIN)
 
 
-def _sliced(coded: DataFrame) -> DataFrame:
+def _sliced(coded: DataFrame, found: Measured | None) -> DataFrame:
     """Fact rows with their slice. Rows of large keys, copies among them, are dealt by their number in a written table."""
-    found = measured(_slices(coded))
-    if not found.count:
+    if found is None:
         return coded.withColumn(SLICE, F.lit(0))
     rows = _beside(coded, found.side)
     large = written(rows.where("fatias is not null").withColumn("_n", F.monotonically_increasing_id()), "fatias")
@@ -59,8 +75,9 @@ class ColocatedStore:
     def create(self, fact: DataFrame, registry: DataFrame, buckets: int | None = None) -> None:
         """Store both tables anew, with buckets for the fact's present size unless their number is given."""
         coded = with_code(fact)
-        self.buckets = buckets or max(LEAST_BUCKETS, -(-fact.count() // ROWS_PER_BUCKET))
-        self._write(_sliced(coded), self.fact_table, "coleta", "overwrite")
+        count, large = _large_keys(coded)
+        self.buckets = buckets or min(max(LEAST_BUCKETS, -(-count // ROWS_PER_BUCKET)), MOST_BUCKETS)
+        self._write(_sliced(coded, large), self.fact_table, "coleta", "overwrite")
         self.replace_registry(registry)
 
     def replace_registry(self, registry: DataFrame) -> None:
@@ -76,8 +93,8 @@ class ColocatedStore:
         coded = with_code(rows)
         stored = self.spark.table(self.registry_table)
         # Only keys of the batch that are large can lack any.
-        wanted = measured(_slices(coded))
-        if wanted.count:
+        _, wanted = _large_keys(coded)
+        if wanted is not None:
             same = [F.col(k) == F.col(p) for k, p in zip(KEY, _PLAIN, strict=True)]
             held = stored.join(wanted.side, same)
             known = held.groupBy(*KEY).agg((F.max(SLICE) + 1).alias("tem"))
@@ -86,7 +103,7 @@ class ColocatedStore:
             each = F.explode(F.sequence(F.col("tem").cast("int"), F.col("fatias").cast("int") - 1))
             added = missing.withColumn(SLICE, each).select(*KEY, *REGISTRY_TIES, SLICE)
             self._write(written(added, "fatias"), self.registry_table, "cadastro", "append")
-        self._write(_sliced(coded), self.fact_table, "coleta", "append")
+        self._write(_sliced(coded, wanted), self.fact_table, "coleta", "append")
 
     def _write(self, rows: DataFrame, table: str, folder: str, mode: str) -> None:
         """One file per bucket; a bucket's rows are sorted by its first column after the key, for row-group skipping."""

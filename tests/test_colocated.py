@@ -62,6 +62,26 @@ def test_large_key_is_split_over_buckets(spark, store, rows, codes):
     assert max(r["count"] for r in per_file) < 300
 
 
+def test_keys_are_counted_once_and_in_large_groups_only(spark, store, rows, codes, monkeypatch):
+    """A batch is counted once; keys without a large group are not counted, and neighbours in one are not large."""
+    calls, counted = [], colocated._large_keys
+    monkeypatch.setattr(colocated, "_large_keys", lambda coded: calls.append(counted(coded)) or calls[-1])
+    monkeypatch.setattr(colocated, "ROWS_PER_BUCKET", 64)
+    small = rows.where("id_coleta <> 'x'").limit(40)
+    store.create(small, codes)
+    store.append(rows)
+    assert [c[0] for c in calls] == [40, 900] and calls[0][1] is None
+    assert {(r._codigo, r._produto) for r in calls[1][1].rows.collect()} == {
+        (r.cod_informante, r.id_produto) for r in colocated.with_code(rows).groupBy(*colocated.KEY).count().where("count > 50").collect()
+    }
+    same(store.enriched(), enrich(small.unionByName(rows), codes))
+    monkeypatch.setattr(colocated, "KEY_GROUPS", 1)
+    assert counted(colocated.with_code(rows))[1].rows.count() == calls[1][1].count
+    monkeypatch.setattr(colocated, "MOST_BUCKETS", 9)
+    store.create(rows, codes)
+    assert store.buckets == 9
+
+
 def test_append_gives_the_registry_what_it_lacks(spark, store, rows, codes):
     hot, rest = rows.where("id_coleta = 'x'"), rows.where("id_coleta <> 'x'")
     store.create(rest, codes)
