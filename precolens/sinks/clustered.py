@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.enrich import with_code
 from ..schemas import MONTH
+from ..session import CODEC
 from .publish import by_month
 
 # The equality filters' columns, and the day within the month.
@@ -70,7 +71,7 @@ def publish_clustered(rows: DataFrame, path: str, starts: Mapping[str, Sequence]
         .sortWithinPartitions(MONTH, "_curva")
         .drop("_curva")
         .write.mode("overwrite")
-        .options(**options)
+        .options(**{"compression": CODEC} | options)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(MONTH)
         .parquet(path)
