@@ -137,3 +137,23 @@ def test_changed_settings_get_whole_texts(tmp_path):
     assert not packing.cuts_words(str(path))
     found = packing.WordIds(str(path)).encode_all([b"Ab cd, EF"])[0]
     assert np.frombuffer(found, "<u4").tolist() == Tokenizer.from_file(str(path)).encode("Ab cd, EF", add_special_tokens=False).ids
+
+
+def test_texts_together_are_looked_up_by_distinct_words(monkeypatch):
+    words, asked = packing.WordIds(PATH), []
+    for cache in (words.words, words.parts):
+        monkeypatch.setattr(cache, "get", lambda keys, get=cache.get: asked.extend(keys) or get(keys))
+    texts = ["The cat, the dog.", "CAT? dog dog!! x1 x1 é", "the"] * 50
+    found = words.encode_all([t.encode() for t in texts])
+    library = Tokenizer.from_file(PATH)
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(map(str, asked)) == sorted(map(str, ["the", "cat", "dog", b"x1", "é", "é".encode()]))
+
+
+def test_many_texts_together_as_each_alone(tokenizer):
+    texts = [t and t.encode() for t in EDGES] + [b"", None, b"  ", b"\n.\n", b"... a", b"a\xff b\xe6\xbc c,", b"\xe6\xbc. B!", b"a\x1fb \x0b\x0cc"]
+    together = WORDS.encode_all(texts)
+    for text, found in zip(texts, together, strict=True):
+        want = tokenizer.encode((text or b"").decode("utf-8", "replace"), add_special_tokens=False).ids
+        assert np.frombuffer(found, "<u4").tolist() == want and WORDS.encode_all([text]) == [found]
+    assert WORDS.encode_all([]) == []
