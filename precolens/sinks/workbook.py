@@ -2,7 +2,8 @@
 
 Cells are written as XML by column expressions. The sorted rows are stored once with their places; blocks of
 ``BLOCK_ROWS`` rows are deflated side by side, each ending on a whole byte, and one task joins a file's blocks to sheets as
-it reads them in order. It holds one block at a time; checksums of blocks are combined, not computed anew. A sheet ends at
+it reads them in order. Blocks are files in the shared folder, and so are the pieces of sheets that are read: Spark's rows carry
+their paths, so that no batch of rows holds more than one of them. Checksums of blocks are combined, not computed anew. A sheet ends at
 the format's row limit, a file after ``sheets`` sheets: a larger selection gives several files, each written by its own task.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import lenient_date
 from ..schemas import COLUMN_LABELS, PRICE_COLUMNS
-from ..session import durable, importable, measured, written
+from ..session import durable, importable, measured, scratch_path, written
 from .export import column_widths
 
 # Rows of a sheet with its header, the sheets' name, the header's colours and height.
@@ -159,6 +160,25 @@ def _deflated(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush(zlib.Z_FULL_FLUSH)
 
 
+# --- blocks and pieces as files -----------------------------------------------------------------
+
+
+def _kept(folder: str, data: bytes) -> str:
+    """The path of a new file below ``folder`` with these bytes; a task that is run again writes another."""
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    name = uuid.uuid4().hex
+    with store.open_output_stream(f"{root.rstrip('/')}/{name}", compression=None) as out:
+        out.write(data)
+    return f"{folder.rstrip('/')}/{name}"
+
+
+def _bytes_of(place: str) -> bytes:
+    store, path = fs.FileSystem.from_uri(place)
+    with store.open_input_stream(path, compression=None) as file:
+        return file.read()
+
+
 # --- the fixed parts ----------------------------------------------------------------------------
 
 
@@ -213,7 +233,7 @@ def _sheet_ends(labels: list[str], widths: list[int]) -> tuple[bytes, bytes]:
 
 
 def _blocks(kept: DataFrame, sheet_rows: int, block_rows: int) -> DataFrame:
-    """Rows (folha, bloco, dados, crc, bruto, compacto): every block's rows in order, compressed.
+    """Rows (folha, bloco, caminho, crc, bruto, compacto): the file of every block's rows in order, compressed.
 
     The stored place has the sorted part in its upper bits and the row within it in the lower 33.
     """
@@ -227,25 +247,28 @@ def _blocks(kept: DataFrame, sheet_rows: int, block_rows: int) -> DataFrame:
         F.floor(place / sheet_rows).alias("folha"), F.floor(F.pmod(place, F.lit(sheet_rows)) / block_rows).alias("bloco"), place.alias("lugar"), "xml"
     )
 
+    folder = scratch_path(kept.sparkSession, "compactos")
+
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         data = "".join(rows.sort_by("lugar").column("xml").to_pylist()).encode()
         packed = _deflated(data)
-        columns = [*([k.as_py()] for k in key), [packed], [zlib.crc32(data)], [len(data)], [len(packed)]]
-        return pa.table(dict(zip(["folha", "bloco", "dados", "crc", "bruto", "compacto"], columns, strict=True)))
+        place = _kept(f"{folder}/{key[0].as_py()}", packed)
+        columns = [*([k.as_py()] for k in key), [place], [zlib.crc32(data)], [len(data)], [len(packed)]]
+        return pa.table(dict(zip(["folha", "bloco", "caminho", "crc", "bruto", "compacto"], columns, strict=True)))
 
-    schema = "folha long, bloco long, dados binary, crc long, bruto long, compacto long"
+    schema = "folha long, bloco long, caminho string, crc long, bruto long, compacto long"
     return written(importable(rows).groupBy("folha", "bloco").applyInArrow(run, schema), "blocos")
 
 
 def _plan(blocks: DataFrame, rows: int, sheet_rows: int, sheets: int) -> DataFrame:
-    """Rows (arquivo, folha, bloco, dados, lista): before a sheet's blocks a row without data that lists them."""
+    """Rows (arquivo, folha, bloco, caminho, lista): before a sheet's blocks a row without a file that lists them."""
     n = max(1, -(-rows // sheet_rows))
     listed = blocks.groupBy("folha").agg(F.sort_array(F.collect_list(F.struct("bloco", "crc", "bruto", "compacto"))).alias("lista"))
     heads = blocks.sparkSession.range(n).withColumnRenamed("id", "folha").join(listed, "folha", "left")
-    heads = heads.select("folha", F.lit(-1).cast("long").alias("bloco"), F.lit(None).cast("binary").alias("dados"), "lista")
-    both = heads.unionByName(blocks.select("folha", "bloco", "dados", F.lit(None).cast(heads.schema["lista"].dataType).alias("lista")))
+    heads = heads.select("folha", F.lit(-1).cast("long").alias("bloco"), F.lit(None).cast("string").alias("caminho"), "lista")
+    both = heads.unionByName(blocks.select("folha", "bloco", "caminho", F.lit(None).cast(heads.schema["lista"].dataType).alias("lista")))
     file = F.floor(F.col("folha") / sheets).alias("arquivo")
-    return both.select(file, "folha", "bloco", "dados", "lista").repartition(-(-n // sheets), "arquivo").sortWithinPartitions("arquivo", "folha", "bloco")
+    return both.select(file, "folha", "bloco", "caminho", "lista").repartition(-(-n // sheets), "arquivo").sortWithinPartitions("arquivo", "folha", "bloco")
 
 
 def file_name(number: int) -> str:
@@ -280,7 +303,7 @@ def write_workbook(rows: DataFrame, folder: str, sheet_rows: int = SHEET_ROWS, s
                 if row["bloco"] < 0:
                     book.begin([(b["crc"], b["bruto"], b["compacto"]) for b in row["lista"] or []])
                 else:
-                    book.add(row["dados"])
+                    book.add(_bytes_of(row["caminho"]))
         done += [book.close()] if book else []
         yield pa.RecordBatch.from_pydict({"arquivo": pa.array([d[0] for d in done], pa.int64()), "caminho": pa.array([d[1] for d in done], pa.string())})
 
@@ -350,7 +373,7 @@ def read_workbook(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def _pieces(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Rows (arquivo, folha, primeira, linhas, texto), stored: whole rows of a sheet as a document, and the first one's number.
+    """Rows (arquivo, folha, primeira, linhas, caminho), stored: the file with whole rows of a sheet as a document, and the first one's number.
 
     Sheets are inflated side by side, each as a stream that is only cut; its pieces are parsed by any number of tasks.
     """
@@ -364,7 +387,7 @@ def _pieces(spark: SparkSession, paths: list[str]) -> DataFrame:
     listed = [(a, p, s) for a, p in enumerate(paths) for s in range(1, sheets(p) + 1)]
     places = spark.createDataFrame(listed, "arquivo long, caminho string, folha long")
     places = places.repartition(max(1, len(listed)), "arquivo", "folha")
-    size = PIECE_BYTES
+    size, folder = PIECE_BYTES, scratch_path(spark, "recortes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,9 +395,10 @@ def _pieces(spark: SparkSession, paths: list[str]) -> DataFrame:
                 store, path = fs.FileSystem.from_uri(place)
                 with store.open_input_file(path) as file, zipfile.ZipFile(file) as book, book.open(f"xl/worksheets/sheet{folha}.xml") as sheet:
                     for first, n, text in _cut(sheet, size):
-                        yield pa.RecordBatch.from_pydict({"arquivo": [arquivo], "folha": [folha], "primeira": [first], "linhas": [n], "texto": pa.array([text], pa.binary())})
+                        kept = _kept(f"{folder}/{arquivo}-{folha}", zlib.compress(text, 1))
+                        yield pa.RecordBatch.from_pydict({"arquivo": [arquivo], "folha": [folha], "primeira": [first], "linhas": [n], "caminho": [kept]})
 
-    return written(importable(places).mapInArrow(run, "arquivo long, folha long, primeira long, linhas long, texto binary"), "trechos")
+    return written(importable(places).mapInArrow(run, "arquivo long, folha long, primeira long, linhas long, caminho string"), "trechos")
 
 
 def _cells(pieces: DataFrame) -> DataFrame:
@@ -384,8 +408,8 @@ def _cells(pieces: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # one text at a time
-                arquivo, folha, first, _, text = (c[i].as_py() for c in batch.columns)
-                cells = _sheet_rows(text)
+                arquivo, folha, first, _, place = (c[i].as_py() for c in batch.columns)
+                cells = _sheet_rows(zlib.decompress(_bytes_of(place)))
                 columns = [arquivo] * len(cells), [folha] * len(cells), range(first, first + len(cells)), cells
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], names)
 

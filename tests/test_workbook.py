@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from precolens.operators.paging import all_newest_first
 from precolens.schemas import COLUMN_LABELS, ENRICHED
+from precolens.session import written
 from precolens.sinks import export, workbook
 
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
@@ -84,6 +85,21 @@ def test_a_sheet_is_parsed_in_pieces_by_several_tasks(spark, rows, tmp_path, mon
     assert back(spark, paths) == list(map(tuple, rows.collect()))
 
 
+def test_no_table_holds_blocks_or_pieces(spark, rows, tmp_path, monkeypatch):
+    """A batch of rows has thousands of them: blocks and pieces of some MB in rows would be held all at once."""
+    stored = []
+    monkeypatch.setattr(workbook, "written", lambda df, name: stored.append((name, kept := written(df, name))) or kept)
+    monkeypatch.setattr(workbook, "PIECE_BYTES", 5000)
+    paths = workbook.write_workbook(rows, str(tmp_path), block_rows=9)
+    read = workbook.read_rows(spark, paths, TYPES)
+    tables = dict(stored)
+    assert tables["blocos"].count() == 12 and tables["trechos"].count() > 4
+    for name in ("blocos", "trechos"):
+        assert "binary" not in dict(tables[name].dtypes).values()
+        assert all(len(r.caminho) < 400 for r in tables[name].collect())
+    assert read.count() == 100
+
+
 @pytest.mark.parametrize("size", [1, 40, 10**6])
 @pytest.mark.parametrize(("p", "odd"), [("", ""), ("x:", ""), ("", "<!-- </row> <row> -->"), ("", "<row r='3'/>")])
 def test_sheets_of_other_writers_are_cut_between_rows(size, p, odd):
