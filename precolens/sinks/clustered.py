@@ -14,6 +14,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.packed import packed, unpacked
 from ..operators.enrich import with_code
 from ..schemas import MONTH
 from ..session import CODEC
@@ -64,12 +65,11 @@ def publish_clustered(rows: DataFrame, path: str, starts: Mapping[str, Sequence]
     """
     coded = by_month(with_code(rows))
     starts = bin_starts(coded) if starts is None else starts
-    placed = coded.withColumn("_curva", curve(starts))
+    placed = packed(coded.withColumn("_curva", curve(starts)), [MONTH])
+    # By ranges, so that a large month is split along the curve and not across it.
+    ordered = placed.repartitionByRange(MONTH, "_curva").sortWithinPartitions(MONTH, "_curva")
     (
-        # By ranges, so that a large month is split along the curve and not across it.
-        placed.repartitionByRange(MONTH, "_curva")
-        .sortWithinPartitions(MONTH, "_curva")
-        .drop("_curva")
+        unpacked(ordered, coded.columns)
         .write.mode("overwrite")
         .options(**{"compression": CODEC} | options)
         .option("partitionOverwriteMode", "dynamic")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from precolens.functions.packed import packed, unpacked
 from precolens.schemas import MONTH
-from precolens.sinks import publish
+from precolens.sinks import clustered, publish
 from precolens.sources.tables import read_collection
 
 ODD = [None, "", " ", "\x1e", "\x1f", "a\x1fb", "\x1e\x1f", "é漢🙂", "\x00", "a,b\n"]
@@ -35,11 +35,12 @@ def test_few_rows_go_as_they_are(odd):
     assert unpacked(small.withColumn("mais", F.lit(1)), ["mais", "a"]).columns == ["mais", "a"]
 
 
-@pytest.mark.parametrize("write", [publish.publish])
+@pytest.mark.parametrize("write", [publish.publish, clustered.publish_clustered])
 def test_stored_tables_shuffle_one_text_and_keep_rows(spark, fact, tmp_path, monkeypatch, write):
     rows = fact(*[{"data_coleta": f"2024-0{i % 4 + 1}-1{i % 9}", "cod_informante": [str(i % 4)], "id_produto": f"P{i}", "url": ODD[i % len(ODD)], "marca": ODD[i // 10]} for i in range(100)])
     seen = []
-    monkeypatch.setattr(publish, "unpacked", lambda df, columns: seen.append(df) or unpacked(df, columns))
+    for module in (publish, clustered):
+        monkeypatch.setattr(module, "unpacked", lambda df, columns: seen.append(df) or unpacked(df, columns))
     write(rows, str(tmp_path / "t"))
     assert {"_texto", "_inteiros"} <= set(seen[0].columns) and "url" not in seen[0].columns
     back = read_collection(spark, str(tmp_path / "t")).drop(MONTH)
