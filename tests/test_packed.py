@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from precolens.functions.packed import packed, unpacked
+from precolens.operators.enrich import enrich
 from precolens.schemas import MONTH
 from precolens.sinks import clustered, publish
 from precolens.sources.tables import read_collection
@@ -11,6 +12,10 @@ from precolens.sources.tables import read_collection
 ODD = [None, "", " ", "\x1e", "\x1f", "a\x1fb", "\x1e\x1f", "é漢🙂", "\x00", "a,b\n"]
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture
 def odd(spark):
     rows = [(i, a, b, [a], float(i), "k") for i, (a, b) in enumerate((a, b) for a in ODD for b in ODD)]
@@ -35,6 +40,21 @@ def test_few_rows_go_as_they_are(odd):
     assert unpacked(small.withColumn("mais", F.lit(1)), ["mais", "a"]).columns == ["mais", "a"]
 
 
+def test_the_whole_view_is_the_view(spark, fact, registry):
+    rows = fact(*[{"id_produto": f"P{i % 3}", "cod_informante": [str(i % 2)] if i % 5 else [], "url": ODD[i % len(ODD)], "marca": ODD[i // 10], "preco": i / 7} for i in range(100)])
+    codes = registry((1, "P1", "x", 1), (1, "P1", "y", 2), (0, "P2", None, None))
+    slim, whole = enrich(rows, codes), enrich(rows, codes, whole=True)
+    assert whole.schema.names == slim.schema.names and [f.dataType for f in whole.schema] == [f.dataType for f in slim.schema]
+    assert sorted(map(str, whole.collect())) == sorted(map(str, slim.collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = plan(enrich(rows, codes, whole=True))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffled = joined[joined.index("Exchange hashpartitioning(cod_informante") :].split("\n")[1]
+    assert "_texto" in shuffled and "nome_informante" not in shuffled.split("concat_ws")[0]
+
+
 @pytest.mark.parametrize("write", [publish.publish, clustered.publish_clustered])
 def test_stored_tables_shuffle_one_text_and_keep_rows(spark, fact, tmp_path, monkeypatch, write):
     rows = fact(*[{"data_coleta": f"2024-0{i % 4 + 1}-1{i % 9}", "cod_informante": [str(i % 4)], "id_produto": f"P{i}", "url": ODD[i % len(ODD)], "marca": ODD[i // 10]} for i in range(100)])
