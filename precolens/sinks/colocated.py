@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.packed import packed, unpacked
 from ..operators.enrich import KEY, REGISTRY_TIES, registry_by_text_key, with_code
 from ..schemas import COLETA, VISIBLE_COLUMNS
-from ..session import Measured, durable, measured, written
+from ..session import CODEC, Measured, durable, measured, written
 
 SLICE = "fatia"
 JOINED = [*KEY, SLICE]
@@ -89,8 +90,11 @@ class ColocatedStore:
         self._write(rows.withColumn(SLICE, each).drop("fatias"), self.registry_table, "cadastro", "overwrite")
 
     def append(self, rows: DataFrame) -> None:
-        """Add fact rows. The registry first gets the slices it lacks, so that an append that failed can be run again."""
-        coded = with_code(rows)
+        """Add fact rows. The registry first gets the slices it lacks, so that an append that failed can be run again.
+
+        The batch is stored first, since it is read twice: to count its keys and to write it.
+        """
+        coded = written(with_code(rows), "lote")
         stored = self.spark.table(self.registry_table)
         # Only keys of the batch that are large can lack any.
         _, wanted = _large_keys(coded)
@@ -109,11 +113,11 @@ class ColocatedStore:
         """One file per bucket; a bucket's rows are sorted by its first column after the key, for row-group skipping."""
         columns = [*JOINED, *[c for c in rows.columns if c not in JOINED]]
         order = "data_coleta" if "data_coleta" in columns else "id_produto"
+        dealt = packed(rows.select(*columns), JOINED).repartition(self.buckets, *JOINED)
         (
-            rows.select(*columns)
-            .repartition(self.buckets, *JOINED)
+            unpacked(dealt, columns)
             .write.mode(mode)
-            .option("path", f"{self.path}/{folder}")
+            .options(path=f"{self.path}/{folder}", compression=CODEC)
             .bucketBy(self.buckets, *JOINED)
             .sortBy(order)
             .saveAsTable(table)

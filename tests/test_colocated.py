@@ -5,7 +5,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from precolens.functions.packed import unpacked
 from precolens.operators.enrich import enrich
+from precolens.session import written
 from precolens.sinks import colocated
 from precolens.sinks.colocated import ColocatedStore
 
@@ -108,3 +110,24 @@ def test_empty_tables_and_views_made_before_a_drop(spark, store, rows, codes):
     view = store.enriched()
     store.drop()
     same(view, enrich(rows, codes))
+
+
+def test_tables_are_stored_small_and_a_batch_is_made_once(spark, store, fact, registry, tmp_path, monkeypatch):
+    """Buckets are dealt with texts as one and compressed by zstd; what makes an appended batch runs once."""
+    stored, dealt = [], []
+    monkeypatch.setattr(colocated, "written", lambda df, name: stored.append(name) or written(df, name))
+    monkeypatch.setattr(colocated, "unpacked", lambda df, columns: dealt.append(df.columns) or unpacked(df, columns))
+    made, runs = fact(*[{"id_produto": f"P{i}", "cod_informante": ["1"], "url": f"u{i}"} for i in range(40)]), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    store.create(made, registry((1, "P1", "x", 1)), buckets=2)
+    store.append(made.where("id_produto < 'P2'").mapInArrow(count, made.schema))
+    assert runs.value == 11 + 1 and "lote" in stored
+    assert all("_texto" in d and "url" not in d for d in dealt[::2])
+    names = [p.name for p in (tmp_path / "juntas").rglob("*.parquet")]
+    assert names and all(".zstd." in n for n in names)
+    assert store.enriched().where("cod_insumo = 'x'").count() == 2
